@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from windloom.plans import measurements
+
+QUERIES: dict = dict(measurements.QUERIES)
 ORACLE: dict = {}
 
 
