@@ -22,4 +22,36 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("page_id", "piece", "n_pieces", "start", "overlap_units", F.length("text").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces)}
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    from windloom.llm.packing import found_divided
+
+    return found_divided(table(spark, sf, "documents"))
+
+
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Fill of every container."""
+    from windloom.llm.packing import pack_containers
+
+    placed = pack_containers(table(spark, sf, "documents"), "doc_id", "text", 1024)
+    return placed.groupBy("container").agg(F.count("*").alias("n_items"), F.sum("tokens").alias("tokens"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    from windloom.llm.mixing import found_short_sources
+
+    return found_short_sources(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    from windloom.llm.mixing import mix_plan
+
+    return mix_plan(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
+    from windloom.llm.mixing import mix_plan
+
+    return mix_plan(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p6_containers, p7_found, p7_report, p7_sample)}
