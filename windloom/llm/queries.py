@@ -54,4 +54,17 @@ def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
     return mix_plan(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p6_containers, p7_found, p7_report, p7_sample)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    from windloom.llm.spans import found_pairs
+
+    return found_pairs(table(spark, sf, "documents"))
+
+
+def p8_shared_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of each text occurs in others."""
+    from windloom.llm.spans import SharedSpans
+
+    return SharedSpans(table(spark, sf, "documents"), "doc_id", "text").shared_parts()
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p6_containers, p7_found, p7_report, p7_sample, p8_found, p8_shared_parts)}
