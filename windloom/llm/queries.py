@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from windloom.session import table
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    from windloom.llm.encoding import found_wrong
+
+    return found_wrong(table(spark, sf, "pages_out"))
+
+
+def p2_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """The affected pages with their restored text."""
+    from windloom.llm.encoding import fill_lost, repair_encoding
+
+    pages = table(spark, sf, "pages_out")
+    repaired = repair_encoding(pages, "page_id", "text").dropDuplicates(["page_id"])
+    filled = fill_lost(repaired, "page_id", pages, "text")
+    return filled.select("page_id", "text", F.array_join("states", ", ").alias("states"), "places")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from windloom.llm.splitting import found_oversized
 
@@ -67,4 +83,4 @@ def p8_shared_parts(spark: SparkSession, sf: str) -> DataFrame:
     return SharedSpans(table(spark, sf, "documents"), "doc_id", "text").shared_parts()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p6_containers, p7_found, p7_report, p7_sample, p8_found, p8_shared_parts)}
+QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "p" and name[1:2].isdigit()}
