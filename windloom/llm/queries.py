@@ -38,6 +38,19 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("page_id", "piece", "n_pieces", "start", "overlap_units", F.length("text").alias("n_chars"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    from windloom.llm.scanned import found_noise
+
+    return found_noise(table(spark, sf, "pages_out"))
+
+
+def p5_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page that isn't blank or junk as continuous paragraphs."""
+    from windloom.llm.scanned import Scanned
+
+    return Scanned(table(spark, sf, "pages_out")).repaired().dropDuplicates(["page_id"])
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     from windloom.llm.packing import found_divided
 
