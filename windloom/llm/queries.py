@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from windloom.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    from windloom.llm.quality import found_cases
+
+    return found_cases(*(table(spark, sf, t) for t in ("pages_out", "common_words", "page_labels")))
+
+
+def p1_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of every text and table entry."""
+    from windloom.llm.quality import text_statistics
+
+    return text_statistics(table(spark, sf, "pages_out"), table(spark, sf, "common_words")).dropDuplicates(["page_id", "item"])
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     from windloom.llm.encoding import found_wrong
 
