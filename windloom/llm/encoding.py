@@ -312,9 +312,10 @@ def suspicious() -> str:
     """
     own = "ÄÖÜÀÈÉÊÇäöüßéèêàâçîïôûùáíóúñãõìò’“”–—…•°±«»µ×²³⁻­·   "
     single = {c for pair in SINGLE for c in single_map(*pair)} - set(own)
-    capital = "[a-z][ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜ][a-z]"
-    inside = f"[a-zA-Z]{_class(sorted(single))}{{1,3}}[a-z]|[\\u0400-\\u04ff][a-z]|[ìî][A-Z]"
-    return "|".join([f"(?:{utf8_pattern(e)})" for e in READ_AS] + [capital, inside, "[\\u3400-\\u9fff\\ufffd]"])
+    capital = "(?<=[a-z])[ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜ](?=[a-z])"
+    inside = f"(?<=[a-zA-Z]){_class(sorted(single))}{{1,3}}(?=[a-z])|[\\u0400-\\u04ff](?=[a-z])|[ìî](?=[A-Z])"
+    parts = [utf8_pattern(e) for e in READ_AS] + [capital, inside, "[\\u3400-\\u9fff\\ufffd]"]
+    return f"(?=[^\\x00-\\x7f])(?:{'|'.join(parts)})"  # ASCII positions fail at once
 
 
 def repair_encoding(df: DataFrame, id_col: str, text_col: str, counts: dict | None = None) -> DataFrame:
