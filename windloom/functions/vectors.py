@@ -1,0 +1,24 @@
+"""Vector expressions on ``ARRAY<DOUBLE>`` columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(dot(v, v))
+
+
+def normalised(v: Column) -> Column:
+    """Unit vector; the zero vector stays."""
+    n = norm(v)
+    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    return F.try_divide(dot(a, b), norm(a) * norm(b))

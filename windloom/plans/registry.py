@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from windloom.plans import measurements
+from windloom.plans import documents, measurements, retrieval
 
-QUERIES: dict = dict(measurements.QUERIES)
-ORACLE: dict = {}
+PARTS = [documents, retrieval, measurements]
+QUERIES: dict = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLE: dict = {name: sql for part in PARTS for name, sql in getattr(part, "ORACLE", {}).items()}
 
 
 def flagship(spark, sf):
-    raise NotImplementedError
+    """Hybrid retrieval: term overlap and BM25 ranks of every query text, fused."""
+    return retrieval.rrf_fusion(spark, sf)
