@@ -38,18 +38,21 @@ STATISTICS = (
     "sentence_ends_per_word", "numeric_word_share", "other_script_share",
 )
 
-_PUNCT = str.maketrans({c: " " for c in ".,;:!?()[]{}\"«»“”„’'|/=<>*•"})
+_PLAIN = re.compile(r"[^\s.,;:!?()\[\]{}\"«»“”„’'|/=<>*•]+")
 _MARK = re.compile(r"\s*(?:[-*•o–]\s|\[(?:\d{0,3}|[ xX])\]|\(?\w{1,3}[.)]\s)")
-_GAP = re.compile(r"\S(?:[ ]{2,}|\t)\S")
 _SYMBOLS = re.compile(r"[^\W_]+")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]+")
 _DIGITS = re.compile(r"\d+")
-_VOWELS = re.compile("[aeouáàâäãéèêëóòôöõúùûüAEOU]+")
-_NUMERIC = re.compile(r"[-–+(]?\d[\d.,)%-]*")
+_VOWELS = "aeouAEOUáàâäãéèêëóòôöõúùûü"
+_FIGURES = frozenset("0123456789")
 _ENDS = re.compile(r"[.!?][\"”»’)]?(?:\s|$)")
 _CELL = re.compile(r"[|;]")
 
 
+def _gap(line: str) -> bool:
+    return "  " in line or "\t" in line
+
+
 def statistics(text: str, common: frozenset[str], entry: bool) -> list[float]:
     """The statistics of one text in the order of ``STATISTICS``."""
     words = text.split()
@@ -61,29 +64,29 @@ def statistics(text: str, common: frozenset[str], entry: bool) -> list[float]:
     digits = len(solid) - len(no_digits)
     rest = _LATIN.sub("", no_digits)
     latin = len(no_digits) - len(rest)
-    vowels = latin - len(_VOWELS.sub("", "".join(_LATIN.findall(solid)))) if latin else 0
-    plain = text.lower().translate(_PUNCT).split()
-    lines = [x for x in text.split("\n") if x and not x.isspace()]
+    vowels = sum(map(solid.count, _VOWELS)) if latin else 0
+    plain = _PLAIN.findall(text.lower())
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
     count = max(1, len(lines))
     return [
         float(entry), math.log1p(len(words)), size / n, symbols / size, digits / size, sum(map(common.__contains__, plain)) / max(1, len(plain)),
-        sum(x.rstrip()[-1] in ".!?:;,”\"" for x in lines) / count, len(words) / count, len(set(words)) / n, vowels / max(1, latin),
-        sum(map(str.isalpha, plain)) / max(1, len(plain)), sum(_MARK.match(x) is not None for x in lines) / count, sum(_GAP.search(x) is not None for x in lines) / count,
+        sum(x[-1] in ".!?:;,”\"" for x in lines) / count, len(words) / count, len(set(words)) / n, vowels / max(1, latin),
+        sum(map(str.isalpha, plain)) / max(1, len(plain)), sum(_MARK.match(x) is not None for x in lines) / count, sum(map(_gap, lines)) / count,
         len(_CELL.findall(text)) / n, sum(w[0].isupper() for w in words) / n, len(_ENDS.findall(text)) / n,
-        sum(_NUMERIC.fullmatch(w) is not None for w in words) / n, max(0, len(rest) - symbols) / size,
+        sum(w[0] in _FIGURES for w in words) / n, max(0, len(rest) - symbols) / size,
     ]
 
 
 def stretches(text: str, common: frozenset[str]) -> list[str]:
     """Runs of lines that read alike: with or without the words that bind sentences."""
     lines = text.split("\n")
-    plain = text.lower().translate(_PUNCT).split("\n")
+    plain = text.lower().split("\n")
     full = [k for k, x in enumerate(lines) if x and not x.isspace()]
     if len(full) < 2:
         return [text]
     size, bound = [], []
     for k in full:
-        words = plain[k].split()
+        words = _PLAIN.findall(plain[k])
         size.append(len(words))
         bound.append(sum(map(common.__contains__, words)))
     flags = []
@@ -92,7 +95,7 @@ def stretches(text: str, common: frozenset[str]) -> list[str]:
         lo, hi = max(0, j - 1), min(last, j + 1)
         n, c = sum(size[lo : hi + 1]), sum(bound[lo : hi + 1])
         alone = bound[j] / max(1, size[j])
-        flags.append(alone >= 0.15 or (c >= 0.15 * n and bound[j] > 0) or (c >= 0.2 * n and size[j] <= 4 and not _MARK.match(lines[k]) and not _GAP.search(lines[k])))
+        flags.append(alone >= 0.15 or (c >= 0.15 * n and bound[j] > 0) or (c >= 0.2 * n and size[j] <= 4 and not _MARK.match(lines[k]) and not _gap(lines[k].strip())))
     out, first = [], 0
     for j in range(1, len(full)):
         if flags[j] != flags[j - 1]:
