@@ -45,7 +45,7 @@ def convergence(points: DataFrame) -> DataFrame:
 def typical_polar(points: DataFrame) -> DataFrame:
     """``rig, AoA`` and the means of lift and drag among plausible values."""
     good = points.filter("Cl between -5 and 5 and Cd > 0 and Cd < 5")
-    return good.groupBy("rig", "AoA").agg(F.count("*").alias("n"), F.round(F.avg("Cl"), 6).alias("cl"), F.round(F.avg("Cd"), 6).alias("cd"))
+    return good.groupBy("rig", "AoA").agg(F.count("*").alias("n"), F.round(F.avg("Cl"), 10).alias("cl"), F.round(F.avg("Cd"), 10).alias("cd"))
 
 
 def best_rig(points: DataFrame) -> DataFrame:

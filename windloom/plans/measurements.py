@@ -105,7 +105,7 @@ _SUMMARY = """
         arg_max(Cl, [r, -AoA, Cl]) FILTER (r IS NOT NULL) AS cl_at_best, arg_max(Cd, [r, -AoA, Cl, Cd]) FILTER (r IS NOT NULL) AS cd_at_best
     FROM (SELECT *, CASE WHEN Cd > 0 THEN Cl / Cd END AS r FROM {source} WHERE Cl BETWEEN -5 AND 5) GROUP BY {keys}
 """
-_TYPICAL = "SELECT rig, AoA, count(*) AS n, round(avg(Cl), 6) AS cl, round(avg(Cd), 6) AS cd FROM naca6535_xfoil_polar WHERE Cl BETWEEN -5 AND 5 AND Cd > 0 AND Cd < 5 GROUP BY rig, AoA"
+_TYPICAL = "SELECT rig, AoA, count(*) AS n, round(avg(Cl), 10) AS cl, round(avg(Cd), 10) AS cd FROM naca6535_xfoil_polar WHERE Cl BETWEEN -5 AND 5 AND Cd > 0 AND Cd < 5 GROUP BY rig, AoA"
 _NUM = "try_cast(nullif(regexp_extract(lower(text), '{0}([0-9]+(?:\\.[0-9]+)?) ?(?:{1})(?:[^a-z0-9/]|$)', 1), '') AS DOUBLE)"
 _SPEC = f"""
     SELECT * FROM (SELECT doc_id,
