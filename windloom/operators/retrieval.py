@@ -1,12 +1,13 @@
 """Sparse and dense retrieval, rank fusion and re-ranking.
 
-Queries are a stated part of the rows and are scored against all rows. Sparse scores come from a
-join on terms whose products are summed on the map side; dense scores from blocks of query
-vectors that meet the rows in Arrow batches. Only the best of each block travel on.
+Queries are a stated part of the rows and are scored against all rows in blocks: a block's
+vectors, or its terms by queries matrix, meets the rows in Arrow batches, and only the best of
+each batch travel on. Texts are never shuffled; document frequencies are a map-side aggregate.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windloom.functions import text as T
+from windloom.session import checkpointed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-QUERY_BLOCK = 2048
+#: Query vectors and query texts that are scored at once.
+QUERY_BLOCK, TEXT_BLOCK = 2048, 256
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,46 +44,127 @@ def best_per(df: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame
     return df.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 
 
+def _blocks(queries: DataFrame, block: int) -> Iterator[pd.DataFrame]:
+    """The stated queries in parts of about ``block`` rows, chosen by hash."""
+    total = queries.count()
+    parts = max(1, -(-total // block))
+    for part in range(parts):
+        rows = queries.filter(F.pmod(F.xxhash64(queries.columns[0]), F.lit(parts)) == part).toPandas()
+        if len(rows):
+            yield rows
+
+
+class _Asked:
+    """A block of query texts: its vocabulary and the term frequencies as a terms by queries matrix."""
+
+    def __init__(self, block: pd.DataFrame):
+        self.ids = block["doc_id"].to_numpy()
+        counts = [Counter(w) for w in block["w"]]
+        self.vocabulary = {t: k for k, t in enumerate(sorted({t for c in counts for t in c}))}
+        self.tf = np.zeros((len(self.vocabulary), len(counts)))
+        for q, c in enumerate(counts):
+            for t, n in c.items():
+                self.tf[self.vocabulary[t], q] = n
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", T.tokens(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
+
+
+def _search(words: DataFrame, asked: _Asked, score, k: int) -> DataFrame:
+    """The best ``k`` rows of each Arrow batch for each query of a block.
+
+    ``score(tf of the known terms, their rows in the vocabulary, tf of all terms)`` gives the
+    scores of one text for all queries of the block.
+    """
+    ids, vocabulary = asked.ids, asked.vocabulary
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = pdf["doc_id"].to_numpy()
+            result = np.empty((len(ids), len(own)))
+            for d, w in enumerate(pdf["w"]):
+                counts = Counter(w)
+                known = [(vocabulary[t], n) for t, n in counts.items() if t in vocabulary]
+                at = np.array([x[0] for x in known], np.int64)
+                tf = np.array([x[1] for x in known], float)
+                result[:, d] = score(tf, at, np.fromiter(counts.values(), float))
+            result = np.round(result, 6)
+            result[ids[:, None] == own[None, :]] = -1
+            order = np.lexsort((np.broadcast_to(own, result.shape), -result), axis=1)[:, :k]
+            rows = np.repeat(np.arange(len(ids)), order.shape[1])
+            out = pd.DataFrame({"query_id": ids[rows], "doc_id": own[order.ravel()], "score": result[rows, order.ravel()]})
+            yield out[out["score"] > 0]
+
+    return words.mapInPandas(run, "query_id long, doc_id long, score double")
+
+
+def _all_blocks(docs: DataFrame, queries: DataFrame, k: int, score_for) -> DataFrame:
+    words, found = _words(docs), None
+    for block in _blocks(_words(queries), TEXT_BLOCK):
+        asked = _Asked(block)
+        part = _search(words, asked, score_for(asked), k)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return docs.limit(0).select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    return best_per(found, "query_id", "score", "doc_id", k)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, doc_id, score, rank``: Okapi BM25 of each query's whole text, query repeats count."""
-    posts = postings(docs)
-    stats = term_stats(posts, docs)
-    mean = F.broadcast(posts.select("doc_id", "len").distinct().agg(F.sum("len").alias("_sum")).join(docs.agg(F.count("*").alias("_n")), F.lit(True)).select((F.col("_sum") / F.col("_n")).alias("_avg")))
-    asked = postings(queries).select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("qtf")).join(stats, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("_avg")))
-    scored = posts.join(asked, "term").join(mean, F.lit(True)).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return best_per(scored.filter("query_id <> doc_id"), "query_id", "score", "doc_id", k)
+    words = _words(docs)
+    frequency = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    size = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).first()
+    n, mean = size["n"], size["mean"] or 1.0
+    raw = frequency.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = checkpointed(raw)
+    usual = raw.agg(F.avg("raw")).first()[0] or 0.0
+    wanted = raw.join(_words(queries).select(F.explode("w").alias("term")).distinct(), "term", "left_semi")
+
+    def score_for(asked: _Asked):
+        terms = docs.sparkSession.createDataFrame([(t,) for t in asked.vocabulary], "term string")
+        idf = np.zeros(len(asked.vocabulary))
+        for r in wanted.join(F.broadcast(terms), "term").collect():  # the vocabulary of one block
+            idf[asked.vocabulary[r["term"]]] = r["raw"] if r["raw"] >= 0 else EPSILON * usual
+        weight = asked.tf * idf[:, None]
+
+        def score(tf: np.ndarray, at: np.ndarray, every: np.ndarray) -> np.ndarray:
+            return (tf * (K1 + 1) / (tf + K1 * (1 - B + B * every.sum() / mean))) @ weight[at]
+
+        return score
+
+    return _all_blocks(docs, queries, k, score_for)
 
 
 def overlap(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, doc_id, score, rank``: share of the query's distinct terms that a text holds."""
-    posts = postings(docs).select("doc_id", "term")
-    asked = postings(queries).select(F.col("doc_id").alias("query_id"), "term")
-    size = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    shared = posts.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("shared"))
-    scored = shared.join(size, "query_id").withColumn("score", F.round(F.col("shared") / F.col("n"), 6))
-    return best_per(scored.filter("query_id <> doc_id").select("query_id", "doc_id", "score"), "query_id", "score", "doc_id", k)
 
+    def score_for(asked: _Asked):
+        holds = asked.tf > 0
+        n = np.maximum(holds.sum(axis=0), 1)
+        return lambda tf, at, every: holds[at].sum(axis=0) / n
 
-def lexical_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, doc_id, cosine`` of term frequencies for all pairs that share a term."""
-    posts = postings(docs)
-    norms = posts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    asked = postings(queries).select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
-    products = posts.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
-    q = norms.select(F.col("doc_id").alias("query_id"), F.col("norm").alias("qnorm"))
-    return products.join(norms, "doc_id").join(q, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("cosine"))
+    return _all_blocks(docs, queries, k, score_for)
 
 
 def hybrid_relevance(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """0.65 of the cosine mapped to 0..1 and 0.35 of the term overlap."""
-    cos = lexical_cosine(docs, queries)
-    asked = postings(queries).select(F.col("doc_id").alias("query_id"), "term")
-    size = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    shared = postings(docs).join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("shared"))
-    scored = cos.join(shared, ["query_id", "doc_id"]).join(size, "query_id").filter("query_id <> doc_id")
-    score = F.round(0.65 * (F.col("cosine") + 1) / 2 + 0.35 * F.col("shared") / F.col("n"), 6)
-    return best_per(scored.select("query_id", "doc_id", score.alias("score")), "query_id", "score", "doc_id", k)
+    """0.65 of the cosine of term frequencies mapped to 0..1, and 0.35 of the term overlap."""
+
+    def score_for(asked: _Asked):
+        holds = asked.tf > 0
+        n = np.maximum(holds.sum(axis=0), 1)
+        norms = np.maximum(np.sqrt((asked.tf**2).sum(axis=0)), 1e-300)
+
+        def score(tf: np.ndarray, at: np.ndarray, every: np.ndarray) -> np.ndarray:
+            if not len(at):
+                return np.zeros(len(n))
+            cosine = tf @ asked.tf[at] / (norms * np.sqrt((every**2).sum()))
+            shared = holds[at].sum(axis=0)
+            return np.where(shared > 0, 0.65 * (cosine + 1) / 2 + 0.35 * shared / n, 0.0)
+
+        return score
+
+    return _all_blocks(docs, queries, k, score_for)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, alpha: float = 0.65, c: int = 60, k: int = 10) -> DataFrame:
@@ -97,13 +181,8 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = QUER
     Queries meet the rows in blocks of about ``block`` vectors, each a bounded matrix; of every
     batch of rows the best ``k`` for each query are kept before the shuffle.
     """
-    total = queries.count()
-    parts = max(1, -(-total // block))
     result = None
-    for part in range(parts):
-        chosen = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).select("vec_id", "embedding").toPandas()
-        if not len(chosen):
-            continue
+    for chosen in _blocks(queries.select("vec_id", "embedding"), block):
         ids = chosen["vec_id"].to_numpy()
         matrix = np.stack(chosen["embedding"].to_numpy()).astype(np.float64)
         matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
