@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windloom.functions import text as T
-from windloom.session import checkpointed
+from windloom.session import checkpointed, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query vectors and query texts that are scored at once.
@@ -68,7 +68,7 @@ class _Asked:
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", T.tokens(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
+    return spread(docs.select("doc_id", "text")).select("doc_id", T.tokens(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
 
 
 def _search(words: DataFrame, asked: _Asked, score, k: int) -> DataFrame:
