@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from windloom.session import spread
+
 #: (true encoding, encoding it was read with); "utf-8 twice" was read wrongly two times.
 READ_AS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251")
 SINGLE = (("cp1252", "mac_roman"), ("cp1252", "cp1251"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("mac_roman", "cp1252"))
@@ -326,7 +328,7 @@ def repair_encoding(df: DataFrame, id_col: str, text_col: str, counts: dict | No
     :func:`fill_lost`). Null, empty and all-ASCII texts are clean. Repeated rows give repeated
     rows. Other columns are not looked at; an empty table gives no rows.
     """
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     counts = counts if counts is not None else surroundings(rows, "_text")
     kind_of_id = rows.schema["_id"].dataType.simpleString()
 

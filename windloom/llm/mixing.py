@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windloom.llm.tokens import wordpunct_count
+from windloom.session import spread
 
 TOPICS = 8
 ROUNDS = 200
@@ -58,7 +59,7 @@ def records(docs: DataFrame, targets: DataFrame, topics: int = TOPICS) -> DataFr
     """One narrow row per distinct ``doc_id`` of a listed source: size, cell and hash bin."""
     listed = targets.select(norm_source(F.col("source")).alias("source")).distinct()
     # mix_targets has one row per source; both sides are narrow, Spark broadcasts it by its size
-    narrow = docs.select(
+    narrow = spread(docs.select("doc_id", "source", "lang", "text")).select(
         "doc_id", norm_source(F.col("source")).alias("source"), norm_lang(F.col("lang")).alias("lang"), F.col("text").alias("_text")
     ).join(listed, "source", "left_semi")
     return (

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windloom.llm.tokens import wordpunct_count
+from windloom.session import spread
 
 VECTOR = 1024
 DIMENSIONS = 3
@@ -163,7 +164,7 @@ def pack_containers(docs: DataFrame, id_col: str, text_col: str, capacity: int =
     ids are left out: what can't be named can't be placed. Other columns are not looked at.
     ``partitions`` are packed apart from each other; each may leave its last containers part full.
     """
-    items = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
+    items = spread(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))).filter("id is not null")
     sized = items.withColumn("tokens", wordpunct_count(F.col("text")).cast("long"))
     id_type = items.schema["id"].dataType.simpleString()
     keyed = sized.mapInPandas(_positions, f"id {id_type}, tokens long, key long").groupBy("id").agg(F.max("tokens").alias("tokens"), F.min("key").alias("key"))

@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windloom.session import checkpointed
+from windloom.session import checkpointed, spread
 
 #: Bound on the weakly labelled stretches that the trees are trained on, chosen by a hash.
 TRAIN_ROWS = 12_000
@@ -130,7 +130,7 @@ def _common(words: DataFrame) -> frozenset[str]:
 
 def _narrow(df: DataFrame, id_col: str, text_col: str, tables_col: str | None) -> DataFrame:
     tables = F.col(tables_col) if tables_col else F.lit(None).cast("array<string>")
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), tables.alias("_tables"))
+    return spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), tables.alias("_tables")))
 
 
 def text_statistics(df: DataFrame, common_words: DataFrame, id_col: str = "page_id", text_col: str = "text", tables_col: str | None = "tables") -> DataFrame:

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from windloom.session import spread
+
 #: Longest stretch without white space that counts as one unit.
 WORD_CHARS = 400
 UNIT = rf"\S{{1,{WORD_CHARS}}}+\s*+"
@@ -56,7 +58,7 @@ def split_oversized(
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be less than limit")
     one = UNIT if unit == "words" else "."
-    items = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_text is not null")
+    items = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).filter("_text is not null")
     long = longer_than(F.col("_text"), limit) if unit == "words" else F.length("_text") > limit
     parts = F.regexp_extract_all("_text", F.lit(cut_pattern(limit - overlap, one)), F.lit(0))
     rows = items.withColumn("_parts", F.when(long, parts).otherwise(F.array("_text"))).dropDuplicates(["_id", "_text"])
