@@ -34,6 +34,8 @@ LOST = "�"
 ENTER_MULTI, ENTER_SINGLE, LEAVE, ALIEN = -5.0, -8.0, -2.0, -6.0
 #: Counts that stand for characters never met in some surroundings, as seen and as supposed original.
 UNSEEN, UNSEEN_ORIGINAL = 0.5, 0.005
+#: Share of an original's other occurrences that it may have in surroundings where it is unknown.
+ELSEWHERE = 0.005
 #: What the counts can't tell, for they hold the errors too: capitals inside words, mixed scripts.
 MISFIT = -8.0
 #: Log odds of a replacement sign: it never is text.
@@ -150,7 +152,7 @@ def surroundings(df: DataFrame, text_col: str) -> dict[tuple[str, str, str], int
 def misfit(a: str, c: str, b: str) -> bool:
     """A capital between small letters, a Cyrillic or Han letter next to a Latin one, a sign inside a word."""
     if "\u0400" <= c <= "\u04ff" or "\u3400" <= c <= "\u9fff":
-        return a in "lu" or b in "lu"
+        return a in "lud" or b in "lud"
     inside = a in "le" and b in "le"
     return inside and (unicodedata.category(c) == "Lu" or c in "‡·‚„‰ˆ˜¯˘˙˚¸˝˛ˇﬂ")
 
@@ -182,7 +184,8 @@ class Model:
         for k in range(1, len(s) - 1):
             if s[k] > "\x7f":
                 a, b = kind(s[k - 1]), kind(s[k + 1])
-                out += math.log(max(self.counts.get((a, s[k], b), 0), unseen) / self.total)
+                rare = max(unseen, ELSEWHERE * self.common.get(s[k], 0)) if unseen < UNSEEN else unseen
+                out += math.log(max(self.counts.get((a, s[k], b), 0), rare) / self.total)
                 if misfit(a, s[k], b):
                     out += MISFIT
         return out
@@ -316,7 +319,9 @@ def suspicious() -> str:
     single = {c for pair in SINGLE for c in single_map(*pair)} - set(own)
     capital = "(?<=[a-z])[ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜ](?=[a-z])"
     inside = f"(?<=[a-zA-Z]){_class(sorted(single))}{{1,3}}(?=[a-z])|[\\u0400-\\u04ff](?=[a-z])|[ìî](?=[A-Z])"
-    parts = [utf8_pattern(e) for e in READ_AS] + [capital, inside, "[\\u3400-\\u9fff\\ufffd]"]
+    alone = "(?<![\\u0400-\\u04ff])[\\u0400-\\u04ff](?![\\u0400-\\u04ff])"
+    signs = "◊|∞(?=[CF])|(?<=[0-9])[ñó](?=[0-9])"
+    parts = [utf8_pattern(e) for e in READ_AS] + [capital, inside, alone, signs, "[\\u3400-\\u9fff\\ufffd]"]
     return f"(?=[^\\x00-\\x7f])(?:{'|'.join(parts)})"  # ASCII positions fail at once
 
 
