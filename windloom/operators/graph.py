@@ -65,3 +65,25 @@ def degrees(edges: DataFrame) -> DataFrame:
     """``node, n_out, n_in``."""
     ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     return ends.groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
+
+
+def components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
+    """``node, component``: connected components, named by their least node.
+
+    Labels are shortened by pointer jumping: each round joins edges with labels, takes the least
+    label around, then the label of that label; the number of rounds grows with the logarithm of
+    the longest path. Every round ends in a reliable checkpoint.
+    """
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    both = checkpointed(both.filter("a is not null and b is not null").distinct())
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
+    for _ in range(most_rounds):
+        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        least = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("new"))
+        jump = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        moved = least.join(jump, F.col("new") == F.col("_n"), "left").select("node", "component", F.least("new", F.coalesce("_c", "new")).alias("new"))
+        moved = checkpointed(moved)
+        labels = moved.select("node", F.col("new").alias("component"))
+        if moved.filter("new <> component").limit(1).count() == 0:
+            break
+    return labels

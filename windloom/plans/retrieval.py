@@ -94,11 +94,20 @@ def related_by_entity(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy("query_id", "doc_id").agg(F.count("*").alias("n_shared"))
 
 
+def mention_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that are linked through the names they share, directly or over others."""
+    found = graph.mentions(table(spark, sf, "documents"))
+    edges = found.select((F.col("doc_id")).alias("src"), (-F.pmod(F.xxhash64("entity"), F.lit(1 << 62)) - 1).alias("dst"))
+    got = graph.components(edges).filter("node >= 0")
+    first = got.groupBy("component").agg(F.min("node").alias("first_doc"), F.count("*").alias("n_docs"))
+    return got.join(first, "component").select(F.col("node").alias("doc_id"), "first_doc", "n_docs")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_term_stats, bm25_topk, overlap_topk, rrf_fusion, hybrid_relevance, dense_topk, mmr_rerank, greedy_dedup, group_centroid, route_to_group,
-        similarity_edges, graph_khop, graph_degrees, related_by_entity,
+        similarity_edges, graph_khop, graph_degrees, related_by_entity, mention_components,
     )
 }
 
