@@ -70,17 +70,21 @@ def split_oversized(
             lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
         ),
     )
-    piece = before.select("_id", F.size("_parts").alias("n_pieces"), "_parts", "_starts", F.posexplode("_parts").alias("_k", "_own"))
-    tail = F.regexp_extract_all(F.element_at("_parts", F.greatest(F.col("_k"), F.lit(1))), F.lit(f"(?Us){one}"), F.lit(0))
-    kept = F.when((F.col("_k") > 0) & F.lit(overlap > 0), F.slice(tail, F.greatest(F.size(tail) - overlap + 1, F.lit(1)), overlap)).otherwise(F.array().cast("array<string>"))
-    return piece.withColumn("_kept", kept).select(
-        F.col("_id").alias(id_col),
-        (F.col("_k") + 1).alias("piece"),
-        "n_pieces",
-        F.element_at("_starts", F.col("_k") + 1).alias("start"),
-        F.size("_kept").alias("overlap_units"),
-        F.concat(F.array_join("_kept", ""), "_own").alias("text"),
-    )
+    whole = F.lit(f"(?Us){one}")
+
+    def piece(own: Column, k: Column) -> Column:
+        tail = F.regexp_extract_all(F.element_at("_parts", F.greatest(k, F.lit(1))), whole, F.lit(0))
+        kept = F.when((k > 0) & F.lit(overlap > 0), F.slice(tail, F.greatest(F.size(tail) - overlap + 1, F.lit(1)), overlap)).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            (k + 1).alias("piece"),
+            F.element_at("_starts", k + 1).alias("start"),
+            F.size(kept).alias("overlap_units"),
+            F.concat(F.array_join(kept, ""), own).alias("text"),
+        )
+
+    # pieces are made before the explode, so that no row carries the whole text along
+    cut = before.select("_id", F.size("_parts").alias("n_pieces"), F.explode(F.transform("_parts", piece)).alias("p"))
+    return cut.select(F.col("_id").alias(id_col), "p.piece", "n_pieces", "p.start", "p.overlap_units", "p.text")
 
 
 def found_oversized(pages: DataFrame, limit: int = 420, overlap: int = 40) -> DataFrame:
