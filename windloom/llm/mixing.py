@@ -3,8 +3,8 @@
 Tokens are counted per cell (source, language, topic). Iterative proportional fitting rakes the
 cells to the target shares of the sources and, as far as these allow, keeps the languages' and
 topics' own shares; a cell's tokens may be used at most ``max_repeats`` times. Each record is
-then used ``floor(w)`` times, and once more where a hash of its key lies below a threshold that
-is calibrated on the tokens per hash bin, so that realised shares follow the weights closely.
+then used ``floor(w)`` times, and once more where a hash of its key lies in the first bins of its
+cell. How many bins is calibrated on the tokens of each, so realised shares follow the weights.
 
 Only the table of cells visits the driver. It has at most (listed sources) x (language codes) x
 (topics) rows; language names that are no two- or three-letter code count as one. Records
@@ -106,6 +106,27 @@ def rake(cells: pd.DataFrame, target: dict[str, float], cap: dict[str, int], tot
     return w
 
 
+def _one_more(bins: pd.DataFrame) -> list[int]:
+    """Whether the records of each hash bin are used once more than ``base``.
+
+    Bins are taken in order until a cell's extra tokens are reached; what a whole bin is too much
+    or too little is carried to the source's next cell, so that a source ends within about half a
+    bin of its plan.
+    """
+    out, carry, source, cell, left = [], 0.0, None, None, 0.0
+    for r in bins.itertuples():
+        if r.source != source:
+            source, carry = r.source, 0.0
+        if (r.source, r.lang, r.topic) != cell:
+            if cell is not None and cell[0] == r.source:
+                carry = left
+            cell, left = (r.source, r.lang, r.topic), r.extra + carry
+        take = r.extra > 0 and left >= r.tokens / 2
+        left -= r.tokens * take
+        out.append(int(take))
+    return out
+
+
 def mix_plan(docs: DataFrame, targets: DataFrame, total: int | None = None, topics: int = TOPICS):
     """``(report, sample)``.
 
@@ -137,20 +158,17 @@ def mix_plan(docs: DataFrame, targets: DataFrame, total: int | None = None, topi
     cells["base"] = np.floor(cells["w"] + 1e-9).astype("int64")
     cells["extra"] = (cells["w"] - cells["base"]).clip(lower=0) * cells["tokens"]
     merged = cell_bins.merge(cells.drop(columns="tokens"), on=["source", "lang", "topic"]).sort_values(["source", "lang", "topic", "bin"])
-    before = merged.groupby(["source", "lang", "topic"])["tokens"].cumsum() - merged["tokens"]
-    share = ((merged["extra"] - before) / merged["tokens"].clip(lower=1)).clip(0, 1)
-    merged["share"] = share  # of the records in this bin; one bin of a cell is cut in two at most
+    merged["more"] = _one_more(merged)
     spark = docs.sparkSession
     plan = spark.createDataFrame(
-        merged[["source", "lang", "topic", "bin", "base", "share"]] if len(merged) else [],
-        "source string, lang string, topic int, bin int, base long, share double",
+        merged[["source", "lang", "topic", "bin", "base", "more"]] if len(merged) else [],
+        "source string, lang string, topic int, bin int, base long, more long",
     )
-    u = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) + 0.5) / float(1 << 20)
     cap = spark.createDataFrame(wanted[["key", "max_repeats"]].fillna(1) if len(wanted) else [], "key string, max_repeats long")
     sample = (
         rows.join(plan, ["source", "lang", "topic", "bin"])
         .join(cap, F.col("source") == F.col("key"))
-        .withColumn("copies", F.least(F.col("base") + (u < F.col("share")).cast("long"), F.col("max_repeats")))
+        .withColumn("copies", F.least(F.col("base") + F.col("more"), F.col("max_repeats")))
         .filter("copies > 0")
         .select("doc_id", "source", "tokens", "copies")
     )
