@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +63,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors' Python workers, once for each Spark context."""
+    context = spark.sparkContext
+    if not getattr(context, "_windloom_shipped", False):
+        package = Path(__file__).parent
+        base = str(Path(tempfile.mkdtemp(prefix="windloom-code-")) / "windloom")
+        context.addPyFile(shutil.make_archive(base, "zip", package.parent, package.name))
+        context._windloom_shipped = True
