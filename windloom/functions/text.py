@@ -123,3 +123,34 @@ def valid_label(label: Column) -> Column:
         & ~((F.size(parts) >= 3) & (single > 0.4 * F.size(parts)))
         & F.exists(parts, lambda w: F.length(w) >= 3)
     )
+
+
+#: Openings of a question that a search drops.
+OPENINGS = ("please", "can you", "could you", "tell me", "what is", "show me", "i want to know", "propose", "design", "size")
+
+
+def clean_query(text: Column) -> Column:
+    """A search query in small letters without openings, filler words and punctuation."""
+    low = F.regexp_replace(F.lower(text), rf"\b(?:{'|'.join(OPENINGS)})\b", " ")
+    words = F.filter(F.split(F.regexp_replace(low, r"[^\p{L}\p{N}_ ?]+", " "), " +"), lambda w: (w != "") & ~w.isin(FILLER_WORDS))
+    return F.array_join(words, " ")
+
+
+#: Topics by the first of their words that a text holds, in this order.
+INTENTS = (
+    ("design", ("design", "propose", "size a")),
+    ("reference", ("report", "[1]", "pp.")),
+    ("measurement", ("measured", "logged", "survey", "run ")),
+    ("estimate", ("estimate", "predict", "model")),
+)
+
+
+def intent(text: Column) -> Column:
+    """Topic of a text by keywords anywhere in it, else ``general``."""
+    out = None
+    for name, words in INTENTS:
+        rule = F.lit(False)
+        for w in words:
+            rule = rule | F.contains(F.lower(text), F.lit(w))
+        out = F.when(rule, name) if out is None else out.when(rule, name)
+    return out.otherwise("general")

@@ -87,3 +87,14 @@ def components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
         if moved.filter("new <> component").limit(1).count() == 0:
             break
     return labels
+
+
+def blend_centroids(old: DataFrame, new: DataFrame, group: str = "label") -> DataFrame:
+    """``<group>, dim, value, n``: centroids blended by the number of their members, unit length.
+
+    Both sides are ``<group>, dim, value, n``; a group of one side only keeps its direction.
+    """
+    both = old.select(group, "dim", "value", "n").unionByName(new.select(group, "dim", "value", "n"))
+    mean = both.groupBy(group, "dim").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+    size = mean.groupBy(F.col(group).alias("_g")).agg(F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("_norm"))
+    return mean.join(size, F.col(group).eqNullSafe(F.col("_g"))).select(group, "dim", F.when(F.col("_norm") > 0, F.col("mean") / F.col("_norm")).otherwise(0.0).alias("value"), "n")

@@ -184,13 +184,38 @@ def question_type(spark: SparkSession, sf: str) -> DataFrame:
     return docs.withColumn("kind", kind.otherwise("general")).groupBy("kind").agg(F.count("*").alias("n_docs"))
 
 
+def clean_query_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.clean_query(F.col("text")).alias("query"))
+
+
+def intent_router(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.intent(F.col("text")).alias("intent"))
+
+
+def page_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """How each page would be read: blank, table, sparse or text."""
+    pages = table(spark, sf, "pages_out")
+    words = F.coalesce(F.size(T.white_split(F.col("text"))), F.lit(0))
+    tables = F.coalesce(F.size("tables"), F.lit(0))
+    kind = F.when((words == 0) & (tables == 0), "blank").when((tables > 0) & (words < 50), "table").when(words < 10, "sparse").otherwise("text")
+    return pages.select("page_id", kind.alias("kind")).distinct()
+
+
+def reference_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.reference_lists(evidence.facts(table(spark, sf, "documents")))
+
+
+def quantity_values(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.quantity_values(table(spark, sf, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         sentence_split, sentence_split_protected, text_quality_reasons, quality_audit_by_source, table_validation, clean_page_text, ocr_pipe_clean,
         collapse_repeats, keyword_extract, markdown_table_cells, chunk_children, chunk_parents, child_parent_lookup, pages_without_chunks, group_topics,
         registry_latest, registry_aliases, content_hash_new_pages, unregistered_sources, purge_sources, fact_dedup, word_budget_summary, citation_numbers,
-        contradictions, entity_mentions, entity_degrees, question_type,
+        contradictions, entity_mentions, entity_degrees, question_type, clean_query_text, intent_router, page_kinds, reference_lists, quantity_values,
     )
 }
 
@@ -207,7 +232,30 @@ _MENTIONS = """
 """
 _LATEST = "SELECT filename, r.sha256 AS sha256, r.n_pages AS n_pages, r.registered_at AS registered_at FROM (SELECT filename, max(struct_pack(registered_at := registered_at, sha256 := coalesce(sha256, ''), n_pages := coalesce(n_pages, -1))) AS r FROM processed_files GROUP BY filename)"
 
+_OPENINGS = "|".join(T.OPENINGS)
+_INTENT = " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in T.INTENTS)
+
 ORACLE = {
+    "clean_query_text": f"""
+        SELECT doc_id, array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(text), '\\b(?:{_OPENINGS})\\b', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_ ?]+', ' ', 'g'), ' +'),
+            lambda w: w <> '' AND w NOT IN ({_FILLER})), ' ') AS query FROM documents
+    """,
+    "intent_router": f"SELECT doc_id, CASE {_INTENT} ELSE 'general' END AS intent FROM documents",
+    "page_kinds": f"""
+        SELECT DISTINCT page_id, CASE WHEN w = 0 AND t = 0 THEN 'blank' WHEN t > 0 AND w < 50 THEN 'table' WHEN w < 10 THEN 'sparse' ELSE 'text' END AS kind
+        FROM (SELECT page_id, {WORDS.format("coalesce(text, '')")} AS w, coalesce(len(tables), 0) AS t FROM pages_out)
+    """,
+    "reference_lists": f"""
+        WITH {SENTENCES}, k AS (SELECT doc_id, source, trim(regexp_replace(lower(fact), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS key, pos FROM facts WHERE source IS NOT NULL),
+        f AS (SELECT source, row_number() OVER (ORDER BY min(doc_id * 1000000 + pos), source) AS number FROM k GROUP BY source),
+        m AS (SELECT DISTINCT a.doc_id, '[' || number || ']' AS mark FROM k a JOIN k b ON a.key = b.key JOIN f ON f.source = b.source)
+        SELECT doc_id, string_agg(mark, ' ' ORDER BY mark) AS refs FROM m GROUP BY doc_id
+    """,
+    "quantity_values": r"""
+        WITH x AS (SELECT unnest(regexp_extract_all(text, '\ba ([a-z]+(?:[ -][a-z]+){0,2}) of ([0-9]+\.[0-9]+)')) AS x FROM documents),
+        v AS (SELECT regexp_extract(x, '^a (.+) of [0-9.]+$', 1) AS quantity, CAST(regexp_extract(x, '([0-9.]+)$', 1) AS DOUBLE) AS v FROM x)
+        SELECT quantity, count(*) AS n, min(v) AS least, max(v) AS most, round(avg(v), 9) AS mean FROM v GROUP BY quantity
+    """,
     "sentence_split": f"WITH {SENTENCES} SELECT doc_id, pos, fact FROM facts",
     "text_quality_reasons": f"WITH {REASONS} SELECT DISTINCT page_id, reason FROM faults",
     "quality_audit_by_source": f"WITH {REASONS} SELECT source, reason, count(DISTINCT page_id) AS n_pages FROM faults GROUP BY source, reason",

@@ -64,6 +64,17 @@ def group_centroid(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("label", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
 
+def centroid_blend(spark: SparkSession, sf: str) -> DataFrame:
+    """Centroids of the even and of the odd rows of each group, blended by their sizes."""
+    vectors = table(spark, sf, "embeddings")
+    halves = []
+    for half in (0, 1):
+        own = vectors.filter(F.col("vec_id") % 2 == half)
+        halves.append(graph.centroids(own).join(own.groupBy("label").agg(F.count("*").alias("n")), "label"))
+    got = graph.blend_centroids(*halves)
+    return got.select("label", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"), "n")
+
+
 def route_to_group(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return graph.route(vectors, graph.centroids(vectors), least=0.3)
@@ -106,7 +117,7 @@ def mention_components(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_term_stats, bm25_topk, overlap_topk, rrf_fusion, hybrid_relevance, dense_topk, mmr_rerank, greedy_dedup, group_centroid, route_to_group,
+        bm25_term_stats, bm25_topk, overlap_topk, rrf_fusion, hybrid_relevance, dense_topk, mmr_rerank, greedy_dedup, group_centroid, centroid_blend, route_to_group,
         similarity_edges, graph_khop, graph_degrees, related_by_entity, mention_components,
     )
 }
@@ -169,6 +180,16 @@ ORACLE = {
     """,
     "dense_topk": f"WITH {_EDGES} SELECT src AS query_id, dst AS vec_id, similarity, rank FROM ranked WHERE rank < 10",
     "group_centroid": f"WITH {_UNIT}, {_CENTROIDS} SELECT label, dim, round(value, 6) AS value FROM centers",
+    "centroid_blend": f"""
+        WITH {_UNIT},
+        long AS (SELECT label, vec_id % 2 AS half, unnest(range(0, 64)) AS dim, unnest(e) AS x FROM u),
+        m AS (SELECT label, half, dim, avg(x) AS m FROM long GROUP BY ALL),
+        s AS (SELECT label, half, sqrt(sum(m * m)) AS s FROM m GROUP BY ALL),
+        c AS (SELECT label, vec_id % 2 AS half, count(*) AS n FROM u GROUP BY ALL),
+        b AS (SELECT m.label, dim, sum(CASE WHEN s > 0 THEN m / s ELSE 0 END * n) / sum(n) AS v, sum(n)::BIGINT AS n FROM m JOIN s ON m.label = s.label AND m.half = s.half JOIN c ON m.label = c.label AND m.half = c.half GROUP BY m.label, dim),
+        z AS (SELECT label, sqrt(sum(v * v)) AS z FROM b GROUP BY label)
+        SELECT b.label, dim, round(CASE WHEN z > 0 THEN v / z ELSE 0 END, 6) AS value, n FROM b JOIN z ON b.label = z.label
+    """,
     "route_to_group": f"""
         WITH {_UNIT}, {_CENTROIDS},
         c AS (SELECT label, list(value ORDER BY dim) AS value FROM centers GROUP BY label),
