@@ -173,9 +173,14 @@ def judged_items(df: DataFrame, common_words: DataFrame, labels: DataFrame, id_c
     named = {name: F.col("statistics")[k] for k, name in enumerate(STATISTICS)}
     parts = checkpointed(parts.withColumn("weak", weak_label(named)))
     vector = array_to_vector(F.col("statistics").cast("array<double>"))
-    train = checkpointed(
-        parts.filter("weak is not null").orderBy(F.xxhash64("_id", "item", "words", F.lit(5)), "_id", "item", "words").limit(train_rows).select(vector.alias("features"), F.col("weak").alias("label")).coalesce(2)
-    )
+    weak = parts.filter("weak is not null")
+    # an even share of texts and entries, cases and others, by a hash: no task sorts or gathers them all
+    entry = F.col("item") > 0
+    draw = F.pmod(F.xxhash64("_id", "item", "words", "statistics"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = F.lit(False)
+    for r in weak.groupBy(entry.alias("e"), "weak").count().collect():  # four rows at most
+        chosen = chosen | ((entry == r["e"]) & (F.col("weak") == r["weak"]) & (draw < 0.95 * train_rows / 4 / r["count"]))
+    train = checkpointed(weak.filter(chosen).limit(train_rows).select(vector.alias("features"), F.col("weak").alias("label")).coalesce(2))
     classes = {r[0] for r in train.select("label").distinct().collect()}
     if classes == {0.0, 1.0}:
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=1, stepSize=0.3).fit(train)
