@@ -29,7 +29,7 @@ from windloom.session import spread
 #: (true encoding, encoding it was read with); "utf-8 twice" was read wrongly two times.
 READ_AS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251")
 SINGLE = (("cp1252", "mac_roman"), ("cp1252", "cp1251"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("mac_roman", "cp1252"))
-LOST = "�"
+LOST = "\ufffd"
 #: Logarithms: entering a state, leaving it, and a character that its pair can't produce.
 ENTER_MULTI, ENTER_SINGLE, LEAVE, ALIEN = -5.0, -8.0, -2.0, -6.0
 #: Counts that stand for characters never met in some surroundings, as seen and as supposed original.
@@ -315,7 +315,7 @@ def suspicious() -> str:
     Any sequence of a multi-byte pair, Han, a replacement sign, or a sign inside or before a
     word that a single-byte pair makes and that the languages' own letters and signs are not.
     """
-    own = "ÄÖÜÀÈÉÊÇäöüßéèêàâçîïôûùáíóúñãõìò’“”–—…•°±«»µ×²³⁻­·   "
+    own = "ÄÖÜÀÈÉÊÇäöüßéèêàâçîïôûùáíóúñãõìò’“”–—…•°±«»µ×²³⁻\u00ad·\u00a0\u2009\u202f"
     single = {c for pair in SINGLE for c in single_map(*pair)} - set(own)
     capital = "(?<=[a-z])[ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜ](?=[a-z])"
     inside = f"(?<=[a-zA-Z]){_class(sorted(single))}{{1,3}}(?=[a-z])|[\\u0400-\\u04ff](?=[a-z])|[ìî](?=[A-Z])"
