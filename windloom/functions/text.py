@@ -22,8 +22,8 @@ def white_split(text: Column) -> Column:
 
 def clean_pdf_text(text: Column) -> Column:
     """Glyphs of symbol fonts to spaces, NUL and soft hyphen dropped, blank lines squeezed, trimmed."""
-    spaced = F.regexp_replace(text, r"[-￿]", " ")
-    bare = F.regexp_replace(spaced, r"[\x00­]", "")
+    spaced = F.regexp_replace(text, r"[\x{E000}-\x{FFFF}]", " ")
+    bare = F.regexp_replace(spaced, r"[\x00\x{AD}]", "")
     return F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")
 
 
@@ -104,7 +104,7 @@ def text_faults(text: Column, least_words: int = 10, most_glyphs: int = 10, most
     return F.array_compact(
         F.array(
             F.when(words < least_words, "few words"),
-            F.when(count(r"[-]") >= most_glyphs, "symbol glyphs"),
+            F.when(count(r"[\x{E000}-\x{F8FF}]") >= most_glyphs, "symbol glyphs"),
             F.when(count(r"\n") > most_breaks * F.greatest(words, F.lit(1)), "broken lines"),
             F.when(count(r"[∑∫√∂≈≠≤≥±∞∏÷]") >= most_formula, "formula signs"),
         )
