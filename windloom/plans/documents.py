@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from windloom.functions import text as T
 from windloom.operators import evidence, graph, ingest
-from windloom.session import table
+from windloom.session import spread
+from windloom.session import table as stored
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The stored table; a small one over all cores, since most queries here are heavy for each text."""
+    return spread(stored(spark, sf, name))
+
 
 #: Number of words between ASCII white space.
 WORDS = r"len(regexp_extract_all({0}, '[^ \t\n\r\f]+'))"

@@ -38,8 +38,10 @@ def run_windows_stream(spark: SparkSession, path: str, width: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     sink = f"windows_{uuid.uuid4().hex}"
-    query = windows(stream, width, "3650 days").writeStream.outputMode("complete").format("memory").queryName(sink).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = windows(stream, width, "3650 days").writeStream.outputMode("complete").format("memory").queryName(sink)
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        writer = writer.option("checkpointLocation", f"{shared}/{sink}")
+    writer.trigger(availableNow=True).start().awaitTermination()
     return spark.table(sink)
 
 
