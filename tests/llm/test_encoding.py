@@ -95,3 +95,35 @@ def test_table_operator(spark):
     filled = {r["page_id"]: r["text"] for r in E.fill_lost(got, "page_id", docs, "text").collect()}
     assert "größer" in filled[503] or "é" in filled[503]
     assert E.repair_encoding(docs.limit(0), "page_id", "text").count() == 0
+
+
+def counted(texts):
+    counts = {}
+    for t in (f" {t} " for t in texts):
+        for i in range(1, len(t) - 1):
+            if t[i] > "\x7f":
+                key = (E.kind(t[i - 1]), t[i], E.kind(t[i + 1]))
+                counts[key] = counts.get(key, 0) + 1
+    return counts
+
+
+def test_single_signs_in_any_setting_are_found(spark):
+    rng = random.Random(5)
+    clean = [f"{page(rng)} {'Der Wert ist in grö- ' + chr(10) + 'ßerer Höhe klein. ' if k % 100 == 0 else ''}At 12° the lift is 2 – 3 – 4 – 5 times the drag. Für die Höhe, natürlich erklärt." for k in range(300)]
+    wrong = {1000: ("At 68.15° the control power", "mac_roman"), 1001: ("The drag – more than", "mac_roman"), 1002: ("Für die Mühe natürlich erklärt, für die Wände", "cp850")}
+    rows = [*enumerate(clean), *((i, misread(t, "cp1252", r)) for i, (t, r) in wrong.items())]
+    docs = spark.createDataFrame(rows, "page_id long, text string")
+    got = {r["page_id"]: r["text"] for r in E.repair_encoding(docs, "page_id", "text", counted(t for _, t in rows)).collect()}
+    assert got == {i: t for i, (t, _) in wrong.items()}
+
+
+def test_states_without_enough_evidence_are_the_ones_left_out(model):
+    rng = random.Random(6)
+    signs = "Ââ€™Ã¤ \u00a0÷³õ∞ñ·é漢鎴\ufffdаaA0.-\x1c\n"
+    for _ in range(2000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 30)))
+        evidence = [0.0] * len(model.states)
+        for state, s, e, d in model.candidates(text):
+            evidence[state] += max(model.odds(text, s, e, d, state), 0.0)
+        evidence[-1] = E.LOST_WEIGHT * text.count(E.LOST)
+        assert model.live(text) == [k for k, v in enumerate(evidence) if v + model.enter[k] + E.LEAVE > 0]

@@ -8,8 +8,9 @@ likelier in their surroundings than those seen. How likely a character is betwee
 neighbours is counted over all texts. Each labelled span gets the inverse of its state.
 
 Scale: one narrow pass counts characters by surroundings (a table bounded by the alphabet, not by
-the texts); a second passes only texts with a suspicious sequence to the model, which runs in
-Arrow batches. Texts are never shuffled.
+the texts); a second passes every text with a non-ASCII character to the model, which runs in
+Arrow batches and remembers the evidence of each run of signs in its surroundings, so that a text
+without enough of it costs a look at its signs. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ READ_AS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251")
 SINGLE = (("cp1252", "mac_roman"), ("cp1252", "cp1251"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("mac_roman", "cp1252"))
 LOST = "\ufffd"
 #: Logarithms: entering a state, leaving it, and a character that its pair can't produce.
-ENTER_MULTI, ENTER_SINGLE, LEAVE, ALIEN = -5.0, -8.0, -2.0, -6.0
+ENTER_MULTI, ENTER_SINGLE, LEAVE, ALIEN = -5.0, -4.0, -2.0, -6.0
+#: Off the odds of a single-byte pair where a line may divide a word: a letter's surroundings say little there.
+DIVIDED = -4.0
 #: Counts that stand for characters never met in some surroundings, as seen and as supposed original.
 UNSEEN, UNSEEN_ORIGINAL = 0.5, 0.005
 #: Share of an original's other occurrences that it may have in surroundings where it is unknown.
@@ -157,6 +160,15 @@ def misfit(a: str, c: str, b: str) -> bool:
     return inside and (unicodedata.category(c) == "Lu" or c in "‡·‚„‰ˆ˜¯˘˙˚¸˝˛ˇﬂ")
 
 
+#: Signs that touch, and the white space that a sequence of UTF-8 read as cp1252 may hold between them.
+PART = re.compile(r"[^\x00-\x7f]+(?:(?<=[\u00c2\u00c3]) (?=\s)[^\x00-\x7f]*)*")
+
+
+def _stand_in(c: str) -> str:
+    """One character for the neighbours that :meth:`Model.odds` and the patterns treat alike."""
+    return c if not c or c.isspace() or c == "-" else {"l": "a", "u": "A", "d": "0", "p": "."}[kind(c)]
+
+
 class Model:
     """The hidden Markov model; built once per Python worker from the counted surroundings."""
 
@@ -169,6 +181,7 @@ class Model:
         multi = [(f"utf-8>{e}", e) for e in READ_AS]
         self.states = [n for n, _ in multi] + ["utf-8>cp1252 twice", "utf-8>gbk", *(f"{t}>{r}" for t, r in SINGLE), "lost"]
         self.enter = [ENTER_SINGLE if ">" in s and not s.startswith("utf-8") else ENTER_MULTI for s in self.states]
+        self.single_states = range(len(multi) + 2, len(self.states) - 1)
         self.multi = [(re.compile(f"(?:{utf8_pattern(e)})+"), re.compile(utf8_pattern(e))) for _, e in multi]
         self.single = [(re.compile(_class(list(m)) + "+"), m) for m in (single_map(*pair) for pair in SINGLE)]
         one = utf8_pattern("cp1252")
@@ -177,6 +190,7 @@ class Model:
         self.gbk = re.compile(GBK_RUN)
         self.filled: dict[bytes, str] = {}
         self.known: dict[tuple, float] = {}
+        self.parts: dict[str, list[tuple[int, float]]] = {}
 
     def log(self, before: str, s: str, after: str, unseen: float) -> float:
         """Log probability of the non-ASCII characters of ``s`` between two characters."""
@@ -190,15 +204,16 @@ class Model:
                     out += MISFIT
         return out
 
-    def odds(self, text: str, s: int, e: int, original: str) -> float:
-        """Log odds of ``original`` against what is seen at ``[s, e)``."""
+    def odds(self, text: str, s: int, e: int, original: str, state: int = 0) -> float:
+        """Log odds of ``original`` against what is seen at ``[s, e)``, read by the pair of ``state``."""
         before, after = text[s - 1] if s else " ", text[e] if e < len(text) else " "
         key = (kind(before), text[s:e], original, kind(after))
         if key not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[key] = self.log(before, original, after, UNSEEN_ORIGINAL) - self.log(before, text[s:e], after, UNSEEN)
-        return self.known[key]
+        divided = state in self.single_states and (before == "\n" or after == "-")
+        return self.known[key] + DIVIDED if divided else self.known[key]
 
     def likely(self, head: bytes) -> str:
         if head not in self.filled:
@@ -226,21 +241,42 @@ class Model:
             for m in run.finditer(text):
                 yield k, m.start(), m.end(), "".join(back[c] for c in m[0])
 
-    def label(self, text: str) -> list[tuple[int, int, str, str]]:
-        """Spans ``(start, end, state, original)`` of the most likely labelling that aren't clean."""
-        spots = [i for i, c in enumerate(text) if c > "\x7f"]
-        if not spots:
-            return []
-        index = {p: k for k, p in enumerate(spots)}
-        found = [(state, s, e, d, self.odds(text, s, e, d)) for state, s, e, d in self.candidates(text)]
-        # a state whose evidence can't pay for its entry is never taken
+    def part_evidence(self, part: str) -> list[tuple[int, float]]:
+        """``(state, sum of positive odds)`` of a run of signs with the character on either side."""
+        out: dict[int, float] = {}
+        for state, s, e, d in self.candidates(part):
+            if (odds := self.odds(part, s, e, d, state)) > 0:
+                out[state] = out.get(state, 0.0) + odds
+        return list(out.items())
+
+    def live(self, text: str) -> list[int]:
+        """States whose evidence can pay for their entry; no other is ever taken.
+
+        No candidate reaches beyond a :data:`PART` and odds depend on what :func:`_stand_in`
+        keeps of its neighbours, so the parts add up to what all candidates of the text give.
+        """
         evidence = [0.0] * len(self.states)
-        for state, *_, odds in found:
-            evidence[state] += max(odds, 0.0)
+        for m in PART.finditer(text):
+            s, e = m.span()
+            before, after = text[s - 1 : s], text[e : e + 1]
+            part = f"{_stand_in(before)}{m[0]}{_stand_in(after)}"
+            if (known := self.parts.get(part)) is None:
+                if len(self.parts) > 200_000:
+                    self.parts.clear()
+                known = self.parts[part] = self.part_evidence(part)
+            for state, odds in known:
+                evidence[state] += odds
         evidence[-1] = LOST_WEIGHT * text.count(LOST)
-        live = [k for k, v in enumerate(evidence) if v + self.enter[k] + LEAVE > 0]
+        return [k for k, v in enumerate(evidence) if v + self.enter[k] + LEAVE > 0]
+
+    def label(self, text: str) -> list[tuple[int, int, str, str]]:
+        """Spans ``(start, end, state, original)`` of the most likely labelling that aren't clean."""
+        live = self.live(text)
         if not live:
             return []
+        spots = [i for i, c in enumerate(text) if c > "\x7f"]
+        index = {p: k for k, p in enumerate(spots)}
+        found = [(state, s, e, d, self.odds(text, s, e, d, state)) for state, s, e, d in self.candidates(text)]
         column = {state: j for j, state in enumerate(live)}
         weight = [[ALIEN] * len(live) for _ in spots]
         spans: dict[tuple[int, int], tuple[int, int, str]] = {}
@@ -308,23 +344,6 @@ class Model:
         return text, sorted(set(states)), places
 
 
-@lru_cache(None)
-def suspicious() -> str:
-    """A Java pattern for texts that the model has to look at.
-
-    Any sequence of a multi-byte pair, Han, a replacement sign, or a sign inside or before a
-    word that a single-byte pair makes and that the languages' own letters and signs are not.
-    """
-    own = "ÄÖÜÀÈÉÊÇäöüßéèêàâçîïôûùáíóúñãõìò’“”–—…•°±«»µ×²³⁻\u00ad·\u00a0\u2009\u202f"
-    single = {c for pair in SINGLE for c in single_map(*pair)} - set(own)
-    capital = "(?<=[a-z])[ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜ](?=[a-z])"
-    inside = f"(?<=[a-zA-Z]){_class(sorted(single))}{{1,3}}(?=[a-z])|[\\u0400-\\u04ff](?=[a-z])|[ìî](?=[A-Z])"
-    alone = "(?<![\\u0400-\\u04ff])[\\u0400-\\u04ff](?![\\u0400-\\u04ff])"
-    signs = "◊|∞(?=[CF])|(?<=[0-9])[ñó](?=[0-9])"
-    parts = [utf8_pattern(e) for e in READ_AS] + [capital, inside, alone, signs, "[\\u3400-\\u9fff\\ufffd]"]
-    return f"(?=[^\\x00-\\x7f])(?:{'|'.join(parts)})"  # ASCII positions fail at once
-
-
 def repair_encoding(df: DataFrame, id_col: str, text_col: str, counts: dict | None = None) -> DataFrame:
     """``<id_col>, text, states, places`` of the rows with a wrongly decoded place.
 
@@ -343,7 +362,7 @@ def repair_encoding(df: DataFrame, id_col: str, text_col: str, counts: dict | No
             got = [(i, *model.restore(t)) for i, t in zip(pdf["_id"], pdf["_text"])]
             yield pd.DataFrame([g for g in got if g[2]], columns=["_id", "text", "states", "places"])
 
-    return rows.filter(F.col("_text").rlike(suspicious())).mapInPandas(run, f"_id {kind_of_id}, text string, states array<string>, places int").withColumnRenamed("_id", id_col)
+    return rows.filter(F.col("_text").rlike(r"[^\x00-\x7f]")).mapInPandas(run, f"_id {kind_of_id}, text string, states array<string>, places int").withColumnRenamed("_id", id_col)
 
 
 WORD = r"(?U)[\p{L}�]*[^\x00-\x7f\W][\p{L}�]*"
