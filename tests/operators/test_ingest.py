@@ -32,6 +32,19 @@ def test_chunk_fold():
     assert ingest.chunk_fold([], 30, 40, 1) == [] and ingest.chunk_fold(["a b"], 30, 40, 1) == []
 
 
+def test_chunks_hold_every_word(spark):
+    long = " ".join(f"w{i}" for i in range(1282))
+    mixed = " ".join(["A " + " ".join(f"a{i}" for i in range(199)) + ".", "B " + " ".join(f"b{i}" for i in range(89)) + ".", "C " + " ".join(f"c{i}" for i in range(399)) + "."])
+    docs = spark.createDataFrame([(1, long), (2, mixed)], "doc_id long, text string")
+    assert [len(s.split()) for s in one(spark, long, T.protected_sentences)] == [420, 420, 420, 22]
+    for target, most, overlap in ((300, 420, 2), (1200, 1500, 1), (50, 60, 2)):
+        got = ingest.chunks(docs, "doc_id", "text", target, most, overlap).collect()
+        assert all(r["n_words"] == len(r["text"].split()) <= most for r in got)
+        for i, text in ((1, long), (2, mixed)):
+            assert {w for r in got if r["doc_id"] == i for w in r["text"].split()} == set(text.split())
+    assert ingest.chunk_fold(["a b c d e f g"], 3, 5, 1) == ["a b c d e", "f g"]
+
+
 def test_registry_and_purge(spark):
     at = dt.datetime(2024, 1, 1)
     rows = [("a.pdf", "h1", 3, at), ("a.pdf", "h2", None, at + dt.timedelta(days=1)), ("b.pdf", None, 1, at)]

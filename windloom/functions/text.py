@@ -48,12 +48,23 @@ def sentences(text: Column, least_words: int = 6) -> Column:
 ABBREVIATIONS = "Fig Figs Eq Eqs Ref Refs Sec Sect No Nos Vol Dr Mr Mrs Prof vs etc approx al pp ca".split()
 
 
-def protected_sentences(text: Column, least_words: int = 5) -> Column:
-    """Sentences that neither an abbreviation, an initial such as ``i.e.`` nor a decimal point ends."""
+def recut(sentences: Column, most_words: int) -> Column:
+    """Sentences of more than ``most_words`` words in pieces of as many, the last one with what is left."""
+    part = lambda w, k: F.array_join(F.slice(w, k * most_words + 1, most_words), " ")
+    pieces = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / most_words).cast("int")), lambda k: part(w, k))
+    return F.flatten(F.transform(sentences, lambda s: F.when(F.size(white_split(s)) > most_words, pieces(white_split(s))).otherwise(F.array(s))))
+
+
+def protected_sentences(text: Column, least_words: int = 5, most_words: int = 420) -> Column:
+    """Sentences that neither an abbreviation, an initial such as ``i.e.`` nor a decimal point ends.
+
+    Longer ones than ``most_words`` are cut again; a short last piece stays, so no word of them is lost.
+    """
     guarded = F.regexp_replace(text, rf"\b({'|'.join(ABBREVIATIONS)}|[A-Za-z](?:\.[A-Za-z])+)\.", "$1\u0002")
     guarded = F.regexp_replace(guarded, r"(?<=\d)\.(?=\d)", "\u0002")
     parts = F.split(guarded, r"(?<=[.!?])[ \t\n\r\f]+(?=[\p{Lu}\p{N}])")
-    return F.filter(F.transform(parts, lambda s: F.replace(F.trim(s), F.lit("\u0002"), F.lit("."))), lambda s: F.size(white_split(s)) >= least_words)
+    whole = F.filter(F.transform(parts, lambda s: F.replace(F.trim(s), F.lit("\u0002"), F.lit("."))), lambda s: F.size(white_split(s)) >= least_words)
+    return recut(whole, most_words)
 
 
 def keywords(text: Column) -> Column:

@@ -40,28 +40,30 @@ def audit(pages: DataFrame) -> DataFrame:
 
 
 def chunk_fold(sentences: list[str], target: int, most: int, overlap: int, least: int = 5) -> list[str]:
-    """Sentences gathered up to ``target`` words, the last ``overlap`` of them carried over."""
-    out: list[str] = []
-    buffer: list[str] = []
-    words = 0
-
-    def flush() -> None:
-        text = " ".join(" ".join(buffer).split()[:most])
-        if text:
-            out.append(text)
+    """Sentences gathered up to ``target`` words, the last ``overlap`` of them carried over.
 
-    fresh = 0
+    No chunk has more than ``most`` words: less is carried over where it would not fit beside the
+    next sentence, and a longer sentence is cut. Together the chunks hold every word, but for a
+    text of less than ``least`` words.
+    """
+    out: list[str] = []
+    buffer: list[list[str]] = []
+    words = fresh = 0
     for s in sentences:
-        n = len(s.split())
-        if buffer and words + n > target and fresh:
-            flush()
-            buffer = buffer[-overlap:] if overlap else []
-            words, fresh = sum(len(x.split()) for x in buffer), 0
-        buffer.append(s)
-        words += n
-        fresh += 1
-    if fresh and words >= least:
-        flush()
+        every = s.split()
+        for k in range(0, len(every), most):
+            piece = every[k : k + most]
+            if fresh and words + len(piece) > min(target, most):
+                out.append(" ".join(w for x in buffer for w in x))
+                buffer = buffer[-overlap:] if overlap else []
+                words, fresh = sum(map(len, buffer)), 0
+                while buffer and words + len(piece) > most:
+                    words -= len(buffer.pop(0))
+            buffer.append(piece)
+            words += len(piece)
+            fresh += 1
+    if fresh and (out or words >= least):
+        out.append(" ".join(w for x in buffer for w in x))
     return out
 
 
