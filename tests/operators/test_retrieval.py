@@ -54,6 +54,17 @@ def test_dense_mmr_and_dedup(spark):
     assert kept.count() == again.count()
 
 
+def test_similarity_edges_have_no_limit(spark):
+    x = np.random.default_rng(2).normal(size=(400, 4))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["src"], r["dst"]): r["similarity"] for r in graph.similarity_edges(vectors, vectors.filter("vec_id < 3"), 0.25).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(u[:3] @ u.T, 6)
+    want = {(q, d): sim[q, d] for q in range(3) for d in range(400) if q != d and sim[q, d] > 0.25}
+    assert got == pytest.approx(want, abs=2e-6) and len(want) > 150
+    assert graph.similarity_edges(vectors, vectors.limit(0)).count() == 0
+
+
 def test_hops_against_brute_force(spark):
     rng = np.random.default_rng(1)
     edges = {(int(a), int(b)) for a, b in rng.integers(0, 40, (45, 2)) if a != b}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windloom.functions import text as T
-from windloom.operators.retrieval import QUERY_BLOCK, dense
+from windloom.operators.retrieval import dense_above
 from windloom.session import checkpointed
 
 #: A name with its number, the entities of this domain.
@@ -40,13 +40,9 @@ def route(vectors: DataFrame, centers: DataFrame, group: str = "label", least: f
     return best.select("vec_id", F.when(F.col("b.similarity") >= least, -F.col("b.col2")).alias("routed"), F.col("b.similarity").alias("similarity"))
 
 
-def similarity_edges(vectors: DataFrame, new: DataFrame, above: float = 0.55, most: int = 50) -> DataFrame:
-    """``src, dst, similarity`` from each new vector to the rows more similar than ``above``.
-
-    ``most`` bounds the edges kept of a vector as a top-k search does.
-    """
-    near = dense(vectors, new, most, QUERY_BLOCK)
-    return near.filter(F.col("similarity") > above).select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "similarity")
+def similarity_edges(vectors: DataFrame, new: DataFrame, above: float = 0.55) -> DataFrame:
+    """``src, dst, similarity`` from each new vector to all rows more similar than ``above``."""
+    return dense_above(vectors, new, above).select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "similarity")
 
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:

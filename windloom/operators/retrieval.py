@@ -175,6 +175,13 @@ def fuse(dense: DataFrame, sparse: DataFrame, alpha: float = 0.65, c: int = 60,
     return best_per(scored, "query_id", "score", "doc_id", k)
 
 
+def _vector_blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of the stated queries in blocks, each a bounded matrix."""
+    for chosen in _blocks(queries.select("vec_id", "embedding"), block):
+        matrix = np.stack(chosen["embedding"].to_numpy()).astype(np.float64)
+        yield chosen["vec_id"].to_numpy(), matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, vec_id, similarity, rank`` by cosine, exact.
 
@@ -182,10 +189,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = QUER
     batch of rows the best ``k`` for each query are kept before the shuffle.
     """
     result = None
-    for chosen in _blocks(queries.select("vec_id", "embedding"), block):
-        ids = chosen["vec_id"].to_numpy()
-        matrix = np.stack(chosen["embedding"].to_numpy()).astype(np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    for ids, matrix in _vector_blocks(queries, block):
         found = vectors.select("vec_id", "embedding").mapInPandas(_nearest(ids, matrix, k), "query_id long, vec_id long, similarity double")
         result = found if result is None else result.unionByName(found)
     if result is None:
@@ -193,6 +197,39 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = QUER
     return best_per(result, "query_id", "similarity", "vec_id", k)
 
 
+def dense_above(vectors: DataFrame, queries: DataFrame, above: float, block: int = QUERY_BLOCK) -> DataFrame:
+    """``query_id, vec_id, similarity`` of all rows more similar than ``above``, exact and without a limit.
+
+    They come straight from the blocks' matrix products; nothing is ranked or shuffled.
+    """
+    result = None
+    for ids, matrix in _vector_blocks(queries, block):
+        found = vectors.select("vec_id", "embedding").mapInPandas(_all_above(ids, matrix, above), "query_id long, vec_id long, similarity double")
+        result = found if result is None else result.unionByName(found)
+    if result is None:
+        return vectors.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("similarity"))
+    return result
+
+
+#: Rows that meet a block of query vectors at once where all above a threshold are wanted.
+ROW_BLOCK = 1024
+
+
+def _all_above(ids: np.ndarray, matrix: np.ndarray, above: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for start in range(0, len(pdf), ROW_BLOCK):
+                part = pdf.iloc[start : start + ROW_BLOCK]
+                own = part["vec_id"].to_numpy()
+                x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                sim = np.round(matrix @ x.T, 6)
+                q, d = np.nonzero((sim > above) & (ids[:, None] != own[None, :]))
+                yield pd.DataFrame({"query_id": ids[q], "vec_id": own[d], "similarity": sim[q, d]})
+
+    return run
+
+
 def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
