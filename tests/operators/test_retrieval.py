@@ -92,5 +92,28 @@ def test_word_budget_and_citations(spark):
     assert [(r["source"], r["number"]) for r in evidence.citation_numbers(facts).orderBy("number").collect()] == [("a", 1), ("b", 2)]
 
 
+def test_contradiction_pairs_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "WORD_ROWS", 5)
+    rng = np.random.default_rng(3)
+    texts = ["The wing does not stall at 12 degrees", "the wing stalls at 12 degrees", "The wing does stall at 14 degrees", "no no no", ""]
+    for _ in range(150):
+        w = [f"w{k}" for k in rng.integers(0, 12, rng.integers(6, 14)) ** 2 // 12]
+        texts += [" ".join(w), " ".join([*w[:3], "not", *w[3:], *(["w1"] if rng.random() < 0.5 else [])])]
+    texts += texts[:40]
+    rows = spark.createDataFrame([(t,) for t in texts], "fact string")
+    got = {(r["plain"], r["negated"]): (r["similarity"], r["n_plain"], r["n_negated"]) for r in evidence.contradiction_pairs(rows).collect()}
+    n = Counter(t.lower() for t in texts if t)
+    want = {}
+    for p in n:
+        for q in n:
+            a, b = Counter(p.split()), Counter(q.split())
+            if not {"not", "no"} & set(a) and {"not", "no"} & set(b):
+                cosine = sum(a[w] * b[w] for w in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+                if round(cosine, 6) >= 0.82:
+                    want[p, q] = (pytest.approx(cosine, abs=1e-6), n[p], n[q])
+    assert got == want and len(want) > 150
+    assert evidence.contradiction_pairs(spark.createDataFrame([], "fact string")).count() == 0
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLE) <= set(registry.QUERIES)

@@ -172,6 +172,11 @@ def contradictions(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.contradictions(evidence.facts(table(spark, sf, "documents")))
 
 
+def contradiction_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Similar statements of which one is negated; ``contradictions`` has only those that are equal but for negations and numbers."""
+    return evidence.contradiction_pairs(evidence.facts(table(spark, sf, "documents")))
+
+
 def entity_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return graph.mentions(table(spark, sf, "documents"))
 
@@ -222,7 +227,7 @@ QUERIES = {
         sentence_split, sentence_split_protected, text_quality_reasons, quality_audit_by_source, table_validation, clean_page_text, ocr_pipe_clean,
         collapse_repeats, keyword_extract, markdown_table_cells, chunk_children, chunk_parents, child_parent_lookup, pages_without_chunks, group_topics,
         registry_latest, registry_aliases, content_hash_new_pages, unregistered_sources, purge_sources, fact_dedup, word_budget_summary, citation_numbers,
-        contradictions, entity_mentions, entity_degrees, question_type, clean_query_text, intent_router, page_kinds, reference_lists, quantity_values,
+        contradictions, contradiction_pairs, entity_mentions, entity_degrees, question_type, clean_query_text, intent_router, page_kinds, reference_lists, quantity_values,
     )
 }
 
