@@ -2,13 +2,14 @@ import pytest
 
 import __spark_entry__
 from tests.compare import difference
+from windloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_query_equals_sql(spark, name):
-    assert difference(__spark_entry__.queries()[name](spark, SF), SF, __spark_entry__.oracle_sql()[name]) == ""
+    assert difference(__spark_entry__.queries()[name](spark, SF), SF, registry.ORACLE[name]) == ""
 
 
 def test_entry(spark):

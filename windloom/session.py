@@ -7,6 +7,7 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -31,38 +32,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that setting is absent
-    (tests, a laptop) is a local folder used instead.
+    The folder is the cluster's ``spark.checkpoint.dir``. Only on a local master without that
+    setting (tests, a laptop) is a local folder used instead; elsewhere its absence is an error,
+    for executors would write to disks that no other executor sees.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="windloom-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-#: Largest side that is broadcast on purpose, in rows of a few numeric columns (a few dozen MB).
-BROADCAST_ROWS = 500_000
+#: Largest side that is broadcast on purpose, in bytes of its values.
+BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when it has at most ``rows`` rows; a shuffled join serves beyond.
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast when its values take at most ``most`` bytes; a shuffled join serves beyond.
 
-    The count stops after ``rows + 1`` rows. Pass a checkpointed frame, or the count runs its plan.
+    Values are measured by one distributed aggregate, strings by their length and others as eight
+    bytes, with 16 bytes a row on top. Pass a checkpointed frame, or the measuring runs its plan.
     """
-    from pyspark.sql import functions as F
+    size = F.lit(16)
+    for name, kind in df.dtypes:
+        size = size + (F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else F.lit(8))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
 
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+#: A table of at most so many bytes (one default split) may be spread, in parts of at least so many.
+SPREAD_BYTES, SPREAD_PART = 128 << 20, 64 << 10
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when a small table has fewer splits than half the cores; else unchanged.
+    """Rows of a table that is smaller than one split, and has fewer files than cores, over the cores.
 
-    For work that is heavy for each row. A large table has splits enough and isn't shuffled.
+    For work that is heavy for each row. The size is the optimizer's estimate; nothing is run to get
+    it, and a table beyond ``SPREAD_BYTES`` is never shuffled by this, whatever the number of cores.
     """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    if size > SPREAD_BYTES or len(df.inputFiles()) >= cores:
+        return df
+    parts = min(cores, -(-size // SPREAD_PART))
+    return df.repartition(parts) if parts > 1 else df
 
 
 def ship(spark: SparkSession) -> None:
