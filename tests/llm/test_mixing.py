@@ -27,6 +27,9 @@ def test_rake_meets_source_shares_and_caps():
     w = rake(cells, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 4, "b": 4, "c": 4}, total)
     got = (w * cells.tokens).groupby(cells.source).sum() / total
     assert np.allclose(got[["a", "b", "c"]], [0.5, 0.3, 0.2], atol=1e-6)
+    tight = cells[cells.source == "a"].tokens.sum() / total * 0.999  # all but one part in a thousand of its cap
+    w = rake(cells, {"a": tight, "b": 0.1, "c": 0.1}, {"a": 1, "b": 4, "c": 4}, total)
+    assert abs((w * cells.tokens)[cells.source == "a"].sum() / total - tight) < 1e-12
     w = rake(cells, {"a": 0.9, "b": 0.05, "c": 0.05}, {"a": 1, "b": 1, "c": 1}, total)
     assert w.max() <= 1 and np.allclose(w[cells.source == "a"], 1)
 
@@ -53,6 +56,20 @@ def test_shares_caps_and_short_sources(spark):
     assert abs(got.actual_share.sum() - 1) < 1e-9
 
 
+def test_languages_are_raked_and_short_sources_used_up(spark):
+    docs = spark.createDataFrame(corpus(spark), DOCS)
+    targets = spark.createDataFrame([("big", 0.6, 4), ("mid", 0.2, 4), ("small", 0.2, 2)], TARGETS)
+    languages = spark.createDataFrame([("en", 0.3), ("de", 0.7)], "lang string, target_share double")
+    report, sample = mix_plan(docs, targets, languages=languages)
+    got = report.toPandas().set_index("source")
+    assert not got.feasible["small"] and got.used_tokens["small"] == got.reachable["small"]
+    assert abs(got.reached_share["big"] - 0.6) < 0.006 and abs(got.reached_share["mid"] - 0.2) < 0.002
+    lang = {r["doc_id"]: r["lang"].lower() for r in docs.collect()}
+    used = sample.toPandas()
+    assert 0.67 < (used.tokens * used.copies)[used.doc_id.map(lang) == "de"].sum() / (used.tokens * used.copies).sum() < 0.73
+    assert mix_plan(docs, targets, total=1000)[0].toPandas().used_tokens.sum() < 1100
+
+
 def test_nulls_and_empty(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
     docs = spark.createDataFrame([(1, None, None, "a", 1, 0), (2, "", "en", None, 1, 0), (None, "x", "zz-weird", "a", 1, 0)], DOCS)

@@ -1,29 +1,36 @@
 """Mixing sources to target weights (problem 7).
 
 Tokens are counted per cell (source, language, topic). Iterative proportional fitting rakes the
-cells to the target shares of the sources and, as far as these allow, keeps the languages' and
-topics' own shares; a cell's tokens may be used at most ``max_repeats`` times. Each record is
-then used ``floor(w)`` times, and once more where a hash of its key lies in the first bins of its
-cell. How many bins is calibrated on the tokens of each, so realised shares follow the weights.
-
-Only the table of cells visits the driver. It has at most (listed sources) x (language codes) x
-(topics) rows; language names that are no two- or three-letter code count as one. Records
-stream through two narrow jobs; there is no join of records with records.
+cells to the target shares of the sources and, as far as these allow, to those of the languages
+and topics; a cell's tokens may be used at most ``max_repeats`` times. Each record of a cell of
+weight ``w`` is used ``floor(w)`` times, and once more if the hash of its key is below its
+probability, the rest of ``w`` times a factor of its source. The factors are calibrated on the
+records' tokens, so that the tokens used are those planned whatever the records' lengths.
+
+Scale: records become narrow rows (key, cell, tokens) in one pass and are checkpointed; the
+cells, the calibration and what the sample used are Spark aggregates over them. Only the table of
+cells visits the driver, to be raked. It has at most (listed sources) x (677 languages) x
+(topics) rows, whatever the number of records; there is no join of records with records.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windloom.llm.tokens import wordpunct_count
-from windloom.session import spread
+from windloom.session import checkpointed, spread
 
 TOPICS = 8
 ROUNDS = 200
-HASH_BINS = 256
+#: Steps in which the factor of a source is calibrated, over all factors from 0 to infinity.
+FACTOR_STEPS = 8192
+#: Parts of a hash.
+HASHES = 1 << 40
+#: Relative error of the sums of a source's cells.
+ROUNDING = 1e-11
 
 
 def topic_of(text: Column, topics: int = TOPICS) -> Column:
@@ -51,12 +58,13 @@ def norm_source(c: Column) -> Column:
 
 
 def norm_lang(c: Column) -> Column:
-    code = F.lower(F.trim(c))
-    return F.when(code.rlike("^[a-z]{2,3}$"), code).otherwise(F.lit("und"))
+    """The two letters of a language code; other names are one language."""
+    code = F.regexp_extract(F.lower(F.trim(c)), "^([a-z]{2})(?:[-_].*)?$", 1)
+    return F.when(code != "", code).otherwise(F.lit("und"))
 
 
 def records(docs: DataFrame, targets: DataFrame, topics: int = TOPICS) -> DataFrame:
-    """One narrow row per distinct ``doc_id`` of a listed source: size, cell and hash bin."""
+    """One narrow row per distinct ``doc_id`` of a listed source: size and cell."""
     listed = targets.select(norm_source(F.col("source")).alias("source")).distinct()
     # mix_targets has one row per source; both sides are narrow, Spark broadcasts it by its size
     narrow = spread(docs.select("doc_id", "source", "lang", "text")).select(
@@ -69,122 +77,123 @@ def records(docs: DataFrame, targets: DataFrame, topics: int = TOPICS) -> DataFr
             "lang",
             F.coalesce(wordpunct_count(F.col("_text")), F.lit(0)).cast("long").alias("tokens"),
             topic_of(F.coalesce("_text", F.lit("")), topics).alias("topic"),
-            F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(HASH_BINS)).cast("int").alias("bin"),
         )
         .groupBy("doc_id")
-        .agg(*[F.min(c).alias(c) for c in ("source", "lang", "tokens", "topic", "bin")])
+        .agg(*[F.min(c).alias(c) for c in ("source", "lang", "tokens", "topic")])
     )
 
 
-def rake(cells: pd.DataFrame, target: dict[str, float], cap: dict[str, int], total: float) -> np.ndarray:
+def _filled(w: np.ndarray, size: np.ndarray, limit: np.ndarray, goal: float) -> np.ndarray:
+    """``w`` times one factor, cut at the limits, so that the tokens are ``goal`` or all that there are."""
+    there = (w > 0) & (size > 0)
+    if not there.any() or (limit * size)[there].sum() <= goal:
+        return np.where(there, limit, w)
+    full = np.where(there, limit / np.where(there, w, 1.0), np.inf)  # factor at which a cell is at its limit
+    order = np.argsort(full, kind="stable")
+    capped = np.concatenate([[0.0], np.cumsum((np.where(there, limit, 0.0) * size)[order])])[:-1]
+    open_ = np.cumsum((w * size)[order][::-1])[::-1]
+    factor = (goal - capped) / np.where(open_ > 0, open_, 1.0)
+    fits = np.flatnonzero(there[order] & (factor <= full[order]))  # the first cell that stays below its limit
+    return np.minimum(w * factor[fits[0]], limit) if len(fits) else np.minimum(w, limit)
+
+
+def rake(cells: pd.DataFrame, target: dict[str, float], cap: dict[str, int], total: float, shares: dict[str, dict] | None = None) -> np.ndarray:
     """Weights of the cells by iterative proportional fitting under the sources' repeat caps.
 
-    Sources come last in each round and so are met exactly; a source beyond its cap stays there.
+    Sources come last in each round and are met exactly: what a capped cell can't give falls to the
+    source's other cells, and a source beyond all its caps stays at them. ``shares`` has targets of
+    the columns ``lang`` and ``topic``, the cells' own shares where it has none.
     """
     size = cells["tokens"].to_numpy(float)
     limit = cells["source"].map(cap).to_numpy(float)
-    w = np.ones(len(cells))
+    w = np.minimum(np.ones(len(cells)), limit)
     margins = []
     for c in ("lang", "topic"):
-        share = cells.groupby(c)["tokens"].sum() / max(size.sum(), 1.0)
-        margins.append((pd.factorize(cells[c], sort=True)[0], share.sort_index().to_numpy() * total))
+        own = (cells.groupby(c)["tokens"].sum() / max(size.sum(), 1.0)).sort_index()
+        goal = own.index.map((shares or {}).get(c) or own.to_dict()).to_numpy(float)
+        margins.append((pd.factorize(cells[c], sort=True)[0], np.nan_to_num(goal) * total))
     code, names = pd.factorize(cells["source"], sort=True)
-    wanted = np.array([target[s] * total for s in names])
-
-    def scaled(group: np.ndarray, goal: np.ndarray) -> np.ndarray:
-        now = np.bincount(group, w * size, len(goal))
-        return w * np.divide(goal, now, out=np.ones_like(goal), where=now > 0)[group]
-
+    members = [np.flatnonzero(code == k) for k in range(len(names))]
     for _ in range(ROUNDS):
         last = w.copy()
         for group, goal in margins:
-            w = np.minimum(scaled(group, goal), limit)
-        for _ in range(20):  # what a capped cell can't give falls to the source's other cells
-            w = np.minimum(scaled(code, wanted), limit)
+            now = np.bincount(group, w * size, len(goal))
+            w = np.minimum(w * np.divide(goal, now, out=np.ones_like(goal), where=now > 0)[group], limit)
+        w = np.maximum(w, 1e-9)  # no target of a language or topic may keep a source from its share
+        for own, s in zip(members, names):
+            w[own] = _filled(w[own], size[own], limit[own], target[s] * total)
         if np.abs(w - last).max(initial=0) < 1e-9:
             break
     return w
 
 
-def _one_more(bins: pd.DataFrame) -> list[int]:
-    """Whether the records of each hash bin are used once more than ``base``.
+def _shares(df: DataFrame | None, column: str) -> dict | None:
+    # one row for each language or topic
+    return None if df is None else {r[0]: float(r[1]) for r in df.select(column, "target_share").collect()}
 
-    Bins are taken in order until a cell's extra tokens are reached; what a whole bin is too much
-    or too little is carried to the source's next cell, so that a source ends within about half a
-    bin of its plan.
-    """
-    out, carry, source, cell, left = [], 0.0, None, None, 0.0
-    for r in bins.itertuples():
-        if r.source != source:
-            source, carry = r.source, 0.0
-        if (r.source, r.lang, r.topic) != cell:
-            if cell is not None and cell[0] == r.source:
-                carry = left
-            cell, left = (r.source, r.lang, r.topic), r.extra + carry
-        take = r.extra > 0 and left >= r.tokens / 2
-        left -= r.tokens * take
-        out.append(int(take))
-    return out
-
-
-def mix_plan(docs: DataFrame, targets: DataFrame, total: int | None = None, topics: int = TOPICS):
+
+def mix_plan(docs: DataFrame, targets: DataFrame, total: int | None = None, topics: int = TOPICS, languages: DataFrame | None = None, topic_shares: DataFrame | None = None):
     """``(report, sample)``.
 
     ``report``: one row per listed source with ``source, target_share, max_repeats, tokens,
-    needed, reachable, feasible, planned, used_tokens, actual_share``; ``sample``: ``doc_id,
-    source, copies`` for the records that are used. The mix has ``total`` tokens by default as
-    many as all records of the listed sources.
+    needed, reachable, planned, feasible, used_tokens, reached_share, actual_share``; ``sample``:
+    ``doc_id, source, tokens, copies`` for the records that are used. The mix has ``total`` tokens,
+    by default as many as all records of the listed sources. ``reached_share`` is of this total, as
+    the target is; ``actual_share`` is of the mix, which is smaller where sources run dry.
+    ``languages`` (``lang, target_share``) and ``topic_shares`` (``topic, target_share``) are raked to as far
+    as the sources' shares and caps allow; by default they keep the records' own shares.
 
     Sources compare trimmed and in lower case. A listed source without records needs more than
     it has. Null texts and null sources count nothing. A ``doc_id`` delivered twice counts once.
     With no records at all the report has zero tokens and null shares.
     """
-    rows = records(docs, targets, topics)
-    bins = rows.groupBy("source", "lang", "topic", "bin").agg(F.sum("tokens").alias("tokens"))
-    cell_bins = bins.toPandas()  # (sources x languages x topics x bins) at most
-    wanted = (
-        targets.select(F.col("source"), norm_source(F.col("source")).alias("key"), "target_share", "max_repeats").dropDuplicates(["key"]).toPandas()
-    )
-    have = cell_bins.groupby("source")["tokens"].sum()
-    wanted["tokens"] = wanted["key"].map(have).fillna(0).astype("int64")
-    all_tokens = int(wanted["tokens"].sum())
-    size = float(total if total is not None else all_tokens)
-    wanted["needed"] = wanted["target_share"].astype(float).fillna(0.0) * size
-    wanted["reachable"] = (wanted["tokens"] * wanted["max_repeats"].fillna(1)).astype(float)
-    wanted["feasible"] = ~(wanted["reachable"] < wanted["needed"])
-    cells = cell_bins.groupby(["source", "lang", "topic"], as_index=False)["tokens"].sum()
-    key = wanted.set_index("key")
-    cells["w"] = rake(cells, key["target_share"].fillna(0.0).to_dict(), key["max_repeats"].fillna(1).to_dict(), size) if len(cells) else 0.0
-    cells["base"] = np.floor(cells["w"] + 1e-9).astype("int64")
-    cells["extra"] = (cells["w"] - cells["base"]).clip(lower=0) * cells["tokens"]
-    merged = cell_bins.merge(cells.drop(columns="tokens"), on=["source", "lang", "topic"]).sort_values(["source", "lang", "topic", "bin"])
-    merged["more"] = _one_more(merged)
     spark = docs.sparkSession
-    plan = spark.createDataFrame(
-        merged[["source", "lang", "topic", "bin", "base", "more"]] if len(merged) else [],
-        "source string, lang string, topic int, bin int, base long, more long",
-    )
-    cap = spark.createDataFrame(wanted[["key", "max_repeats"]].fillna(1) if len(wanted) else [], "key string, max_repeats long")
-    sample = (
-        rows.join(plan, ["source", "lang", "topic", "bin"])
-        .join(cap, F.col("source") == F.col("key"))
-        .withColumn("copies", F.least(F.col("base") + F.col("more"), F.col("max_repeats")))
-        .filter("copies > 0")
-        .select("doc_id", "source", "tokens", "copies")
+    rows = checkpointed(records(docs, targets, topics))
+    cell = ["source", "lang", "topic"]
+    cells = rows.groupBy(*cell).agg(F.sum("tokens").alias("tokens")).toPandas()  # bounded, see the module
+    listed = targets.select("source", norm_source(F.col("source")).alias("key"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).cast("long").alias("max_repeats")).dropDuplicates(["key"])
+    goals = {r["key"]: r for r in listed.collect()}  # one row for each listed source
+    size = float(total if total is not None else cells["tokens"].sum())
+    wanted = {"lang": _shares(languages, "lang"), "topic": _shares(topic_shares, "topic")}
+    cells["w"] = rake(cells, {k: r["target_share"] for k, r in goals.items()}, {k: r["max_repeats"] for k, r in goals.items()}, size, wanted)
+    weights = spark.createDataFrame(cells if len(cells) else [], "source string, lang string, topic int, tokens long, w double").withColumn("base", F.floor(F.col("w") + 1e-9)).withColumn(
+        "rest", F.greatest(F.col("w") - F.col("base"), F.lit(0.0))
     )
-    used = sample.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"))
-    planned = (cells["w"] * cells["tokens"]).groupby(cells["source"]).sum() if len(cells) else pd.Series(dtype=float)
-    wanted["planned"] = wanted["key"].map(planned).fillna(0.0)
-    base = spark.createDataFrame(
-        wanted if len(wanted) else [],
-        "source string, key string, target_share double, max_repeats long, tokens long, needed double, reachable double, feasible boolean, planned double",
-    )
-    report = base.join(used.withColumnRenamed("source", "_s"), F.col("key") == F.col("_s"), "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
-    everything = report.agg(F.sum("used_tokens").alias("_all"))
-    report = report.join(F.broadcast(everything), F.lit(True), "left").withColumn("actual_share", F.expr("try_divide(used_tokens, _all)")).drop("key", "_s", "_all")
-    return report, sample.drop("tokens")
+    plan = weights.groupBy(F.col("source").alias("key")).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("w") * F.col("tokens")).alias("planned"), F.sum(F.col("rest") * F.col("tokens")).alias("more"))
+    factors = _factors(rows.join(F.broadcast(weights.select(*cell, "rest")), cell), plan)
+    placed = rows.join(F.broadcast(weights.select(*cell, "base", "rest")), cell).join(F.broadcast(factors), "source", "left")
+    again = (_hash() < F.col("factor") * F.col("rest")).cast("long")
+    sample = placed.withColumn("copies", F.col("base") + F.coalesce(again, F.lit(0))).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
+    used = sample.groupBy(F.col("source").alias("key")).agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"))
+    report = listed.join(plan.drop("more"), "key", "left").join(used, "key", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("tokens", "planned", "used_tokens")})
+    report = report.withColumn("needed", F.col("target_share") * size).withColumn("reachable", F.col("tokens") * F.col("max_repeats"))
+    report = report.withColumn("feasible", ~(F.col("planned") < F.col("needed") * (1 - ROUNDING)))
+    everything = report.agg(F.sum("used_tokens").alias("_all"))  # one row
+    report = report.join(F.broadcast(everything), F.lit(True)).withColumn("reached_share", F.try_divide(F.col("used_tokens"), F.lit(size))).withColumn("actual_share", F.try_divide("used_tokens", "_all"))
+    return report.select("source", "target_share", "max_repeats", "tokens", "needed", "reachable", "planned", "feasible", "used_tokens", "reached_share", "actual_share"), sample
+
+
+def _hash() -> Column:
+    """A number above 0 and up to 1 by the record's key."""
+    return (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(HASHES)) + 1) / float(HASHES)
+
+
+def _factors(placed: DataFrame, plan: DataFrame) -> DataFrame:
+    """``source, factor``: what the probabilities of a source's records are multiplied with to use ``more`` tokens.
+
+    A record is used once more from the factor ``hash / rest`` on. Its tokens are added up in steps of
+    the factor, and the sum nearest to what is planned gives it; a source has ``FACTOR_STEPS`` rows.
+    """
+    least = _hash() / F.col("rest")
+    step = F.floor(least / (1 + least) * FACTOR_STEPS)
+    steps = placed.filter("rest > 0").groupBy("source", step.alias("step")).agg(F.sum("tokens").alias("tokens"))
+    sums = steps.withColumn("sum", F.sum("tokens").over(Window.partitionBy("source").orderBy("step")))
+    off = F.abs(F.col("sum") - F.col("more"))
+    near = sums.join(F.broadcast(plan.select(F.col("key").alias("source"), "more")), "source").groupBy("source").agg(F.min(F.struct(off.alias("off"), "step")).alias("best"), F.first("more").alias("more"))
+    share = (F.col("best.step") + 1) / FACTOR_STEPS
+    return near.select("source", F.when(F.col("best.off") >= F.col("more"), 0.0).otherwise(share / (1 - F.least(share, F.lit(1 - 1e-12)))).alias("factor"))
 
 
 def found_short_sources(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Listed sources that can't reach their share, from the mix's report."""
-    return mix_plan(docs, targets)[0].filter(~F.col("feasible")).select("source").distinct()
+    """Listed sources that can't reach their share: the raked and capped plan falls short of it, and the mix that was drawn too."""
+    return mix_plan(docs, targets)[0].filter(~F.col("feasible") & (F.col("used_tokens") < F.col("needed"))).select("source").distinct()

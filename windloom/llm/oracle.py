@@ -6,19 +6,24 @@ WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{
 #: Number of WordPunct tokens of ``text``.
 TOKENS = rf"len(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{WHITE}]+'))"
 
+#: Tokens of every listed source.
+HAVE = f"""
+    d AS (SELECT DISTINCT doc_id, lower(trim(source)) AS s, {TOKENS} AS tokens FROM documents),
+    h AS (
+        SELECT t.source, t.target_share, t.max_repeats, coalesce(sum(d.tokens), 0)::BIGINT AS tokens
+        FROM mix_targets t LEFT JOIN d ON d.s = lower(trim(t.source)) GROUP BY ALL
+    ),
+    m AS (SELECT *, target_share * (SELECT sum(tokens) FROM h) AS needed, tokens * max_repeats AS reachable FROM h)
+"""
+
 ORACLE = {
     "p4_found": f"""
         SELECT DISTINCT page_id FROM pages_out
         WHERE len(regexp_extract_all(text, '[^{WHITE}]+')) > 420
     """,
     "p6_found": f"SELECT DISTINCT doc_id FROM documents WHERE {TOKENS} > 1024",
-    "p7_found": f"""
-        WITH d AS (SELECT DISTINCT doc_id, lower(trim(source)) AS s, {TOKENS} AS tokens FROM documents),
-        h AS (
-            SELECT t.source, t.target_share, t.max_repeats, coalesce(sum(d.tokens), 0) AS tokens
-            FROM mix_targets t LEFT JOIN d ON d.s = lower(trim(t.source)) GROUP BY ALL
-        )
-        SELECT DISTINCT source FROM h
-        WHERE tokens * max_repeats < target_share * (SELECT sum(tokens) FROM h)
+    "p7_found": f"WITH {HAVE} SELECT DISTINCT source FROM m WHERE reachable < needed",
+    "p7_plan": f"""
+        WITH {HAVE} SELECT source, tokens, round(needed, 3) AS needed, round(least(reachable, needed), 3) AS planned, reachable >= needed AS feasible, true AS kept FROM m
     """,
 }

@@ -90,6 +90,17 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return mix_plan(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
 
 
+def p7_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """What each source has, needs and gives by plan, and whether the sample used that but for its longest record."""
+    from windloom.llm.mixing import mix_plan
+
+    report, sample = mix_plan(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+    longest = sample.agg(F.max("tokens").alias("_longest"))  # one row
+    kept = F.abs(F.col("used_tokens") - F.col("planned")) <= F.coalesce("_longest", F.lit(0)) + 0.01 * F.col("planned")
+    got = report.join(F.broadcast(longest), F.lit(True))
+    return got.select("source", "tokens", F.round("needed", 3).alias("needed"), F.round("planned", 3).alias("planned"), "feasible", kept.alias("kept"))
+
+
 def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
     from windloom.llm.mixing import mix_plan
 
