@@ -52,12 +52,27 @@ def test_prefers_paragraph_then_sentence(spark):
 
 def test_null_empty_repeated_and_unspaced(spark):
     wide = "字" * 5000
-    got = pieces(spark, [(1, None, 0), (2, "", 0), (3, " \n", 0), (4, "a b c", 0), (4, "a b c", 0), (5, wide, 0), (None, "a", 0)], limit=4, overlap=1)
-    assert 1 not in got and [r["text"] for r in got[2]] == [""] and len(got[3]) == 1 and len(got[4]) == 1
+    got = pieces(spark, [(1, None, 0), (2, "", 0), (3, " \n", 0), (4, "a b c", 0), (4, "a b c", 0), (5, wide, 0), (None, "a", 0)], limit=4, overlap=1, word_chars=400)
+    assert 1 not in got and [r["text"] for r in got[2]] == [""] and len(got[3]) == 1 and len(got[4]) == 2
     assert len(got[5]) > 1 and got[5][-1]["start"] < 5000 and len(got[None]) == 1
     assert split_oversized(spark.createDataFrame([], "id long, body string"), "id", "body").count() == 0
 
 
+def test_a_long_word_is_one_word(spark):
+    rows = [(1, "w " * 419 + "x" * 900), (2, "w " * 420 + "x" * 900), (3, "x" * 100000)]
+    got = pieces(spark, [(i, t, 0) for i, t in rows])
+    assert {i: len(p) > 1 for i, p in got.items()} == {1: False, 2: True, 3: False}
+    assert [r[0] for r in found_oversized(spark.createDataFrame(rows, "page_id long, text string")).collect()] == [2]
+
+
+def test_cuts_where_the_text_pauses(spark):
+    rng = random.Random(5)
+    sentences = [" ".join(["word"] * rng.randint(5, 30)) + ". " for _ in range(2000)]
+    body = "".join(s + ("\n\n" if rng.random() < 0.1 else "") for s in sentences)
+    cuts = [r["text"] for r in pieces(spark, [(1, body, 0)])[1]][:-1]
+    assert len(cuts) > 50 and all(t.rstrip().endswith(".") for t in cuts)
+
+
 def test_found_counts_words(spark):
     rows = [(1, "w " * 420), (2, "w " * 421), (2, "w " * 421), (3, None), (4, "字" * 200000), (5, "w " * 421), (6, "w​" * 500)]
     got = found_oversized(spark.createDataFrame(rows, "page_id long, text string"))

@@ -21,6 +21,10 @@ ORACLE = {
         SELECT DISTINCT page_id FROM pages_out
         WHERE len(regexp_extract_all(text, '[^{WHITE}]+')) > 420
     """,
+    "p4_sizes": f"""
+        SELECT DISTINCT page_id, n AS n_words, length(text) AS n_chars, true AS within, n > 420 AS cut
+        FROM (SELECT page_id, text, len(regexp_extract_all(text, '[^{WHITE}]+')) AS n FROM pages_out WHERE text IS NOT NULL)
+    """,
     "p6_found": f"SELECT DISTINCT doc_id FROM documents WHERE {TOKENS} > 1024",
     "p7_found": f"WITH {HAVE} SELECT DISTINCT source FROM m WHERE reachable < needed",
     "p7_plan": f"""

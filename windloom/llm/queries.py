@@ -48,7 +48,18 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     from windloom.llm.splitting import split_oversized
 
     got = split_oversized(table(spark, sf, "pages_out"), "page_id", "text", 420, 40)
-    return got.select("page_id", "piece", "n_pieces", "start", "overlap_units", F.length("text").alias("n_chars"))
+    return got.select("page_id", "piece", "n_pieces", "start", "overlap_units", F.length("text").alias("n_chars")).distinct()
+
+
+def p4_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Words and characters of the pieces of every page without their overlap, and whether all are within the limit."""
+    from windloom.llm.splitting import split_oversized
+
+    got = split_oversized(table(spark, sf, "pages_out"), "page_id", "text", 420, 40)
+    pieces = got.select("page_id", "piece", "own_chars", "overlap_units", F.regexp_count("text", F.lit(r"(?U)\S++")).alias("words")).distinct()
+    return pieces.groupBy("page_id").agg(
+        F.sum(F.col("words") - F.col("overlap_units")).alias("n_words"), F.sum("own_chars").alias("n_chars"), F.bool_and(F.col("words") <= 420).alias("within"), (F.count("*") > 1).alias("cut")
+    )
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
