@@ -42,7 +42,7 @@ def test_finds_planted_cases_and_nothing_else(spark):
     assert len(got) == len(pdf)
     assert set(pdf.point_id[spikes]) - set(row) <= set(got.index[got.spike])
     assert set(got.index[got.constant]) == set(pdf.point_id[row[1:]])
-    assert {pdf.point_id[odd], pdf.point_id[twist]} <= set(got.index[got.impossible])
+    assert {pdf.point_id[odd], pdf.point_id[twist]} <= set(got.index[got.impossible | got.contradictory])
     extra = set(got.index[got.spike | got.impossible]) - set(pdf.point_id[spikes]) - set(pdf.point_id[row]) - {pdf.point_id[odd], pdf.point_id[twist]}
     assert len(extra) <= 2  # GESD at its own error rate
 
@@ -70,7 +70,7 @@ def test_constant_rows_against_brute_force():
 
 def test_gesd_limits_match_the_published_example():
     # Rosner 1983: n = 54, 10 outliers, alpha 0.05
-    assert S.gesd_limits(54, 10, 0.05)[:3] == pytest.approx([3.159, 3.151, 3.144], abs=0.01)
+    assert S.gesd_limits(54, np.arange(1, 11), 0.05)[:3] == pytest.approx([3.159, 3.151, 3.144], abs=0.01)
 
 
 def test_nulls_repeats_and_empty(spark):
@@ -82,3 +82,37 @@ def test_nulls_repeats_and_empty(spark):
     pdf = pd.concat([pdf, pdf.iloc[:50]], ignore_index=True)
     assert len(flags(spark, pdf)) == 12 * 51
     assert S.measurement_flags(spark.createDataFrame(pdf).limit(0)).count() == 0
+
+
+def test_limits_decide_whatever_the_size():
+    rng = np.random.default_rng(3)
+    for n, planted in ((100, 5.4), (5000, 6.0), (20, 8.0), (12, 8.0)):
+        z = rng.standard_normal(n)
+        z /= max(1.0, np.abs(z).max() / 2.5)
+        z[7] = planted
+        assert list(np.flatnonzero(S.gesd(z))) == [7]
+    six = np.array([0.1, -0.2, 0.15, 900.0, -950.0, 1000.0])
+    assert S.gesd(six).sum() in (0, 3)
+    assert not S.gesd(np.array([1.0, 5.0])).any() and not S.gesd(np.zeros(50)).any()
+    assert sum(S.gesd(rng.standard_normal(300)).any() for _ in range(300)) < 15
+
+
+def test_rounding_step():
+    rng = np.random.default_rng(4)
+    v = rng.normal(0, 1, 500)
+    assert [S.rounding(np.round(v / q) * q) for q in (0.1, 0.005, 0.0002)] == pytest.approx([0.1, 0.005, 0.0002])
+    assert S.rounding(v) == 0.0 and S.rounding(v[:0]) == 0.0
+
+
+def test_points_without_run_and_repeated_or_odd_angles(spark):
+    pdf = sweep(60, seed=2)
+    pdf.loc[1000, "Cl"] += 0.3
+    pdf.loc[2000, "ClCd"] = np.nan
+    pdf.loc[2000, "Cl"] += 0.3
+    loose = pdf.assign(run_id=np.nan, rig="loose", point_id=pdf.point_id + 10_000_000, run_at=dt.datetime(2023, 5, 1))
+    twice = pdf.assign(run_id=pdf.run_id // 2, rig="twice", point_id=pdf.point_id + 20_000_000, AoA=pdf.AoA + 40)
+    got = flags(spark, pd.concat([pdf, loose, twice], ignore_index=True).astype({"run_id": "Int64"}))
+    assert len(got) == 3 * len(pdf)
+    for shift in (0, 10_000_000, 20_000_000):
+        assert got.spike[pdf.point_id[[1000, 2000]] + shift].all()
+    assert got.spike.sum() <= 10

@@ -25,7 +25,12 @@ def p3_flags_by_rig(spark: SparkSession, sf: str) -> DataFrame:
     flags = measurement_flags(points)
     rigs = points.groupBy("point_id").agg(F.min("rig").alias("rig"))
     count = lambda c: F.count_if(F.col(c)).alias(f"n_{c}")
-    return flags.join(rigs, "point_id").groupBy("rig").agg(F.count("*").alias("n_points"), count("spike"), count("constant"), count("impossible"))
+    return flags.join(rigs, "point_id").groupBy("rig").agg(F.count("*").alias("n_points"), *[count(c) for c in ("spike", "constant", "impossible", "contradictory")])
+
+
+def p3_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Points within constant rows and impossible values, the checks that need no statistics."""
+    return measurement_flags(_points(spark, sf)).filter("constant or impossible").select("point_id", "constant", "impossible")
 
 
 def polar_points_once(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +99,7 @@ def event_props(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_flags_by_rig, polar_points_once, polar_summary, polar_summary_by_rig, polar_convergence, typical_polar, best_rig, spec_extract, spec_presize,
+        p3_found, p3_flags_by_rig, p3_checks, polar_points_once, polar_summary, polar_summary_by_rig, polar_convergence, typical_polar, best_rig, spec_extract, spec_presize,
         stage_progress, console_ring_buffer, event_windows, event_windows_stream, event_sessions, event_props,
     )
 }
@@ -118,7 +123,18 @@ _SPEC = f"""
 """
 _WINDOWS = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
 
+_NEW = ", ".join(f"CASE WHEN {c} IS NOT NULL AND {c} IS NOT DISTINCT FROM lag({c}) OVER w THEN 0 ELSE 1 END AS new_{c}" for c in ("Cl", "Cd", "ClCd"))
+_RUN_ROWS = ", ".join(f"sum(new_{c}) OVER w AS row_{c}" for c in ("Cl", "Cd", "ClCd"))
+_LONG = " OR ".join(f"(count(*) OVER (PARTITION BY rig, run_id, row_{c}) >= 5 AND row_number() OVER (PARTITION BY rig, run_id, row_{c} ORDER BY AoA, point_id) > 1)" for c in ("Cl", "Cd", "ClCd"))
+
 ORACLE = {
+    "p3_checks": f"""
+        WITH p AS (SELECT DISTINCT point_id, rig, run_id, AoA, Cl, Cd, ClCd FROM naca6535_xfoil_polar),
+        n AS (SELECT *, {_NEW} FROM p WINDOW w AS (PARTITION BY rig, run_id ORDER BY AoA, point_id)),
+        r AS (SELECT *, {_RUN_ROWS} FROM n WINDOW w AS (PARTITION BY rig, run_id ORDER BY AoA, point_id)),
+        f AS (SELECT point_id, {_LONG} AS constant, coalesce(Cd <= 0 OR abs(Cl) > 10 OR Cd > 10, false) AS impossible FROM r)
+        SELECT * FROM f WHERE constant OR impossible
+    """,
     "polar_points_once": """
         SELECT point_id, run_id, rig, AoA, Cl, Cd, ClCd, loaded_at FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY loaded_at DESC, run_at DESC) AS k FROM naca6535_xfoil_polar) WHERE k = 1
     """,
