@@ -69,10 +69,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_repaired(spark: SparkSession, sf: str) -> DataFrame:
-    """Every page that isn't blank or junk as continuous paragraphs."""
+    """Every page that isn't blank as continuous paragraphs, by length and digest; the texts stay in the operator's output."""
     from windloom.llm.scanned import Scanned
 
-    return Scanned(table(spark, sf, "pages_out")).repaired().dropDuplicates(["page_id"])
+    got = Scanned(table(spark, sf, "pages_out")).repaired()
+    return got.select("page_id", "furniture", F.length("text").alias("n_chars"), F.md5("text").alias("digest")).distinct()
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
