@@ -93,10 +93,27 @@ def test_statistics(spark, pages):
 def test_stretches_keep_every_word():
     rng = random.Random(1)
     text = bullets(rng, 40) + "\n\n" + prose(rng, 80) + "\n" + numbers(rng, 50)
-    parts = Q.stretches(text, frozenset(COMMON))
+    found = Q.stretches(text, frozenset(COMMON))
+    parts = [p for p, _ in found]
+    assert [Q.statistics(p, frozenset(COMMON), False, words) for p, words in found] == [Q.statistics(p, frozenset(COMMON), False) for p in parts]
     assert [w for p in parts for w in p.split()] == text.split() and len(parts) == 3
 
 
+def test_numeric_words():
+    at = Q.STATISTICS.index("numeric_word_share")
+    assert Q.statistics("-3.5 (12) +4 1,000 5%", frozenset(), False)[at] == 1.0
+    assert Q.statistics("3rd 2x wing x2 --", frozenset(), False)[at] == 0.0
+
+
+def test_majority_of_the_judgements_and_none(spark, pages):
+    rows, want = pages
+    df, words, labels = frames(spark, rows)
+    turned = labels.unionByName(labels).unionByName(labels.withColumn("label", Q.F.when(Q.F.col("label") == "prose", "junk").otherwise("prose")))
+    for judged in (turned, labels.limit(0)):
+        got = {tuple(r) for r in Q.found_cases(df, words, judged).collect()}
+        assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
 def test_one_class_and_empty(spark):
     rows = [(i, prose(random.Random(i), 50), None, 1, "x") for i in range(5)]
     df, words, labels = frames(spark, rows)

@@ -5,7 +5,7 @@ common words. To tell prose from lists, tables and junk, a text is cut into stre
 that read alike, gradient-boosted trees judge the statistics of every stretch, and the judged
 words are added up: a text is a case if more than half of its words aren't prose. The trees are
 trained on stretches that simple rules label beyond doubt (weak labels); their margins are turned
-into probabilities on hand-judged pages.
+into probabilities on hand-judged pages, no stretch of which is trained on.
 
 Scale: statistics are made in one Arrow pass over the texts, which are never shuffled; what is
 written out and aggregated is a few numbers for each stretch. Training looks at ``TRAIN_ROWS``
@@ -29,8 +29,8 @@ from windloom.session import checkpointed, spread
 #: Bound on the weakly labelled stretches that the trees are trained on, chosen by a hash.
 TRAIN_ROWS = 12_000
 TREES, DEPTH = 12, 4
-#: Fewest hand judgements of each class for a calibration.
-LEAST_JUDGED = 4
+#: Judgements that the trees' own probabilities count for in the calibration.
+PRIOR_JUDGED = 4.0
 
 STATISTICS = (
     "is_entry", "log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "common_word_share", "punctuated_line_share", "words_per_line",
@@ -44,7 +44,7 @@ _SYMBOLS = re.compile(r"[^\W_]+")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]+")
 _DIGITS = re.compile(r"\d+")
 _VOWELS = "aeouAEOUáàâäãéèêëóòôöõúùûü"
-_FIGURES = frozenset("0123456789")
+_NUMERIC = re.compile(r"[-–−+±(]*\d[\d.,)%-]*")
 _ENDS = re.compile(r"[.!?][\"”»’)]?(?:\s|$)")
 _CELL = re.compile(r"[|;]")
 
@@ -53,8 +53,8 @@ def _gap(line: str) -> bool:
     return "  " in line or "\t" in line
 
 
-def statistics(text: str, common: frozenset[str], entry: bool) -> list[float]:
-    """The statistics of one text in the order of ``STATISTICS``."""
+def statistics(text: str, common: frozenset[str], entry: bool, plain: list[str] | None = None) -> list[float]:
+    """The statistics of one text in the order of ``STATISTICS``; ``plain`` are its words in small letters, if known."""
     words = text.split()
     n = max(1, len(words))
     solid = "".join(words)
@@ -65,7 +65,7 @@ def statistics(text: str, common: frozenset[str], entry: bool) -> list[float]:
     rest = _LATIN.sub("", no_digits)
     latin = len(no_digits) - len(rest)
     vowels = sum(map(solid.count, _VOWELS)) if latin else 0
-    plain = _PLAIN.findall(text.lower())
+    plain = _PLAIN.findall(text.lower()) if plain is None else plain
     lines = [x for x in map(str.strip, text.split("\n")) if x]
     count = max(1, len(lines))
     return [
@@ -73,20 +73,21 @@ def statistics(text: str, common: frozenset[str], entry: bool) -> list[float]:
         sum(x[-1] in ".!?:;,”\"" for x in lines) / count, len(words) / count, len(set(words)) / n, vowels / max(1, latin),
         sum(map(str.isalpha, plain)) / max(1, len(plain)), sum(_MARK.match(x) is not None for x in lines) / count, sum(map(_gap, lines)) / count,
         len(_CELL.findall(text)) / n, sum(w[0].isupper() for w in words) / n, len(_ENDS.findall(text)) / n,
-        sum(w[0] in _FIGURES for w in words) / n, max(0, len(rest) - symbols) / size,
+        sum(not w[0].isalpha() and _NUMERIC.fullmatch(w) is not None for w in words) / n, max(0, len(rest) - symbols) / size,
     ]
 
 
-def stretches(text: str, common: frozenset[str]) -> list[str]:
-    """Runs of lines that read alike: with or without the words that bind sentences."""
+def stretches(text: str, common: frozenset[str]) -> list[tuple[str, list[str]]]:
+    """Runs of lines that read alike, with or without the words that bind sentences, and their words in small letters."""
     lines = text.split("\n")
     plain = text.lower().split("\n")
     full = [k for k, x in enumerate(lines) if x and not x.isspace()]
     if len(full) < 2:
-        return [text]
-    size, bound = [], []
+        return [(text, _PLAIN.findall(text.lower()))]
+    size, bound, found = [], [], []
     for k in full:
         words = _PLAIN.findall(plain[k])
+        found.append(words)
         size.append(len(words))
         bound.append(sum(map(common.__contains__, words)))
     flags = []
@@ -96,12 +97,9 @@ def stretches(text: str, common: frozenset[str]) -> list[str]:
         n, c = sum(size[lo : hi + 1]), sum(bound[lo : hi + 1])
         alone = bound[j] / max(1, size[j])
         flags.append(alone >= 0.15 or (c >= 0.15 * n and bound[j] > 0) or (c >= 0.2 * n and size[j] <= 4 and not _MARK.match(lines[k]) and not _gap(lines[k].strip())))
-    out, first = [], 0
-    for j in range(1, len(full)):
-        if flags[j] != flags[j - 1]:
-            out.append("\n".join(lines[full[first] : full[j]]))
-            first = j
-    return [*out, "\n".join(lines[full[first] :])]
+    starts = [0, *(j for j in range(1, len(full)) if flags[j] != flags[j - 1]), len(full)]
+    ends = [*(full[j] for j in starts[1:-1]), len(lines)]
+    return [("\n".join(lines[full[a] : end]), [w for x in found[a:b] for w in x]) for a, b, end in zip(starts, starts[1:], ends)]
 
 
 def _passes(rows: DataFrame, common: frozenset[str], whole: bool) -> DataFrame:
@@ -112,8 +110,8 @@ def _passes(rows: DataFrame, common: frozenset[str], whole: bool) -> DataFrame:
             out = []
             for i, text, tables in zip(pdf["_id"], pdf["_text"], pdf["_tables"]):
                 if text is not None and not text.isspace() and text:
-                    for part in [text] if whole else stretches(text, common):
-                        out.append((i, 0, len(part.split()), statistics(part, common, False)))
+                    for part, plain in [(text, None)] if whole else stretches(text, common):
+                        out.append((i, 0, len(part.split()), statistics(part, common, False, plain)))
                 for k, entry in enumerate(tables if tables is not None else (), 1):
                     if entry is not None and entry and not entry.isspace():
                         out.append((i, k, len(entry.split()), statistics(entry, common, True)))
@@ -124,8 +122,8 @@ def _passes(rows: DataFrame, common: frozenset[str], whole: bool) -> DataFrame:
 
 
 def _common(words: DataFrame) -> frozenset[str]:
-    # the commonest words of each language: a fixed list of a few hundred at most
-    return frozenset(r[0].lower() for r in words.select("word").distinct().limit(100_000).collect() if r[0])
+    # the commonest words of each language: a fixed list that no table of texts makes longer
+    return frozenset(r[0].lower() for r in words.select("word").distinct().collect() if r[0])
 
 
 def _narrow(df: DataFrame, id_col: str, text_col: str, tables_col: str | None) -> DataFrame:
@@ -165,27 +163,28 @@ def judged_items(df: DataFrame, common_words: DataFrame, labels: DataFrame, id_c
     """``<id>, item, words, share``: the share of an item's words that are a case (see the module).
 
     ``labels`` (``<id>, label`` with prose, list, table or junk) may hold wrong and repeated
-    judgements; with fewer than ``LEAST_JUDGED`` of either class the trees' own probability is
-    used. Where the rules find only one class to train on, they decide alone. Null and blank
+    judgements; the majority of a page's counts, and a draw doesn't. They are a holdout: the trees never
+    see a stretch of a judged page. Where the rules find only one class to train on, they decide alone. Null and blank
     texts give no row; a row delivered twice is judged once.
     """
     parts = _passes(_narrow(df, id_col, text_col, tables_col), _common(common_words), False)
     named = {name: F.col("statistics")[k] for k, name in enumerate(STATISTICS)}
     parts = checkpointed(parts.withColumn("weak", weak_label(named)))
     vector = array_to_vector(F.col("statistics").cast("array<double>"))
-    weak = parts.filter("weak is not null")
+    judged = labels.filter("label is not null").select(F.col(id_col).alias("_id"), "label")
+    weak = parts.filter("weak is not null").join(judged.select("_id").distinct(), "_id", "left_anti")
     # an even share of texts and entries, cases and others, by a hash: no task sorts or gathers them all
     entry = F.col("item") > 0
     draw = F.pmod(F.xxhash64("_id", "item", "words", "statistics"), F.lit(1 << 30)) / float(1 << 30)
     chosen = F.lit(False)
     for r in weak.groupBy(entry.alias("e"), "weak").count().collect():  # four rows at most
         chosen = chosen | ((entry == r["e"]) & (F.col("weak") == r["weak"]) & (draw < 0.95 * train_rows / 4 / r["count"]))
-    train = checkpointed(weak.filter(chosen).limit(train_rows).select(vector.alias("features"), F.col("weak").alias("label")).coalesce(2))
+    train = checkpointed(weak.filter(chosen).limit(train_rows).select(vector.alias("features"), F.col("weak").alias("label")))
     classes = {r[0] for r in train.select("label").distinct().collect()}
     if classes == {0.0, 1.0}:
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=1, stepSize=0.3).fit(train)
         scored = model.transform(parts.withColumn("features", vector)).withColumn("margin", vector_to_array("rawPrediction")[1]).drop("features", "rawPrediction", "probability", "prediction")
-        slope, shift = _calibration(scored, labels, id_col)
+        slope, shift = _calibration(scored, judged)
     else:
         scored, slope, shift = parts.withColumn("margin", F.coalesce(F.col("weak") - 0.5, F.lit(-0.5))), 1.0, 0.0
     probability = 1 / (1 + F.exp(-(F.col("margin") * slope + shift)))
@@ -197,20 +196,23 @@ def judged_items(df: DataFrame, common_words: DataFrame, labels: DataFrame, id_c
     )
 
 
-def _calibration(scored: DataFrame, labels: DataFrame, id_col: str) -> tuple[float, float]:
-    """Slope and shift of the margins' log odds by the hand-judged pages' stretches."""
-    judged = labels.filter("label is not null").groupBy(F.col(id_col).alias("_id")).agg(F.max(F.when(F.col("label") == "prose", 0.0).otherwise(1.0)).alias("label"))
-    rows = scored.filter("item = 0").join(judged, "_id").groupBy("_id").agg(
-        F.max("label").alias("label"), (F.sum(F.col("margin") * F.col("words")) / F.sum(F.greatest("words", F.lit(1)))).alias("margin")
-    )
-    rows = checkpointed(rows.select("label", F.col("margin")).coalesce(2))
+def _calibration(scored: DataFrame, judged: DataFrame) -> tuple[float, float]:
+    """Slope and shift of the margins' log odds by the hand-judged pages' stretches, both classes weighing the same.
+
+    The trees' own probability, of slope 2 and shift 0, stands for ``PRIOR_JUDGED`` judgements more.
+    """
+    case = F.avg(F.when(F.col("label") == "prose", 0.0).otherwise(1.0))
+    label = judged.groupBy("_id").agg(F.when(case > 0.5, 1.0).when(case < 0.5, 0.0).alias("label")).filter("label is not null")
+    rows = scored.filter("item = 0").join(label, "_id").groupBy("_id", "label").agg((F.sum(F.col("margin") * F.col("words")) / F.sum(F.greatest("words", F.lit(1)))).alias("margin"))
+    rows = checkpointed(rows.select("label", "margin"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if min(counts.get(0.0, 0), counts.get(1.0, 0)) < LEAST_JUDGED:
-        return 2.0, 0.0
-    balanced = rows.withColumn("weight", F.when(F.col("label") == 1.0, 0.5 / counts[1.0]).otherwise(0.5 / counts[0.0]) * sum(counts.values()))
-    fit = LogisticRegression(regParam=0.01, weightCol="weight").fit(balanced.withColumn("features", array_to_vector(F.array("margin"))))
+    weights = {k: 0.5 * sum(counts.values()) / n for k, n in counts.items()}
+    weight = F.when(F.col("label") == 1.0, weights.get(1.0, 1.0)).otherwise(weights.get(0.0, 1.0))
+    own = [(y, float(m), PRIOR_JUDGED / 4 * 2 / (1 + math.exp(-2 * m if y else 2 * m))) for m in (-1, 1) for y in (0.0, 1.0)]
+    prior = scored.sparkSession.createDataFrame(own, "label double, margin double, weight double")
+    fit = LogisticRegression(regParam=0.01, weightCol="weight").fit(rows.withColumn("weight", weight).unionByName(prior).withColumn("features", array_to_vector(F.array("margin"))))
     slope, shift = float(fit.coefficients[0]), float(fit.intercept)
-    return (slope, shift) if slope > 0 else (2.0, 0.0)
+    return (slope, shift) if slope > 0 else (2.0, 0.0)  # judgements that turn the trees round are no calibration
 
 
 def found_cases(pages: DataFrame, common_words: DataFrame, labels: DataFrame) -> DataFrame:
