@@ -30,4 +30,9 @@ ORACLE = {
     "p7_plan": f"""
         WITH {HAVE} SELECT source, tokens, round(needed, 3) AS needed, round(least(reachable, needed), 3) AS planned, reachable >= needed AS feasible, true AS kept FROM m
     """,
+    "p8_found": """
+        WITH w AS (SELECT DISTINCT doc_id, substring(text, i, 300) AS x FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
+        several AS (SELECT x FROM w GROUP BY x HAVING count(*) > 1)
+        SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN several USING (x) JOIN w b USING (x) WHERE a.doc_id < b.doc_id
+    """,
 }
