@@ -1,13 +1,13 @@
 """Sparse and dense retrieval, rank fusion and re-ranking.
 
-Queries are a stated part of the rows and are scored against all rows in blocks: a block's
-vectors, or its terms by queries matrix, meets the rows in Arrow batches, and only the best of
-each batch travel on. Texts are never shuffled; document frequencies are a map-side aggregate.
+Queries are a stated part of the rows and are scored against all rows in blocks of bounded size: a
+block's postings, or its vectors, meet the rows in Arrow batches, and only the best of each batch
+travel on. Texts are never shuffled and words become hashes in the JVM; document frequencies are a
+map-side aggregate.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +19,10 @@ from windloom.functions import text as T
 from windloom.session import checkpointed, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Query vectors and query texts that are scored at once.
-QUERY_BLOCK, TEXT_BLOCK = 2048, 256
+#: Query vectors and postings of query texts that are scored at once.
+QUERY_BLOCK, POSTINGS_BLOCK = 2048, 2_000_000
+#: Sums of a text and a query, and products that go into them, that a task holds at once.
+CELLS = 4_000_000
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,8 +40,8 @@ def term_stats(posts: DataFrame, n_docs: DataFrame) -> DataFrame:
     return idf.join(mean, F.lit(True)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("_mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def best_per(df: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:
-    """The ``k`` best rows of each key with their ``rank`` from 0."""
+def best_per(df: DataFrame, key: str | list[str], score: str, tie: str, k: int) -> DataFrame:
+    """The ``k`` best rows of each key with their ``rank`` from 0; the limited rank also runs before the shuffle."""
     w = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(tie))
     return df.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 
@@ -55,116 +57,136 @@ def _blocks(queries: DataFrame, block: int) -> Iterator[pd.DataFrame]:
 
 
 class _Asked:
-    """A block of query texts: its vocabulary and the term frequencies as a terms by queries matrix."""
+    """Postings of a block of query texts: for each term the queries that hold it, with its count and idf weight there."""
 
-    def __init__(self, block: pd.DataFrame):
-        self.ids = block["doc_id"].to_numpy()
-        counts = [Counter(w) for w in block["w"]]
-        self.vocabulary = {t: k for k, t in enumerate(sorted({t for c in counts for t in c}))}
-        self.tf = np.zeros((len(self.vocabulary), len(counts)))
-        for q, c in enumerate(counts):
-            for t, n in c.items():
-                self.tf[self.vocabulary[t], q] = n
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values(["term", "doc_id"])
+        self.ids, self.query = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
+        self.terms, first = np.unique(rows["term"].to_numpy(), return_index=True)
+        self.offsets = np.append(first, len(rows))
+        self.tf = rows["tf"].to_numpy(float)
+        self.weight = rows["tf"].to_numpy(float) * rows["idf"].to_numpy(float)
+        self.n_terms = np.bincount(self.query, minlength=len(self.ids))
+        self.norm = np.sqrt(np.bincount(self.query, self.tf**2, len(self.ids)))
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    return spread(docs.select("doc_id", "text")).select("doc_id", T.tokens(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
-
-
-def _search(words: DataFrame, asked: _Asked, score, k: int) -> DataFrame:
-    """The best ``k`` rows of each Arrow batch for each query of a block.
-
-    ``score(tf of the known terms, their rows in the vocabulary, tf of all terms)`` gives the
-    scores of one text for all queries of the block.
-    """
-    ids, vocabulary = asked.ids, asked.vocabulary
+    """``doc_id, w``: hashes of the words of each text."""
+    words = T.tokens(F.coalesce(F.col("text"), F.lit("")))
+    return spread(docs.select("doc_id", "text")).select("doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("w"))
+
+
+def _counted(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, term, count)`` of the distinct terms of each text."""
+    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    order = np.lexsort((flat, owner))
+    flat, owner = flat[order], owner[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    return owner[at], flat[at], np.diff(np.append(at, len(flat)))
+
+
+def _scores(asked: _Asked, lists: list[np.ndarray], mean: float, kinds: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Scores of all texts of a batch for all queries of a block, by kind."""
+    shape = (len(lists), len(asked.ids))
+    text, term, tf = _counted(lists)
+    size = np.array([len(x) for x in lists], float)
+    norm = np.sqrt(np.bincount(text, tf.astype(float) ** 2, len(lists)))
+    at = np.minimum(np.searchsorted(asked.terms, term), len(asked.terms) - 1)
+    known = asked.terms[at] == term
+    text, tf, at = text[known], tf[known].astype(float), at[known]
+    damped = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[text] / mean))
+    fan = asked.offsets[at + 1] - asked.offsets[at]
+    shared, bm, dot = (np.zeros(shape[0] * shape[1]) for _ in range(3))
+    ends = np.cumsum(fan)
+    first = 0
+    while first < len(at):  # products in parts of about CELLS
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + CELLS, side="right")))
+        n = fan[first:last]
+        entry = np.repeat(np.arange(first, last), n)
+        post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(asked.offsets[at[first:last]], n)
+        cell = text[entry] * shape[1] + asked.query[post]
+        if "overlap" in kinds or "hybrid" in kinds:
+            shared += np.bincount(cell, minlength=len(shared))
+        if "bm25" in kinds:
+            bm += np.bincount(cell, damped[entry] * asked.weight[post], len(bm))
+        if "hybrid" in kinds:
+            dot += np.bincount(cell, tf[entry] * asked.tf[post], len(dot))
+        first = last
+    shared, bm, dot = shared.reshape(shape), bm.reshape(shape), dot.reshape(shape)
+    out = {"bm25": bm, "overlap": shared / asked.n_terms}
+    if "hybrid" in kinds:
+        cosine = dot / np.maximum(np.outer(norm, asked.norm), 1e-300)
+        out["hybrid"] = np.where(shared > 0, 0.65 * (cosine + 1) / 2 + 0.35 * out["overlap"], 0.0)
+    return {kind: np.round(out[kind], 6) for kind in kinds}
+
+
+def _search(words: DataFrame, asked: _Asked, mean: float, k: int, kinds: tuple[str, ...]) -> DataFrame:
+    """The best ``k`` rows of each batch for each query of a block and each kind of score, ties included."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, CELLS // len(asked.ids))
         for pdf in batches:
-            own = pdf["doc_id"].to_numpy()
-            result = np.empty((len(ids), len(own)))
-            for d, w in enumerate(pdf["w"]):
-                counts = Counter(w)
-                known = [(vocabulary[t], n) for t, n in counts.items() if t in vocabulary]
-                at = np.array([x[0] for x in known], np.int64)
-                tf = np.array([x[1] for x in known], float)
-                result[:, d] = score(tf, at, np.fromiter(counts.values(), float))
-            result = np.round(result, 6)
-            result[ids[:, None] == own[None, :]] = -1
-            order = np.lexsort((np.broadcast_to(own, result.shape), -result), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            out = pd.DataFrame({"query_id": ids[rows], "doc_id": own[order.ravel()], "score": result[rows, order.ravel()]})
-            yield out[out["score"] > 0]
+            for start in range(0, len(pdf), step):
+                own, lists = pdf["doc_id"].to_numpy()[start : start + step], pdf["w"].tolist()[start : start + step]
+                for kind, score in _scores(asked, lists, mean, kinds).items():
+                    score[own[:, None] == asked.ids[None, :]] = -1
+                    enough = np.partition(score, len(own) - k, axis=0)[len(own) - k] if len(own) > k else 0.0
+                    d, q = np.nonzero((score > 0) & (score >= enough))
+                    yield pd.DataFrame({"kind": kind, "query_id": asked.ids[q], "doc_id": own[d], "score": score[d, q]})
 
-    return words.mapInPandas(run, "query_id long, doc_id long, score double")
+    return words.mapInPandas(run, "kind string, query_id long, doc_id long, score double")
 
 
-def _all_blocks(docs: DataFrame, queries: DataFrame, k: int, score_for) -> DataFrame:
-    words, found = _words(docs), None
-    for block in _blocks(_words(queries), TEXT_BLOCK):
-        asked = _Asked(block)
-        part = _search(words, asked, score_for(asked), k)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return docs.limit(0).select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    return best_per(found, "query_id", "score", "doc_id", k)
+def search(docs: DataFrame, queries: DataFrame, k: int, kinds: tuple[str, ...]) -> DataFrame:
+    """``kind, query_id, doc_id, score, rank``: the best texts of each query text, never itself, by several scores in one pass.
 
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """``query_id, doc_id, score, rank``: Okapi BM25 of each query's whole text, query repeats count."""
+    ``bm25``: Okapi BM25 of the query's whole text, query repeats count. ``overlap``: share of the
+    query's distinct terms that a text holds. ``hybrid``: 0.65 of the cosine of term frequencies mapped
+    to 0..1, and 0.35 of the overlap. Only scores above zero count; ties go by the id. Null texts have no
+    words. Postings of the queries visit the driver in blocks of about ``POSTINGS_BLOCK``.
+    """
     words = _words(docs)
-    frequency = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    size = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).first()
-    n, mean = size["n"], size["mean"] or 1.0
-    raw = frequency.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    raw = checkpointed(raw)
-    usual = raw.agg(F.avg("raw")).first()[0] or 0.0
-    wanted = raw.join(_words(queries).select(F.explode("w").alias("term")).distinct(), "term", "left_semi")
-
-    def score_for(asked: _Asked):
-        terms = docs.sparkSession.createDataFrame([(t,) for t in asked.vocabulary], "term string")
-        idf = np.zeros(len(asked.vocabulary))
-        for r in wanted.join(F.broadcast(terms), "term").collect():  # the vocabulary of one block
-            idf[asked.vocabulary[r["term"]]] = r["raw"] if r["raw"] >= 0 else EPSILON * usual
-        weight = asked.tf * idf[:, None]
-
-        def score(tf: np.ndarray, at: np.ndarray, every: np.ndarray) -> np.ndarray:
-            return (tf * (K1 + 1) / (tf + K1 * (1 - B + B * every.sum() / mean))) @ weight[at]
+    asked = _words(queries).select("doc_id", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    mean = 1.0
+    if "bm25" in kinds:
+        frequency = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        size = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).first()
+        mean = size["mean"] or 1.0
+        raw = checkpointed(frequency.select("term", (F.log(F.lit(size["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
+        usual = raw.agg(F.avg("raw")).first()[0] or 0.0
+        asked = asked.join(raw, "term", "left").withColumn("idf", F.when(F.col("raw") >= 0, F.col("raw")).when(F.col("raw") < 0, EPSILON * usual).otherwise(0.0)).drop("raw")
+    else:
+        asked = asked.withColumn("idf", F.lit(0.0))
+    asked = checkpointed(asked)
+    parts = max(1, -(-asked.count() // POSTINGS_BLOCK))
+    found = None
+    for part in range(parts):
+        rows = asked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == part).toPandas()
+        if len(rows):
+            best = best_per(_search(words, _Asked(rows), mean, k, kinds), ["kind", "query_id"], "score", "doc_id", k)
+            best = checkpointed(best) if parts > 1 else best
+            found = best if found is None else found.unionByName(best)
+    if found is None:
+        return docs.limit(0).select(F.lit("").alias("kind"), F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    return found
 
-        return score
 
-    return _all_blocks(docs, queries, k, score_for)
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``query_id, doc_id, score, rank`` by Okapi BM25, see :func:`search`."""
+    return search(docs, queries, k, ("bm25",)).drop("kind")
 
 
 def overlap(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """``query_id, doc_id, score, rank``: share of the query's distinct terms that a text holds."""
-
-    def score_for(asked: _Asked):
-        holds = asked.tf > 0
-        n = np.maximum(holds.sum(axis=0), 1)
-        return lambda tf, at, every: holds[at].sum(axis=0) / n
-
-    return _all_blocks(docs, queries, k, score_for)
+    """``query_id, doc_id, score, rank`` by the overlap of terms, see :func:`search`."""
+    return search(docs, queries, k, ("overlap",)).drop("kind")
 
 
 def hybrid_relevance(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """0.65 of the cosine of term frequencies mapped to 0..1, and 0.35 of the term overlap."""
-
-    def score_for(asked: _Asked):
-        holds = asked.tf > 0
-        n = np.maximum(holds.sum(axis=0), 1)
-        norms = np.maximum(np.sqrt((asked.tf**2).sum(axis=0)), 1e-300)
-
-        def score(tf: np.ndarray, at: np.ndarray, every: np.ndarray) -> np.ndarray:
-            if not len(at):
-                return np.zeros(len(n))
-            cosine = tf @ asked.tf[at] / (norms * np.sqrt((every**2).sum()))
-            shared = holds[at].sum(axis=0)
-            return np.where(shared > 0, 0.65 * (cosine + 1) / 2 + 0.35 * shared / n, 0.0)
-
-        return score
-
-    return _all_blocks(docs, queries, k, score_for)
+    """``query_id, doc_id, score, rank`` by the hybrid of cosine and overlap, see :func:`search`."""
+    return search(docs, queries, k, ("hybrid",)).drop("kind")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, alpha: float = 0.65, c: int = 60, k: int = 10) -> DataFrame:

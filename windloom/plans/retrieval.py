@@ -37,7 +37,8 @@ def overlap_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     docs, queries = _docs(spark, sf)
-    fused = retrieval.fuse(retrieval.overlap(docs, queries, 30), retrieval.bm25(docs, queries, 30))
+    both = checkpointed(retrieval.search(docs, queries, 30, ("overlap", "bm25")))
+    fused = retrieval.fuse(both.filter("kind = 'overlap'"), both.filter("kind = 'bm25'"))
     return fused.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -151,7 +152,7 @@ _EDGES = f"""
     sims AS (SELECT q.vec_id AS src, d.vec_id AS dst, round(list_dot_product(q.e, d.e) / (q.norm * d.norm), 6) AS similarity
         FROM u q JOIN u d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY similarity DESC, dst) - 1 AS rank FROM sims),
-    edges AS (SELECT src, dst, similarity FROM ranked WHERE rank < 50 AND similarity > 0.25)
+    edges AS (SELECT src, dst, similarity FROM sims WHERE similarity > 0.25)
 """
 _CENTROIDS = """
     long AS (SELECT label, unnest(range(0, 64)) AS dim, unnest(e) AS x FROM u),
