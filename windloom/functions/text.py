@@ -67,10 +67,26 @@ def protected_sentences(text: Column, least_words: int = 5, most_words: int = 42
     return recut(whole, most_words)
 
 
+#: Words that a keyword search drops; question words are kept.
+STOP_WORDS = """
+i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she
+she's her hers herself it it's its itself they them their theirs themselves which whom this that that'll these those am is
+are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for
+with about against between into through during before after above below to from up down in out on off over under again
+further then once here there all any both each few more most other some such no nor not only own same so than too very s t
+will just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn
+hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn
+wasn't weren weren't won won't wouldn wouldn't
+search tell me about look up information pull provide youtube do you know
+""".split()
+
+
 def keywords(text: Column) -> Column:
-    """Quoted phrases whole, other words unless they are filler."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"\"[^\"]+\"|[\p{L}\p{N}]+"), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda w: ~w.isin(FILLER_WORDS)))
+    """Quoted phrases as they are, other runs without white space in small letters unless they are stop words, in order."""
+    found = F.regexp_extract_all(text, F.lit(r"\"[^\"\n]+\"|'[^'\n]+'|[^ \t\n\r\f]+"), F.lit(0))
+    quoted = lambda w: w.rlike(r"^(\"[^\"\n]+\"|'[^'\n]+')$")
+    words = F.transform(found, lambda w: F.when(quoted(w), F.substring(w, F.lit(2), F.length(w) - 2)).otherwise(F.when(~F.lower(w).isin(STOP_WORDS), F.lower(w))))
+    return F.array_compact(words)
 
 
 def markdown_lines(table: Column) -> Column:
@@ -136,32 +152,136 @@ def valid_label(label: Column) -> Column:
     )
 
 
-#: Openings of a question that a search drops.
-OPENINGS = ("please", "can you", "could you", "tell me", "what is", "show me", "i want to know", "propose", "design", "size")
+#: Phrases that open a question, dropped one after the other, and words that name its setting.
+OPENINGS = (
+    "(please|can you|could you|would you)[ \\t\\n\\r\\f]+(explain|tell me|show me|define|compare|calculate|compute|find|describe)",
+    "i want to know",
+    "give me[ \\t\\n\\r\\f]+information[ \\t\\n\\r\\f]+about",
+    "help me understand",
+    "what is the meaning of",
+    "(pull up|find|show me|look up|search for|provide)[ \\t\\n\\r\\f]+(information|details|details)[ \\t\\n\\r\\f]+(on|about)",
+    "tell me about",
+)
+SETTING_WORDS = "according to the provided documentation files manual text given below following source".split()
 
 
 def clean_query(text: Column) -> Column:
-    """A search query in small letters without openings, filler words and punctuation."""
-    low = F.regexp_replace(F.lower(text), rf"\b(?:{'|'.join(OPENINGS)})\b", " ")
-    words = F.filter(F.split(F.regexp_replace(low, r"[^\p{L}\p{N}_ ?]+", " "), " +"), lambda w: (w != "") & ~w.isin(FILLER_WORDS))
-    return F.array_join(words, " ")
+    """A search query in small letters without openings, setting words and punctuation."""
+    low = F.lower(text)
+    for opening in OPENINGS:
+        low = F.regexp_replace(low, opening, "")
+    words = F.filter(F.split(low, "[ \\t\\n\\r\\f]+"), lambda w: (w != "") & ~w.isin(SETTING_WORDS))
+    bare = F.regexp_replace(F.array_join(words, " "), r"[^\p{L}\p{N}_ ?]+", "")
+    return F.trim(F.regexp_replace(bare, " +", " "))
+
+
+#: Kinds of questions by the words that tell them, in order of trial.
+QUESTION_WORDS = {
+    "why": ["why", "reason", "cause", "explain", "mechanism", "principle", "because"],
+    "what": ["what", "which", "definition", "meaning", "stand for", "expand"],
+    "how": ["how", "process", "method", "procedure", "steps", "way", "means", "how to"],
+    "when": ["when", "date", "time", "schedule", "timeline", "period"],
+    "where": ["where", "location", "place", "site", "area", "region"],
+    "who": ["who", "person", "people", "author", "creator", "founder"],
+    "can": ["can", "could", "may", "might", "is it possible", "does it work"],
+}
+
+
+def question_type(text: Column) -> Column:
+    """The first kind of question with a word of its anywhere in the text, else ``general``."""
+    out = None
+    for kind, words in QUESTION_WORDS.items():
+        rule = F.lower(text).rlike(rf"\b(?:{'|'.join(words)})\b")
+        out = F.when(rule, kind) if out is None else out.when(rule, kind)
+    return out.otherwise("general")
+
+
+#: How a request for a definition begins.
+DEFINITION_OPENINGS = ("what is", "define", "meaning of", "explain", "who is", "describe")
+
+
+def definition_term(text: Column) -> Column:
+    """What a request for a definition asks for, in small letters; null for other texts."""
+    low = F.lower(text)
+    return F.when(low.rlike(rf"^(?:{'|'.join(DEFINITION_OPENINGS)})"), F.trim(F.regexp_replace(low, rf"^(?:{'|'.join(DEFINITION_OPENINGS)})", "")))
 
 
-#: Topics by the first of their words that a text holds, in this order.
+#: Where a request goes, by the first row with a word that the text contains anywhere.
 INTENTS = (
-    ("design", ("design", "propose", "size a")),
-    ("reference", ("report", "[1]", "pp.")),
-    ("measurement", ("measured", "logged", "survey", "run ")),
-    ("estimate", ("estimate", "predict", "model")),
+    ("video", ("youtube", "yt video", "yt", "watch video", "video")),
+    ("search", ("search", "look up", "pull up information", "find info", "information")),
 )
 
 
 def intent(text: Column) -> Column:
-    """Topic of a text by keywords anywhere in it, else ``general``."""
+    """Where a request goes by its words, else ``unknown``."""
     out = None
     for name, words in INTENTS:
         rule = F.lit(False)
         for w in words:
             rule = rule | F.contains(F.lower(text), F.lit(w))
         out = F.when(rule, name) if out is None else out.when(rule, name)
-    return out.otherwise("general")
+    return out.otherwise("unknown")
+
+
+def bullet_points(text: Column, most: int = 10) -> Column:
+    """The first ``most`` sentences of three and more words, each behind a bullet, on lines of their own."""
+    return F.array_join(F.transform(F.slice(sentences(text, 3), 1, most), lambda s: F.concat(F.lit("\u2022 "), s)), "\n")
+
+
+def plain_sentences(text: Column, least_words: int = 5) -> Column:
+    """Sentences without braces and angle brackets."""
+    return F.filter(sentences(text, least_words), lambda s: ~s.rlike(r"[{}<>]"))
+
+
+def excerpt(text: Column, words: int | None = None, chars: int | None = None) -> Column:
+    """The first words, or the first characters, of a text."""
+    cut = text if chars is None else F.substring(text, 1, chars)
+    return cut if words is None else F.array_join(F.slice(white_split(cut), 1, words), " ")
+
+
+def statements_of(text: Column, term: str) -> Column:
+    """What is said from each mention of a word to the next full stop on the line."""
+    return F.regexp_extract_all(text, F.lit(rf"\b{term}\b[^\n]*?\."), F.lit(0))
+
+
+#: A Markdown table: header row, rule, one and more rows.
+MARKDOWN_TABLE = r"\|[^\n]+\|\n\|[-|: ]+\|\n(?:\|[^\n]+\|\n?)+"
+
+
+def _unbroken(markdown: Column) -> Column:
+    return F.replace(F.replace(F.replace(markdown, F.lit("<br>"), F.lit(" ")), F.lit("\u2014_"), F.lit("")), F.lit("\u2014"), F.lit("-"))
+
+
+def markdown_tables(markdown: Column) -> Column:
+    """The tables inside a Markdown text without empty rows; those of less than three lines are none."""
+    found = F.regexp_extract_all(F.concat(_unbroken(markdown), F.lit("\n")), F.lit(MARKDOWN_TABLE), F.lit(0))
+    full = lambda x: F.regexp_replace(x, r"[| \t\r]", "") != ""
+    lines = F.transform(found, lambda t: F.filter(F.split(F.rtrim(t, F.lit("\n")), "\n"), lambda x: full(x) | is_rule(F.trim(x))))
+    return F.transform(F.filter(lines, lambda x: F.size(x) >= 3), lambda x: F.array_join(x, "\n"))
+
+
+def without_tables(markdown: Column) -> Column:
+    """A Markdown text without its tables and stray table rows, cleaned."""
+    bare = F.regexp_replace(_unbroken(markdown), MARKDOWN_TABLE, "")
+    return clean_pdf_text(F.regexp_replace(bare, r"(?m)^[ \t]*\|.*\|[ \t]*$", ""))
+
+
+#: Groups of reasons, in order of trial, by what the reason's name contains.
+REASON_GROUPS = (
+    ("empty cells", "Table: mostly empty cells"),
+    ("few rows", "Table: too few rows"),
+    ("few words", "Too short"),
+    ("symbol glyphs", "Text: glyphs of symbol fonts"),
+    ("broken lines", "Text: broken lines"),
+    ("formula", "Text: formulas"),
+    ("cut off", "Table: cut off"),
+)
+
+
+def reason_group(reason: Column) -> Column:
+    out = None
+    for part, name in REASON_GROUPS:
+        rule = F.contains(reason, F.lit(part))
+        out = F.when(rule, name) if out is None else out.when(rule, name)
+    return out.otherwise("Other")

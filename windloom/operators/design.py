@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Kinematic viscosity of air, m2/s, and the speed of sound, m/s, used for pre-sizing.
@@ -68,9 +68,60 @@ def naca4(airfoils: DataFrame, points: int = 200) -> DataFrame:
     flat = (F.col("m") == 0) | (F.col("p") == 0)
     camber = F.when(flat, 0.0).when(x < F.col("p"), ahead).otherwise(behind)
     angle = F.atan(F.when(flat, 0.0).when(x < F.col("p"), slope_ahead).otherwise(slope_behind))
-    half = 5 * F.col("t") * (0.2969 * F.sqrt(x) - 0.126 * x - 0.3516 * F.pow(x, 2) + 0.2843 * F.pow(x, 3) - 0.1015 * F.pow(x, 4))
-    rows = rows.select("name", "seq", x.alias("x"), camber.alias("camber"), half.alias("thickness"), angle.alias("_a"))
+    rows = rows.select("name", "seq", x.alias("x"), camber.alias("camber"), _half(F.col("t"), x).alias("thickness"), angle.alias("_a"))
+    return _surfaces(rows)
+
+
+def _half(t: Column, x: Column) -> Column:
+    """Half the thickness at ``x`` of a section of thickness ``t``."""
+    return 5 * t * (0.2969 * F.sqrt(x) - 0.126 * x - 0.3516 * F.pow(x, 2) + 0.2843 * F.pow(x, 3) - 0.1015 * F.pow(x, 4))
+
+
+def _surfaces(rows: DataFrame) -> DataFrame:
     y, c, s = F.col("thickness"), F.cos("_a"), F.sin("_a")
     return rows.select(
         "name", "seq", "x", "camber", "thickness", (F.col("x") - y * s).alias("x_upper"), (F.col("camber") + y * c).alias("y_upper"), (F.col("x") + y * s).alias("x_lower"), (F.col("camber") - y * c).alias("y_lower")
     )
+
+
+#: Constant of the 5-digit mean lines by the place of their largest camber.
+MEAN_LINES = {0.05: 361.4, 0.10: 51.64, 0.15: 15.957, 0.20: 6.643, 0.25: 3.230}
+
+
+def naca5(airfoils: DataFrame, points: int = 200) -> DataFrame:
+    """The columns of :func:`naca4` for 5-digit sections; reflexed ones and places off the table give no row."""
+    d = lambda a, n: F.substring("name", a, n).cast("double")
+    p = d(6, 1) / 20
+    places = sorted(MEAN_LINES)
+    k1 = None
+    for a, b in zip(places, places[1:]):  # linear between the places of the table
+        value = MEAN_LINES[a] + (p - a) / (b - a) * (MEAN_LINES[b] - MEAN_LINES[a])
+        k1 = F.when(p.between(a, b), value) if k1 is None else k1.when(p.between(a, b), value)
+    rows = airfoils.filter(F.col("name").rlike("^naca[0-9]{2}[02-9][0-9]{2}$")).select("name", p.alias("p"), k1.alias("k1"), (d(8, 2) / 100).alias("t")).filter("k1 is not null")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("seq"))
+    x, p, k1 = F.col("seq") / (points - 1), F.col("p"), F.col("k1")
+    camber = F.when(x < p, k1 / 6 * (F.pow(x, 3) - 3 * p * x * x + p * p * (3 - p) * x)).otherwise(k1 * F.pow(p, 3) / 6 * (1 - x))
+    slope = F.when(x < p, k1 / 6 * (3 * x * x - 6 * p * x + p * p * (3 - p))).otherwise(-k1 * F.pow(p, 3) / 6)
+    return _surfaces(rows.select("name", "seq", x.alias("x"), camber.alias("camber"), _half(F.col("t"), x).alias("thickness"), F.atan(slope).alias("_a")))
+
+
+def contour(sections: DataFrame) -> DataFrame:
+    """``name, seq, x, y``: from the trailing edge over the upper surface to the nose, and back below."""
+    upper = sections.select("name", (-F.col("seq")).alias("seq"), F.col("x_upper").alias("x"), F.col("y_upper").alias("y"))
+    lower = sections.filter("seq > 0").select("name", "seq", F.col("x_lower").alias("x"), F.col("y_lower").alias("y"))
+    return upper.unionByName(lower)
+
+
+def prepared(points: DataFrame, same: float = 1e-10, closed: float = 1e-6) -> DataFrame:
+    """``name, seq, x, y``: a contour without points on the one before, closed, and scaled to its chord.
+
+    A section has a bounded number of points, so its window is small.
+    """
+    order = Window.partitionBy("name").orderBy("seq")
+    step = F.hypot(F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order))
+    kept = points.withColumn("_step", step).filter("_step is null or _step > %r" % same).drop("_step")
+    ends = kept.groupBy("name").agg(F.min_by(F.struct("x", "y"), "seq").alias("a"), F.max_by(F.struct("x", "y"), "seq").alias("b"), (F.max("seq") + 1).alias("seq"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    gap = F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))
+    whole = kept.unionByName(ends.filter(gap > closed).select("name", "seq", F.col("a.x").alias("x"), F.col("a.y").alias("y")))
+    chord = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
+    return whole.join(ends.select("name", "lo", chord.alias("chord")), "name").select("name", "seq", ((F.col("x") - F.col("lo")) / F.col("chord")).alias("x"), (F.col("y") / F.col("chord")).alias("y"))

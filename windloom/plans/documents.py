@@ -12,8 +12,8 @@ from windloom.session import table as stored
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """The stored table; a small one over all cores, since most queries here are heavy for each text."""
-    return spread(stored(spark, sf, name))
+    """The stored table; one below a split over the cores, since most queries here are heavy for each text."""
+    return spread(stored(spark, sf, name)) if name in ("documents", "pages_out") else stored(spark, sf, name)
 
 
 #: Number of words between ASCII white space.
@@ -81,7 +81,7 @@ def collapse_repeats(spark: SparkSession, sf: str) -> DataFrame:
 
 def keyword_extract(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.array_join(F.sort_array(T.keywords(F.col("text"))), " ").alias("keywords"))
+    return docs.select("doc_id", F.array_join(T.keywords(F.col("text")), " ").alias("keywords"))
 
 
 def markdown_table_cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,13 +187,79 @@ def entity_degrees(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def question_type(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts by the first of the ordered question words they hold."""
-    docs = table(spark, sf, "documents")
-    kind = None
-    for word in ("why", "what", "how", "when", "where", "who", "can"):
-        rule = F.lower("text").rlike(rf"\b{word}\b")
-        kind = F.when(rule, word) if kind is None else kind.when(rule, word)
-    return docs.withColumn("kind", kind.otherwise("general")).groupBy("kind").agg(F.count("*").alias("n_docs"))
+    """Texts by the kind of question they hold."""
+    return table(spark, sf, "documents").groupBy(T.question_type(F.col("text")).alias("kind")).agg(F.count("*").alias("n_docs"))
+
+
+def bullet_points(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.bullet_points(F.col("text")).alias("bullets"))
+
+
+def plain_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of five and more words without markup, and how many."""
+    got = T.plain_sentences(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.size(got).cast("long").alias("n"), F.md5(F.array_join(got, "\n")).alias("digest")).filter("n > 0")
+
+
+def excerpts(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 80 words and the first 600 characters of each text, cut where it is longer."""
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.excerpt(t, words=80)).alias("spoken"), F.md5(T.excerpt(t, chars=600)).alias("shown")).filter("shown is not null")
+
+
+def term_statements(spark: SparkSession, sf: str) -> DataFrame:
+    """What the texts say of the wing, from the word to the next full stop."""
+    return table(spark, sf, "documents").select("doc_id", F.explode(T.statements_of(F.lower("text"), "wing")).alias("statement")).groupBy("statement").agg(F.count("*").alias("n"))
+
+
+def gfm_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables found again in the Markdown of a page (text and tables in one), and what is left without them."""
+    markdown = F.concat_ws("\n\n", F.array(F.coalesce("text", F.lit(""))), F.col("tables"))
+    pages = table(spark, sf, "pages_out").select("page_id", markdown.alias("m")).filter("m like '%|%'").distinct()
+    found = T.markdown_tables(F.col("m"))
+    return pages.select("page_id", F.size(found).cast("long").alias("n_tables"), F.md5(F.array_join(found, "\n\n")).alias("tables"), F.md5(T.without_tables(F.col("m"))).alias("rest"))
+
+
+def audit_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """How many faults of texts and tables there are in each group of reasons."""
+    pages = table(spark, sf, "pages_out")
+    texts = pages.select("page_id", F.lit(0).alias("item"), F.explode(T.text_faults(F.col("text"))).alias("reason"))
+    entries = pages.select("page_id", F.posexplode("tables").alias("k", "t"))
+    faults = texts.unionByName(entries.select("page_id", (F.col("k") + 1).alias("item"), F.explode(T.table_faults(F.col("t"))).alias("reason"))).distinct()
+    return faults.groupBy(T.reason_group(F.col("reason")).alias("reason_group")).agg(F.count("*").alias("n"))
+
+
+def new_registrations(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of the last third of the registry whose content none before had, under any name."""
+    files = table(spark, sf, "processed_files")
+    since = F.lit("2024-01-01").cast("timestamp_ntz")
+    return ingest.not_registered(files.filter(F.col("registered_at") >= since), files.filter(F.col("registered_at") < since)).select("filename", "sha256").distinct()
+
+
+def sentence_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sentence with the source where it occurs first."""
+    return evidence.first_sources(evidence.facts(table(spark, sf, "documents"), 5)).groupBy("source").agg(F.count("*").alias("n_sentences"))
+
+
+def registry_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The registry with later entries of a file over earlier ones, keys of either side kept."""
+    files = table(spark, sf, "processed_files").filter("sha256 is not null")
+    half = F.pmod(F.col("n_pages"), F.lit(2))
+    one = lambda k: files.filter(half == k).groupBy("filename").agg(F.max("sha256").alias("value"))
+    return evidence.merge_right(one(0), one(1), "filename")
+
+
+def chunk_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Each chunk with the topic of its group, which is the group's commonest source; empty where there is none."""
+    chunks = table(spark, sf, "chunk_meta").distinct()
+    per = chunks.filter("group_id is not null and source is not null").groupBy("group_id", "source").agg(F.count("*").alias("n"))
+    topics = per.groupBy("group_id").agg(F.max_by("source", F.struct("n", "source")).alias("topic"))
+    return chunks.join(topics, "group_id", "left").select("child_id", F.coalesce("group_id", F.lit("")).alias("group_id"), F.coalesce("topic", F.lit("")).alias("topic")).distinct()
+
+
+def group_references(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct chunks that refer to each group: a reference given twice counts once."""
+    return table(spark, sf, "chunk_meta").groupBy("group_id").agg(F.count_distinct("child_id").alias("n_chunks"), F.count("*").alias("n_references"))
 
 
 def clean_query_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,11 +293,13 @@ QUERIES = {
         sentence_split, sentence_split_protected, text_quality_reasons, quality_audit_by_source, table_validation, clean_page_text, ocr_pipe_clean,
         collapse_repeats, keyword_extract, markdown_table_cells, chunk_children, chunk_parents, child_parent_lookup, pages_without_chunks, group_topics,
         registry_latest, registry_aliases, content_hash_new_pages, unregistered_sources, purge_sources, fact_dedup, word_budget_summary, citation_numbers,
-        contradictions, contradiction_pairs, entity_mentions, entity_degrees, question_type, clean_query_text, intent_router, page_kinds, reference_lists, quantity_values,
+        contradictions, contradiction_pairs, bullet_points, plain_sentences, excerpts, term_statements, gfm_tables, audit_groups, new_registrations,
+        sentence_sources, registry_merge, chunk_topics, group_references, entity_mentions, entity_degrees, question_type, clean_query_text, intent_router, page_kinds, reference_lists, quantity_values,
     )
 }
 
-_FILLER = ", ".join(f"'{w}'" for w in T.FILLER_WORDS)
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
+_SETTING = ", ".join(f"'{w}'" for w in T.SETTING_WORDS)
 _NEGATIONS = ", ".join(f"'{w}'" for w in evidence.NEGATIONS)
 _ROWS = "list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: starts_with(x, '|') AND NOT regexp_matches(x, '^\\|[-| :]+\\|$'))"
 _CELLS = "flatten(list_transform({0}, lambda x: list_transform(string_split(regexp_replace(regexp_replace(x, '^\\|[ ]*', ''), '[ ]*\\|$', ''), '|'), lambda c: trim(c))))"
@@ -244,15 +312,63 @@ _MENTIONS = """
 """
 _LATEST = "SELECT filename, r.sha256 AS sha256, r.n_pages AS n_pages, r.registered_at AS registered_at FROM (SELECT filename, max(struct_pack(registered_at := registered_at, sha256 := coalesce(sha256, ''), n_pages := coalesce(n_pages, -1))) AS r FROM processed_files GROUP BY filename)"
 
-_OPENINGS = "|".join(T.OPENINGS)
+_CLEANED = "lower(text)"
+for _opening in T.OPENINGS:
+    _CLEANED = f"regexp_replace({_CLEANED}, '{_opening}', '', 'g')"
 _INTENT = " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in T.INTENTS)
+_KIND = " ".join(f"WHEN regexp_matches(lower(text), '\\b(?:{'|'.join(words)})\\b') THEN '{kind}'" for kind, words in T.QUESTION_WORDS.items())
+_GROUP = " ".join(f"WHEN contains(reason, '{part}') THEN '{name}'" for part, name in T.REASON_GROUPS)
+
+
+def _split(least: int) -> str:
+    """Sentences of a text of so many words as a list ``p``, by document."""
+    return SENTENCES.replace(">= 6", f">= {least}").replace("facts AS", "split AS")
+
+
+_QUOTED = "^(\"[^\"]+\"|''[^'']+'')$"
+_CLEAN = (
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[\x{{e000}}-\x{{f8ff}}\x{{f900}}-\x{{ffff}}]', ' ', 'g'), '[\x00\x{{ad}}]', '', 'g'), "
+    r"'\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')"
+)
+_TABLE_FAULTS = f"""
+        SELECT DISTINCT page_id, item, unnest(list_filter([
+            CASE WHEN len(data) < 2 THEN 'too few rows' END,
+            CASE WHEN len(list_filter(cells, lambda c: c IN ('', 'None', 'nan', 'N/A'))) > 0.7 * len(cells) THEN 'too many empty cells' END,
+            CASE WHEN len(regexp_extract_all(t, '[^ \\t\\n\\r\\f|]+')) < 30 THEN 'too few words' END], lambda x: x IS NOT NULL)) AS reason
+        FROM (SELECT *, coalesce({_CELLS.format('data')}, []) AS cells FROM (SELECT *, ({_ROWS})[2:] AS data FROM ({_ENTRIES})) WHERE t IS NOT NULL)
+    """
 
 ORACLE = {
     "clean_query_text": f"""
-        SELECT doc_id, array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(text), '\\b(?:{_OPENINGS})\\b', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_ ?]+', ' ', 'g'), ' +'),
-            lambda w: w <> '' AND w NOT IN ({_FILLER})), ' ') AS query FROM documents
+        SELECT doc_id, trim(regexp_replace(regexp_replace(array_to_string(list_filter(string_split_regex({_CLEANED}, '[ \\t\\n\\r\\f]+'), lambda w: w <> '' AND w NOT IN ({_SETTING})), ' '),
+            '[^\\p{{L}}\\p{{N}}_ ?]+', '', 'g'), ' +', ' ', 'g')) AS query FROM documents
     """,
-    "intent_router": f"SELECT doc_id, CASE {_INTENT} ELSE 'general' END AS intent FROM documents",
+    "bullet_points": f"WITH {_split(3)} SELECT d.doc_id, coalesce(b, CASE WHEN text IS NULL THEN NULL ELSE '' END) AS bullets FROM documents d LEFT JOIN (SELECT doc_id, string_agg('\u2022 ' || fact, chr(10) ORDER BY pos) AS b FROM split WHERE pos < 10 GROUP BY doc_id) USING (doc_id)",
+    "plain_sentences": f"WITH {_split(5)} SELECT doc_id, count(*) AS n, md5(string_agg(fact, chr(10) ORDER BY pos)) AS digest FROM split WHERE NOT regexp_matches(fact, '[{{}}<>]') GROUP BY doc_id",
+    "excerpts": "SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '[^ \t\n\r\f]+')[:80], ' ')) AS spoken, md5(substring(text, 1, 600)) AS shown FROM documents WHERE text IS NOT NULL",
+    "term_statements": "SELECT statement, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\bwing\\b[^\n]*?\\.')) AS statement FROM documents) GROUP BY statement",
+    "gfm_tables": f"""
+        WITH m AS (SELECT DISTINCT page_id, coalesce(text, '') || coalesce(chr(10) || chr(10) || array_to_string(list_filter(tables, lambda x: x IS NOT NULL), chr(10) || chr(10)), '') AS m FROM pages_out),
+        u AS (SELECT page_id, replace(replace(replace(m, '<br>', ' '), '\u2014_', ''), '\u2014', '-') AS u FROM m WHERE contains(m, '|')),
+        f AS (SELECT page_id, u, list_transform(regexp_extract_all(u || chr(10), '{T.MARKDOWN_TABLE}'), lambda t: list_filter(string_split(rtrim(t, chr(10)), chr(10)), lambda x: regexp_replace(x, '[| \t\r]', '', 'g') <> '' OR regexp_matches(trim(x), '^\\|[-| :]+\\|$'))) AS f FROM u),
+        k AS (SELECT page_id, u, list_transform(list_filter(f, lambda x: len(x) >= 3), lambda x: array_to_string(x, chr(10))) AS k FROM f)
+        SELECT page_id, len(k) AS n_tables, md5(array_to_string(k, chr(10) || chr(10))) AS tables,
+            md5({_CLEAN.format("regexp_replace(regexp_replace(u, '" + T.MARKDOWN_TABLE + "', '', 'g'), '(?m)^[ \t]*\\|.*\\|[ \t]*$', '', 'g')")}) AS rest FROM k
+    """,
+    "audit_groups": f"""
+        WITH {REASONS}, f AS (SELECT page_id, 0 AS item, reason FROM faults UNION SELECT page_id, item, reason FROM ({_TABLE_FAULTS}))
+        SELECT CASE {_GROUP} ELSE 'Other' END AS reason_group, count(*) AS n FROM f GROUP BY 1
+    """,
+    "new_registrations": "SELECT DISTINCT filename, sha256 FROM processed_files p WHERE registered_at >= TIMESTAMP '2024-01-01' AND NOT EXISTS (SELECT 1 FROM processed_files r WHERE r.registered_at < TIMESTAMP '2024-01-01' AND r.sha256 = p.sha256)",
+    "sentence_sources": f"WITH {_split(5)}, k AS (SELECT source, row_number() OVER (PARTITION BY fact ORDER BY doc_id, pos) AS k FROM split) SELECT source, count(*) AS n_sentences FROM k WHERE k = 1 GROUP BY source",
+    "registry_merge": "SELECT filename, coalesce(r, l) AS value FROM (SELECT filename, max(sha256) FILTER (n_pages % 2 = 0) AS l, max(sha256) FILTER (n_pages % 2 = 1) AS r FROM processed_files WHERE sha256 IS NOT NULL GROUP BY filename) WHERE coalesce(r, l) IS NOT NULL",
+    "chunk_topics": """
+        WITH c AS (SELECT DISTINCT * FROM chunk_meta), p AS (SELECT group_id, source, count(*) AS n FROM c WHERE group_id IS NOT NULL AND source IS NOT NULL GROUP BY ALL),
+        t AS (SELECT group_id, source AS topic, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, source DESC) AS k FROM p)
+        SELECT DISTINCT child_id, coalesce(c.group_id, '') AS group_id, coalesce(topic, '') AS topic FROM c LEFT JOIN t ON c.group_id = t.group_id AND k = 1
+    """,
+    "group_references": "SELECT group_id, count(DISTINCT child_id) AS n_chunks, count(*) AS n_references FROM chunk_meta GROUP BY group_id",
+    "intent_router": f"SELECT doc_id, CASE {_INTENT} ELSE 'unknown' END AS intent FROM documents",
     "page_kinds": f"""
         SELECT DISTINCT page_id, CASE WHEN w = 0 AND t = 0 THEN 'blank' WHEN t > 0 AND w < 50 THEN 'table' WHEN w < 10 THEN 'sparse' ELSE 'text' END AS kind
         FROM (SELECT page_id, {WORDS.format("coalesce(text, '')")} AS w, coalesce(len(tables), 0) AS t FROM pages_out)
@@ -271,21 +387,12 @@ ORACLE = {
     "sentence_split": f"WITH {SENTENCES} SELECT doc_id, pos, fact FROM facts",
     "text_quality_reasons": f"WITH {REASONS} SELECT DISTINCT page_id, reason FROM faults",
     "quality_audit_by_source": f"WITH {REASONS} SELECT source, reason, count(DISTINCT page_id) AS n_pages FROM faults GROUP BY source, reason",
-    "table_validation": f"""
-        SELECT DISTINCT page_id, item, unnest(list_filter([
-            CASE WHEN len(data) < 2 THEN 'too few rows' END,
-            CASE WHEN len(list_filter(cells, lambda c: c IN ('', 'None', 'nan', 'N/A'))) > 0.7 * len(cells) THEN 'too many empty cells' END,
-            CASE WHEN len(regexp_extract_all(t, '[^ \\t\\n\\r\\f|]+')) < 30 THEN 'too few words' END], lambda x: x IS NOT NULL)) AS reason
-        FROM (SELECT *, coalesce({_CELLS.format('data')}, []) AS cells FROM (SELECT *, ({_ROWS})[2:] AS data FROM ({_ENTRIES})) WHERE t IS NOT NULL)
-    """,
-    "clean_page_text": r"""
-        SELECT DISTINCT page_id, length(t) AS n_chars, md5(t) AS digest FROM (
-            SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x{e000}-\x{f8ff}\x{f900}-\x{ffff}]', ' ', 'g'), '[\x00\x{ad}]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') AS t
-            FROM pages_out WHERE text IS NOT NULL)
-    """,
+    "table_validation": _TABLE_FAULTS,
+    "clean_page_text": f"SELECT DISTINCT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, {_CLEAN.format('text')} AS t FROM pages_out WHERE text IS NOT NULL)",
     "ocr_pipe_clean": "SELECT DISTINCT page_id, md5(trim(regexp_replace(regexp_replace(text, '[ ]*\\|[ ]*', ' ', 'g'), ' {2,}', ' ', 'g'))) AS digest FROM pages_out WHERE contains(text, '|')",
     "keyword_extract": f"""
-        SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '"[^"]+"|[\\p{{L}}\\p{{N}}]+'), lambda w: w NOT IN ({_FILLER})))), ' ') AS keywords FROM documents
+        SELECT doc_id, array_to_string(list_transform(list_filter(regexp_extract_all(text, '"[^"\\n]+"|''[^''\\n]+''|[^ \\t\\n\\r\\f]+'), lambda x: regexp_matches(x, '{_QUOTED}') OR lower(x) NOT IN ({_STOP})),
+            lambda x: CASE WHEN regexp_matches(x, '{_QUOTED}') THEN x[2:-2] ELSE lower(x) END), ' ') AS keywords FROM documents
     """,
     "markdown_table_cells": f"""
         SELECT DISTINCT page_id, item, len(r) AS n_rows, len(c) AS n_cells, len(list_filter(c, lambda x: x IN ('', 'None', 'nan', 'N/A'))) AS n_empty
@@ -325,9 +432,5 @@ ORACLE = {
     """,
     "entity_mentions": f"WITH {_MENTIONS} SELECT doc_id, entity, n FROM mentions",
     "entity_degrees": f"WITH {_MENTIONS} SELECT entity, count(*) AS n_docs, sum(n)::BIGINT AS n_mentions FROM mentions GROUP BY entity HAVING count(*) > 1",
-    "question_type": """
-        SELECT CASE WHEN regexp_matches(lower(text), '\\bwhy\\b') THEN 'why' WHEN regexp_matches(lower(text), '\\bwhat\\b') THEN 'what' WHEN regexp_matches(lower(text), '\\bhow\\b') THEN 'how'
-            WHEN regexp_matches(lower(text), '\\bwhen\\b') THEN 'when' WHEN regexp_matches(lower(text), '\\bwhere\\b') THEN 'where' WHEN regexp_matches(lower(text), '\\bwho\\b') THEN 'who'
-            WHEN regexp_matches(lower(text), '\\bcan\\b') THEN 'can' ELSE 'general' END AS kind, count(*) AS n_docs FROM documents GROUP BY 1
-    """,
+    "question_type": f"SELECT CASE {_KIND} ELSE 'general' END AS kind, count(*) AS n_docs FROM documents GROUP BY 1",
 }
