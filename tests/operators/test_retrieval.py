@@ -101,7 +101,7 @@ def test_contradiction_pairs_equal_brute_force(spark, monkeypatch):
         texts += [" ".join(w), " ".join([*w[:3], "not", *w[3:], *(["w1"] if rng.random() < 0.5 else [])])]
     texts += texts[:40]
     rows = spark.createDataFrame([(t,) for t in texts], "fact string")
-    got = {(r["plain"], r["negated"]): (r["similarity"], r["n_plain"], r["n_negated"]) for r in evidence.contradiction_pairs(rows).collect()}
+    got = {(r["plain"], r["opposed"]): (r["similarity"], r["n_plain"], r["n_opposed"]) for r in evidence.contradiction_pairs(rows).collect()}
     n = Counter(t.lower() for t in texts if t)
     want = {}
     for p in n:

@@ -197,7 +197,7 @@ def fuse(dense: DataFrame, sparse: DataFrame, alpha: float = 0.65, c: int = 60,
     return best_per(scored, "query_id", "score", "doc_id", k)
 
 
-def _vector_blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def vector_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and unit vectors of the stated queries in blocks, each a bounded matrix."""
     for chosen in _blocks(queries.select("vec_id", "embedding"), block):
         matrix = np.stack(chosen["embedding"].to_numpy()).astype(np.float64)
@@ -211,7 +211,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = QUER
     batch of rows the best ``k`` for each query are kept before the shuffle.
     """
     result = None
-    for ids, matrix in _vector_blocks(queries, block):
+    for ids, matrix in vector_blocks(queries, block):
         found = vectors.select("vec_id", "embedding").mapInPandas(_nearest(ids, matrix, k), "query_id long, vec_id long, similarity double")
         result = found if result is None else result.unionByName(found)
     if result is None:
@@ -225,7 +225,7 @@ def dense_above(vectors: DataFrame, queries: DataFrame, above: float, block: int
     They come straight from the blocks' matrix products; nothing is ranked or shuffled.
     """
     result = None
-    for ids, matrix in _vector_blocks(queries, block):
+    for ids, matrix in vector_blocks(queries, block):
         found = vectors.select("vec_id", "embedding").mapInPandas(_all_above(ids, matrix, above), "query_id long, vec_id long, similarity double")
         result = found if result is None else result.unionByName(found)
     if result is None:

@@ -300,6 +300,7 @@ QUERIES = {
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
 _SETTING = ", ".join(f"'{w}'" for w in T.SETTING_WORDS)
+_OPPOSING = ", ".join("'" + w.replace("'", "''") + "'" for w in evidence.OPPOSING)
 _NEGATIONS = ", ".join(f"'{w}'" for w in evidence.NEGATIONS)
 _ROWS = "list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: starts_with(x, '|') AND NOT regexp_matches(x, '^\\|[-| :]+\\|$'))"
 _CELLS = "flatten(list_transform({0}, lambda x: list_transform(string_split(regexp_replace(regexp_replace(x, '^\\|[ ]*', ''), '[ ]*\\|$', ''), '|'), lambda c: trim(c))))"
@@ -430,6 +431,15 @@ ORACLE = {
         SELECT key, count(*) FILTER (NOT negated) AS n_plain, count(*) FILTER (negated) AS n_negated FROM k WHERE length(key) > 0
         GROUP BY key HAVING count(*) FILTER (NOT negated) > 0 AND count(*) FILTER (negated) > 0
     """,
+    "contradiction_pairs": f"""
+        WITH {SENTENCES}, k AS (SELECT array_to_string(list_filter(string_split_regex(lower(fact), '[ \\t\\n\\r\\f]+'), lambda w: w <> ''), ' ') AS key FROM facts),
+        s AS (SELECT key, count(*) AS n, list_has_any(string_split(key, ' '), [{_OPPOSING}]) AS opposed FROM k WHERE key <> '' GROUP BY key),
+        w AS (SELECT key, opposed, word, count(*) AS tf FROM (SELECT key, opposed, unnest(regexp_extract_all(key, '[\\p{{L}}\\p{{N}}]+')) AS word FROM s) GROUP BY ALL),
+        z AS (SELECT key, sqrt(sum(tf * tf)) AS norm FROM w GROUP BY key),
+        d AS (SELECT p.key AS plain, q.key AS opposed, sum(p.tf * q.tf) AS dot FROM w p JOIN w q ON p.word = q.word AND NOT p.opposed AND q.opposed GROUP BY ALL)
+        SELECT plain, d.opposed, round(dot / (a.norm * b.norm), 6) AS similarity, x.n AS n_plain, y.n AS n_opposed
+        FROM d JOIN z a ON a.key = plain JOIN z b ON b.key = d.opposed JOIN s x ON x.key = plain JOIN s y ON y.key = d.opposed WHERE round(dot / (a.norm * b.norm), 6) >= 0.82
+    """,
     "entity_mentions": f"WITH {_MENTIONS} SELECT doc_id, entity, n FROM mentions",
     "entity_degrees": f"WITH {_MENTIONS} SELECT entity, count(*) AS n_docs, sum(n)::BIGINT AS n_mentions FROM mentions GROUP BY entity HAVING count(*) > 1",
     "question_type": f"SELECT CASE {_KIND} ELSE 'general' END AS kind, count(*) AS n_docs FROM documents GROUP BY 1",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windloom.operators import evidence, graph, retrieval
+from windloom.plans.documents import SENTENCES
 from windloom.session import checkpointed, table
 
 
@@ -101,9 +102,42 @@ def graph_degrees(spark: SparkSession, sf: str) -> DataFrame:
 def related_by_entity(spark: SparkSession, sf: str) -> DataFrame:
     """For each query text, texts that name the same entities, by the number of shared names."""
     found = checkpointed(graph.mentions(table(spark, sf, "documents")).select("doc_id", "entity"))
-    asked = found.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
-    pairs = asked.join(found, "entity").filter("query_id <> doc_id")
-    return pairs.groupBy("query_id", "doc_id").agg(F.count("*").alias("n_shared"))
+    return graph.sharing(found, found.filter("doc_id % 100 = 0"))
+
+
+def fused_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The fused hits with what is known of their documents."""
+    known = table(spark, sf, "documents").groupBy("doc_id").agg(F.min(F.lower(F.trim("source"))).alias("source"), F.min("n_chars").alias("n_chars"))
+    return rrf_fusion(spark, sf).join(known, "doc_id", "left").select("query_id", "rank", "doc_id", F.coalesce("source", F.lit("")).alias("source"), "n_chars")
+
+
+def gated_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of each query's three best texts that bear on it and aren't among its own, the first six."""
+    docs, queries = _docs(spark, sf)
+    hits = checkpointed(retrieval.hybrid_relevance(docs, queries, 3))
+    facts = evidence.facts(table(spark, sf, "documents"))
+    offered = hits.join(facts, "doc_id").select("query_id", F.struct("rank", "pos").alias("place"), "fact")
+    held = facts.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "fact")
+    got = evidence.gated(queries.select(F.col("doc_id").alias("query_id"), "text"), held, checkpointed(offered))
+    return got.select("query_id", F.col("place.rank").cast("long").alias("rank"), F.col("place.pos").cast("long").alias("pos"), "fact", "relevance")
+
+
+def candidate_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of all rankers in their order, each text with the first ranker that found it."""
+    both = checkpointed(retrieval.search(*_docs(spark, sf), 5, ("overlap", "bm25", "hybrid")))
+    order = F.when(F.col("kind") == "overlap", 0).when(F.col("kind") == "bm25", 1).otherwise(2)
+    first = both.groupBy("query_id", "doc_id").agg(F.min(F.struct(order.alias("o"), "rank", "kind")).alias("f"))
+    return first.select("query_id", "doc_id", F.col("f.kind").alias("kind"), F.col("f.rank").cast("long").alias("rank"))
+
+
+def node_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.upserted(*_vectors(spark, sf), above=0.3)
+
+
+def vector_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of vectors linked by similarity to the stated ones, by size."""
+    groups = graph.components(_edges(spark, sf))
+    return groups.groupBy("component").agg(F.count("*").alias("n_vectors"))
 
 
 def mention_components(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_term_stats, bm25_topk, overlap_topk, rrf_fusion, hybrid_relevance, dense_topk, mmr_rerank, greedy_dedup, group_centroid, centroid_blend, route_to_group,
-        similarity_edges, graph_khop, graph_degrees, related_by_entity, mention_components,
+        similarity_edges, graph_khop, graph_degrees, related_by_entity, mention_components, fused_documents, gated_facts, candidate_union, node_upsert, vector_groups,
     )
 }
 
@@ -161,7 +195,56 @@ _CENTROIDS = """
     centers AS (SELECT mean.label, dim, CASE WHEN s > 0 THEN m / s ELSE 0 END AS value FROM mean JOIN size ON mean.label IS NOT DISTINCT FROM size.label)
 """
 
+_HYBRID = """
+    norms AS (SELECT doc_id, sqrt(sum(tf * tf)) AS norm FROM posts GROUP BY doc_id),
+    hn AS (SELECT query_id, count(*) AS n FROM asked GROUP BY query_id),
+    hs AS (SELECT a.query_id, p.doc_id, sum(tf * qtf) AS dot, count(*) AS shared FROM posts p JOIN asked a ON a.term = p.term WHERE a.query_id <> p.doc_id GROUP BY ALL),
+    hf AS (SELECT hs.query_id, hs.doc_id, round(0.65 * (dot / (d.norm * q.norm) + 1) / 2 + 0.35 * shared / n, 6) AS score
+        FROM hs JOIN hn ON hn.query_id = hs.query_id JOIN norms d ON d.doc_id = hs.doc_id JOIN norms q ON q.doc_id = hs.query_id),
+    hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM hf)
+"""
+_FUSED = f"""
+    {_POSTS}, {_BM25}, {_OVERLAP},
+    parts AS (SELECT query_id, doc_id, 0.65 / (60 + rank) AS part FROM ov WHERE rank < 30 UNION ALL SELECT query_id, doc_id, 0.35 / (60 + rank) FROM bm WHERE rank < 30),
+    f AS (SELECT query_id, doc_id, round(sum(part), 8) AS score FROM parts GROUP BY query_id, doc_id),
+    fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM f) WHERE rank < 10)
+"""
+_GATED = """
+    o AS (SELECT query_id, rank, pos, fact FROM hy JOIN facts USING (doc_id) WHERE rank < 3),
+    ow AS (SELECT query_id, rank, pos, word, count(*) AS tf FROM (SELECT query_id, rank, pos, unnest(regexp_extract_all(lower(fact), '[\\p{L}\\p{N}]+')) AS word FROM o) GROUP BY ALL),
+    onorm AS (SELECT query_id, rank, pos, sqrt(sum(tf * tf)) AS norm FROM ow GROUP BY ALL),
+    rel AS (SELECT ow.query_id, ow.rank, ow.pos, round(sum(ow.tf * a.qtf) / any_value(onorm.norm * norms.norm), 6) AS relevance FROM ow JOIN onorm USING (query_id, rank, pos)
+        JOIN asked a ON a.query_id = ow.query_id AND a.term = ow.word JOIN norms ON norms.doc_id = ow.query_id GROUP BY ALL),
+    hw AS (SELECT DISTINCT query_id, fact, word, tf FROM (SELECT doc_id AS query_id, pos, fact, word, count(*) AS tf FROM (SELECT doc_id, pos, fact, unnest(regexp_extract_all(lower(fact), '[\\p{L}\\p{N}]+')) AS word FROM facts WHERE doc_id % 100 = 0) GROUP BY ALL)),
+    hnorm AS (SELECT query_id, fact, sqrt(sum(tf * tf)) AS norm FROM hw GROUP BY ALL),
+    near AS (SELECT DISTINCT query_id, rank, pos FROM (SELECT ow.query_id, ow.rank, ow.pos, hw.fact, round(sum(ow.tf * hw.tf) / any_value(onorm.norm * hnorm.norm), 6) AS s FROM ow JOIN onorm USING (query_id, rank, pos)
+        JOIN hw ON hw.query_id = ow.query_id AND hw.word = ow.word JOIN hnorm ON hnorm.query_id = hw.query_id AND hnorm.fact = hw.fact GROUP BY ALL) WHERE s >= 0.82),
+    passed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, pos) AS k FROM rel WHERE relevance >= 0.45 AND NOT EXISTS (SELECT 1 FROM near n WHERE n.query_id = rel.query_id AND n.rank = rel.rank AND n.pos = rel.pos))
+"""
+
 ORACLE = {
+    "fused_documents": f"""
+        WITH {_FUSED}, k AS (SELECT doc_id, min(lower(trim(source))) AS source, min(n_chars) AS n_chars FROM documents GROUP BY doc_id)
+        SELECT query_id, rank, doc_id, coalesce(source, '') AS source, n_chars FROM fused LEFT JOIN k USING (doc_id)
+    """,
+    "gated_facts": f"WITH {_POSTS}, {_HYBRID}, {SENTENCES}, {_GATED} SELECT query_id, rank, pos, fact, relevance FROM passed JOIN o USING (query_id, rank, pos) WHERE k <= 6",
+    "candidate_union": f"""
+        WITH {_POSTS}, {_BM25}, {_OVERLAP}, {_HYBRID},
+        u AS (SELECT query_id, doc_id, rank, 0 AS o, 'overlap' AS kind FROM ov WHERE rank < 5 UNION ALL SELECT query_id, doc_id, rank, 1, 'bm25' FROM bm WHERE rank < 5 UNION ALL SELECT query_id, doc_id, rank, 2, 'hybrid' FROM hy WHERE rank < 5),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY o) AS k FROM u)
+        SELECT query_id, doc_id, kind, rank FROM k WHERE k = 1
+    """,
+    "node_upsert": f"""
+        WITH {_UNIT}, s AS (SELECT q.vec_id, d.vec_id AS n, round(list_dot_product(q.e, d.e) / (q.norm * d.norm), 6) AS similarity FROM u q JOIN u d ON q.vec_id % 100 = 0 AND d.vec_id % 100 <> 0),
+        b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, n) AS k FROM s)
+        SELECT vec_id, CASE WHEN similarity > 0.3 THEN n ELSE vec_id END AS node, similarity FROM b WHERE k = 1
+    """,
+    "vector_groups": f"""
+        WITH RECURSIVE {_EDGES}, both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+        reach AS (SELECT a AS node, a AS least FROM both_ways UNION SELECT b, least FROM reach JOIN both_ways ON node = a WHERE least < b),
+        c AS (SELECT node, min(least) AS component FROM reach GROUP BY node)
+        SELECT component, count(*) AS n_vectors FROM c GROUP BY component
+    """,
     "bm25_term_stats": f"WITH {_POSTS} SELECT term, df, round(idf, 6) AS idf FROM stats",
     "bm25_topk": f"WITH {_POSTS}, {_BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank < 10",
     "overlap_topk": f"WITH {_POSTS}, {_OVERLAP} SELECT query_id, doc_id, score, rank FROM ov WHERE rank < 10",
