@@ -65,3 +65,49 @@ def markdown(rows: Column) -> Column:
     rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(rows[0])))
     body = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(1))), line)
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(rows[0]), rule), F.when(F.size(rows) > 1, body).otherwise(F.array().cast("array<string>"))), "\n"))
+
+
+def _laid(spans: DataFrame, *keys: str) -> DataFrame:
+    """``<keys>, rows, starts``: rows of spans and where columns begin.
+
+    The second aggregate has the partitioning of the first; it keeps the folds from being put into the
+    expressions that use them, where they would run again for each element.
+    """
+    every = spans.groupBy(*keys).agg(F.collect_list(F.struct(F.col("y0").cast("double").alias("y"), F.col("x0").cast("double").alias("x"), "text")).alias("s"))
+    folded = every.select(*keys, rows_of(F.col("s")).alias("rows"), boundaries(F.transform("s", lambda x: x["x"])).alias("starts"))
+    return folded.groupBy(*keys).agg(F.first("rows").alias("rows"), F.first("starts").alias("starts"))
+
+
+def rebuilt(spans: DataFrame, *keys: str) -> DataFrame:
+    """``<keys>, n_rows, n_columns, markdown``: the table that the spans of each page make.
+
+    Spans are gathered to rows by their distance from the head of a row, columns begin where a span
+    starts further than the gap from the column before; spans of one cell are joined by a space. The
+    spans of a page are bounded by the page.
+    """
+    laid = _laid(spans, *keys)
+
+    def cells(row: Column) -> Column:
+        at = lambda s: F.size(F.filter("starts", lambda b: b <= s["x"]))
+        ordered = F.array_sort(F.transform(row["spans"], lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["text"].alias("text"))))
+        return F.transform(F.sequence(F.lit(1), F.size("starts")), lambda k: F.array_join(F.transform(F.filter(ordered, lambda s: at(s) == k), lambda s: s["text"]), " "))
+
+    grid = laid.withColumn("grid", F.transform("rows", cells))
+    return grid.select(*keys, F.size("rows").alias("n_rows"), F.size("starts").alias("n_columns"), markdown(F.col("grid")).alias("markdown"))
+
+
+def structural_columns(spans: DataFrame, *keys: str, least: float = 0.3) -> DataFrame:
+    """``<keys>, n_structural, several_share``: columns that at least ``least`` of the rows hit, and the share of rows with several cells."""
+    laid = _laid(spans, *keys)
+    at = lambda s: F.size(F.filter("starts", lambda b: b <= s["x"]))
+    hit = F.transform("rows", lambda r: F.array_distinct(F.transform(r["spans"], at)))
+    laid = laid.withColumn("hit", hit)
+    columns = F.filter(F.sequence(F.lit(1), F.size("starts")), lambda k: F.size(F.filter("hit", lambda h: F.array_contains(h, k))) >= least * F.size("rows"))
+    several = F.size(F.filter("hit", lambda h: F.size(h) > 1)) / F.size("rows")
+    return laid.select(*keys, F.size(columns).cast("long").alias("n_structural"), F.round(several, 6).alias("several_share"))
+
+
+def first_strategy(found: DataFrame, key: str) -> DataFrame:
+    """``<key>, strategy, n_tables``: of the strategies in their order the first that gave a table."""
+    per = found.groupBy(key, "strategy").agg(F.count("*").alias("n_tables"))
+    return per.groupBy(key).agg(F.min(F.struct("strategy", "n_tables")).alias("f")).select(key, "f.strategy", "f.n_tables")

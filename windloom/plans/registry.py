@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from windloom.plans import documents, measurements, requests, retrieval
+from windloom.plans import documents, layouts, measurements, requests, retrieval
 
-PARTS = [documents, retrieval, measurements, requests]
+PARTS = [documents, retrieval, measurements, requests, layouts]
 QUERIES: dict = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLE: dict = {name: sql for part in PARTS for name, sql in getattr(part, "ORACLE", {}).items()}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shared(spark: SparkSession) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return shared or tempfile.mkdtemp(prefix="windloom-checkpoint-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, under the cluster's ``spark.checkpoint.dir``."""
+    return f"{_shared(spark).rstrip('/')}/windloom-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint.
 
@@ -36,13 +49,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     setting (tests, a laptop) is a local folder used instead; elsewhere its absence is an error,
     for executors would write to disks that no other executor sees.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="windloom-checkpoint-"))
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -18,22 +18,24 @@ def scan_files(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFr
     return wanted.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
 
 
-def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``name, line, value`` of small text files, one file in one row of the scan."""
-    whole = spark.read.text(paths, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
-    return whole.select(F.regexp_replace("file", r"\.[a-zA-Z]+$", "").alias("name"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+def _lines(spark: SparkSession, paths: str | list[str], partitioned: bool = False) -> DataFrame:
+    """``name, line, value`` of small text files, one file in one row of the scan; named by their file or by the folder ``name=``."""
+    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    whole = spark.read.text(paths, wholetext=True)
+    name = F.col("name").cast("string") if partitioned else F.regexp_replace(file, r"\.[a-zA-Z]+$", "")
+    return whole.select(name.alias("name"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
 
 
 def _numbers(value: Column) -> Column:
     return F.filter(F.split(F.trim(value), r"\s+"), lambda x: x != "")
 
 
-def read_coordinates(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_coordinates(spark: SparkSession, paths: str | list[str], partitioned: bool = False) -> DataFrame:
     """``name, seq, x, y`` of airfoil coordinate files: the lines of exactly two numbers.
 
     The count line of the two-surface format has two numbers of which one exceeds 1.5, and isn't a point.
     """
-    words = _lines(spark, paths).withColumn("w", _numbers(F.col("value")))
+    words = _lines(spark, paths, partitioned).withColumn("w", _numbers(F.col("value")))
     points = words.filter(F.size("w") == 2).select("name", "line", F.get("w", F.lit(0)).try_cast("double").alias("x"), F.get("w", F.lit(1)).try_cast("double").alias("y"))
     return points.filter("x is not null and y is not null and abs(x) <= 1.5 and abs(y) <= 1.5").select("name", F.col("line").alias("seq"), "x", "y")
 
@@ -74,8 +76,35 @@ def coordinate_lines(points: DataFrame) -> DataFrame:
     return rows.select("name", F.concat_ws("\n", F.concat(F.array("name"), F.transform("rows", lambda r: r["text"]))).alias("content"))
 
 
+def write_polar_csv(points: DataFrame, path: str, key: str) -> str:
+    """Polars as CSV files with a header, one folder for each ``key``; returns ``path``."""
+    points.write.mode("overwrite").partitionBy(key).option("header", True).csv(path)
+    return path
+
+
 def replace_table(df: DataFrame, path: str) -> str:
-    """Write a new version beside the old ones and return its folder; readers switch by the name."""
-    target = f"{path}/version={uuid.uuid4().hex}"
+    """Write a new version beside the old ones and return its folder.
+
+    :func:`current_table` reads the last version that is whole, so a reader sees the one before or the
+    new one, never a part.
+    """
+    versions = _versions(df.sparkSession, path)
+    target = f"{path}/version={int(versions[-1][8:20]) + 1 if versions else 1:012d}-{uuid.uuid4().hex}"
     df.write.parquet(target)
     return target
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last whole version that :func:`replace_table` wrote; None where there is none."""
+    versions = _versions(spark, path)
+    return spark.read.parquet(f"{path}/{versions[-1]}") if versions else None
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the versions whose writing ended, in order."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(of(path)):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(of(path))]
+    return sorted(n for n in names if n.startswith("version=") and fs.exists(of(f"{path}/{n}/_SUCCESS")))
