@@ -127,3 +127,13 @@ def test_states_without_enough_evidence_are_the_ones_left_out(model):
             evidence[state] += max(model.odds(text, s, e, d, state), 0.0)
         evidence[-1] = E.LOST_WEIGHT * text.count(E.LOST)
         assert model.live(text) == [k for k, v in enumerate(evidence) if v + model.enter[k] + E.LEAVE > 0]
+
+
+def test_damage_in_many_layers_is_undone():
+    counts = {("s", "é", "l"): 500, ("l", "é", "l"): 900, ("l", "é", "s"): 800, ("l", "ü", "l"): 300}
+    text = "The élan of café users who préfer brûlée"
+    damaged = text
+    for _ in range(4):
+        damaged = damaged.encode("utf-8").decode("latin-1")
+    model = E.Model(counts)
+    assert len(model.restore(damaged)[0]) < len(damaged) and model.restore(text)[0] == text

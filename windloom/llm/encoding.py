@@ -325,10 +325,12 @@ class Model:
         return [(s, e, *v) for (s, e), v in sorted(out.items())]
 
     def restore(self, text: str) -> tuple[str, list[str], int]:
-        """``(restored text, states met, number of sequences)``; repeated for what was misread twice."""
+        """``(restored text, states met, number of sequences)``; repeated while something new comes out, for what was misread again and again."""
         states: list[str] = []
         places = 0
-        for _ in range(3):
+        seen = set()
+        while text not in seen:
+            seen.add(text)
             spans = self.label(text)
             changed = [s for s in spans if s[2] != "lost"]
             states += [s[2] for s in spans]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windloom.session import table
+from windloom.session import checkpointed, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,7 +32,7 @@ def p2_restored(spark: SparkSession, sf: str) -> DataFrame:
     from windloom.llm.encoding import fill_lost, repair_encoding
 
     pages = table(spark, sf, "pages_out")
-    repaired = repair_encoding(pages, "page_id", "text").dropDuplicates(["page_id"])
+    repaired = checkpointed(repair_encoding(pages, "page_id", "text").dropDuplicates(["page_id"]))  # the model runs once
     filled = fill_lost(repaired, "page_id", pages, "text")
     return filled.select("page_id", "text", F.array_join("states", ", ").alias("states"), "places")
 
