@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,6 +40,10 @@ def audit(pages: DataFrame) -> DataFrame:
     return distinct.groupBy("source", "reason").agg(F.count("*").alias("n_pages"))
 
 
+#: Words between ASCII white space, as in :func:`windloom.functions.text.white_split`.
+_WORDS = re.compile(r"[^ \t\n\r\f]+")
+
+
 def chunk_fold(sentences: list[str], target: int, most: int, overlap: int, least: int = 5) -> list[str]:
     """Sentences gathered up to ``target`` words, the last ``overlap`` of them carried over.
 
@@ -50,7 +55,7 @@ def chunk_fold(sentences: list[str], target: int, most: int, overlap: int, least
     buffer: list[list[str]] = []
     words = fresh = 0
     for s in sentences:
-        every = s.split()
+        every = _WORDS.findall(s)
         for k in range(0, len(every), most):
             piece = every[k : k + most]
             if fresh and words + len(piece) > min(target, most):
@@ -77,7 +82,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, target: int = 300, most: i
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(i, k, len(c.split()), c) for i, s in zip(pdf["_id"], pdf["_s"]) for k, c in enumerate(chunk_fold(list(s), target, most, overlap))]
+            out = [(i, k, len(_WORDS.findall(c)), c) for i, s in zip(pdf["_id"], pdf["_s"]) for k, c in enumerate(chunk_fold(list(s), target, most, overlap))]
             yield pd.DataFrame(out, columns=["_id", "chunk", "n_words", "text"])
 
     kind = rows.schema["_id"].dataType.simpleString()

@@ -34,7 +34,7 @@ def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def sentence_split_protected(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.posexplode(T.protected_sentences(F.col("text"))).alias("pos", "sentence"))
+    return docs.select("doc_id", F.posexplode(T.protected_sentences(F.col("text"))).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def text_quality_reasons(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,12 +97,12 @@ def markdown_table_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_children(spark: SparkSession, sf: str) -> DataFrame:
     got = ingest.chunks(table(spark, sf, "documents"), "doc_id", "text", 300, 420, 2)
-    return got.select("doc_id", "chunk", "n_words", F.md5("text").alias("digest"))
+    return got.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("n_words").cast("long").alias("n_words"), F.md5("text").alias("digest"))
 
 
 def chunk_parents(spark: SparkSession, sf: str) -> DataFrame:
     got = ingest.chunks(table(spark, sf, "documents"), "doc_id", "text", 1200, 1500, 1)
-    return got.select("doc_id", "chunk", "n_words", F.md5("text").alias("digest"))
+    return got.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("n_words").cast("long").alias("n_words"), F.md5("text").alias("digest"))
 
 
 def child_parent_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -326,6 +326,38 @@ def _split(least: int) -> str:
     return SENTENCES.replace(">= 6", f">= {least}").replace("facts AS", "split AS")
 
 
+_PROTECTED = rf"""
+    guarded AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\b({'|'.join(T.ABBREVIATIONS)}|[A-Za-z](?:\.[A-Za-z])+)\.', '\1' || chr(2), 'g'),
+        '([0-9])\.([0-9])', '\1' || chr(2) || '\2', 'g'), '([0-9])\.([0-9])', '\1' || chr(2) || '\2', 'g') AS g FROM documents WHERE text IS NOT NULL),
+    parts AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(g, '([.!?])[ \t\n\r\f]+([\p{{Lu}}\p{{N}}])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+        lambda x: trim(replace(x, chr(2), '.'))), lambda x: len(regexp_extract_all(x, '[^ \t\n\r\f]+')) >= 5) AS p FROM guarded),
+    cut AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN len(regexp_extract_all(x, '[^ \t\n\r\f]+')) > 420
+        THEN list_transform(range(0, (len(regexp_extract_all(x, '[^ \t\n\r\f]+')) + 419) // 420), lambda k: array_to_string(regexp_extract_all(x, '[^ \t\n\r\f]+')[k * 420 + 1:(k + 1) * 420], ' ')) ELSE [x] END)) AS s FROM parts)
+"""
+
+
+def _chunked(target: int, most: int, overlap: int) -> str:
+    """The fold of sentences to chunks as a recursion over the sentences of each text."""
+    n = "len(regexp_extract_all({0}, '[^ \\t\\n\\r\\f]+'))"
+    size = f"coalesce(list_sum(list_transform({{0}}, lambda x: {n.format('x')})), 0)"
+    kept = f"CASE {' '.join(f'WHEN {size.format(f"b[-{k}:]")} + {n.format("s[i]")} <= {most} THEN b[-{k}:]' for k in range(overlap, 0, -1))} ELSE [] END"
+    return f"""
+        WITH RECURSIVE {_PROTECTED},
+        fold AS (
+            SELECT doc_id, s, 1 AS i, CAST([] AS VARCHAR[]) AS b, 0 AS fresh, 0 AS chunk, CAST(NULL AS VARCHAR[]) AS done FROM cut WHERE len(s) > 0
+            UNION ALL
+            SELECT doc_id, s, i + 1, CASE WHEN flush THEN list_append({kept}, s[i]) ELSE list_append(b, s[i]) END, CASE WHEN flush THEN 1 ELSE fresh + 1 END, chunk + flush::INT, CASE WHEN flush THEN b END
+            FROM (SELECT *, fresh > 0 AND {size.format('b')} + {n.format('s[i]')} > {min(target, most)} AS flush FROM fold WHERE i <= len(s))
+        ),
+        chunks AS (
+            SELECT doc_id, chunk - 1 AS chunk, done AS b FROM fold WHERE done IS NOT NULL
+            UNION ALL SELECT doc_id, chunk, b FROM fold WHERE i = len(s) + 1 AND fresh > 0 AND (chunk > 0 OR {size.format('b')} >= 5)
+        ),
+        texts AS (SELECT doc_id, chunk, array_to_string(flatten(list_transform(b, lambda x: regexp_extract_all(x, '[^ \\t\\n\\r\\f]+'))), ' ') AS t FROM chunks)
+        SELECT doc_id, chunk, {n.format('t')} AS n_words, md5(t) AS digest FROM texts
+    """
+
+
 _QUOTED = "^(\"[^\"]+\"|''[^'']+'')$"
 _CLEAN = (
     r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[\x{{e000}}-\x{{f8ff}}\x{{f900}}-\x{{ffff}}]', ' ', 'g'), '[\x00\x{{ad}}]', '', 'g'), "
@@ -340,6 +372,9 @@ _TABLE_FAULTS = f"""
     """
 
 ORACLE = {
+    "sentence_split_protected": f"WITH {_PROTECTED} SELECT doc_id, i - 1 AS pos, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM cut)",
+    "chunk_children": _chunked(300, 420, 2),
+    "chunk_parents": _chunked(1200, 1500, 1),
     "clean_query_text": f"""
         SELECT doc_id, trim(regexp_replace(regexp_replace(array_to_string(list_filter(string_split_regex({_CLEANED}, '[ \\t\\n\\r\\f]+'), lambda w: w <> '' AND w NOT IN ({_SETTING})), ' '),
             '[^\\p{{L}}\\p{{N}}_ ?]+', '', 'g'), ' +', ' ', 'g')) AS query FROM documents

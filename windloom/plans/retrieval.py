@@ -53,7 +53,7 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def mmr_rerank(spark: SparkSession, sf: str) -> DataFrame:
     vectors, queries = _vectors(spark, sf)
-    return retrieval.mmr(retrieval.dense(vectors, queries, 15), vectors)
+    return retrieval.mmr(retrieval.dense(vectors, queries, 15), vectors).withColumn("position", F.col("position").cast("long"))
 
 
 def greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,7 +222,46 @@ _GATED = """
     passed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, pos) AS k FROM rel WHERE relevance >= 0.45 AND NOT EXISTS (SELECT 1 FROM near n WHERE n.query_id = rel.query_id AND n.rank = rel.rank AND n.pos = rel.pos))
 """
 
+_NEAR = f"""
+    {_UNIT},
+    sims AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_dot_product(q.e, d.e) / (q.norm * d.norm), 6) AS similarity FROM u q JOIN u d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sims) WHERE rank <= 15),
+    like_each AS (SELECT a.query_id, a.vec_id, a.similarity, a.rank, map(list(b.vec_id), list(list_dot_product(x.e, y.e) / (x.norm * y.norm))) AS m
+        FROM near a JOIN near b USING (query_id) JOIN u x ON x.vec_id = a.vec_id JOIN u y ON y.vec_id = b.vec_id GROUP BY ALL)
+"""
+
 ORACLE = {
+    "mmr_rerank": f"""
+        WITH RECURSIVE {_NEAR},
+        pick AS (
+            SELECT query_id, [vec_id] AS chosen FROM near WHERE rank = 1
+            UNION ALL
+            SELECT query_id, list_append(chosen, vec_id) FROM (
+                SELECT p.query_id, chosen, c.vec_id, row_number() OVER (PARTITION BY p.query_id ORDER BY 0.6 * similarity - 0.4 * list_max(list_transform(chosen, lambda x: m[x])) DESC, rank) AS k
+                FROM pick p JOIN like_each c ON c.query_id = p.query_id AND NOT list_contains(chosen, c.vec_id) WHERE len(chosen) < 5) WHERE k = 1
+        ),
+        last AS (SELECT query_id, max_by(chosen, len(chosen)) AS chosen FROM pick GROUP BY query_id)
+        SELECT query_id, chosen[i] AS vec_id, i - 1 AS position FROM (SELECT *, unnest(range(1, len(chosen) + 1)) AS i FROM last)
+    """,
+    "greedy_dedup": f"""
+        WITH RECURSIVE {_NEAR},
+        keep AS (
+            SELECT query_id, 1 AS i, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT query_id FROM near)
+            UNION ALL
+            SELECT k.query_id, i + 1, CASE WHEN len(kept) = 0 OR list_max(list_transform(kept, lambda x: m[x])) <= 0.6 THEN list_append(kept, c.vec_id) ELSE kept END
+            FROM keep k JOIN like_each c ON c.query_id = k.query_id AND c.rank = i
+        ),
+        last AS (SELECT query_id, max_by(kept, i) AS kept FROM keep GROUP BY query_id)
+        SELECT near.query_id, near.vec_id, similarity FROM near JOIN last ON last.query_id = near.query_id AND list_contains(kept, near.vec_id)
+    """,
+    "mention_components": """
+        WITH RECURSIVE m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+ [0-9]{1,3}\\b')) AS entity FROM documents),
+        f AS (SELECT * FROM m WHERE length(entity) BETWEEN 4 AND 100 AND len(list_filter(string_split(entity, ' '), lambda w: length(w) >= 3)) > 0),
+        e AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b USING (entity)),
+        reach AS (SELECT a AS node, a AS least FROM e UNION SELECT b, least FROM reach JOIN e ON node = a WHERE least < b),
+        c AS (SELECT node AS doc_id, min(least) AS first_doc FROM reach GROUP BY node)
+        SELECT doc_id, first_doc, count(*) OVER (PARTITION BY first_doc) AS n_docs FROM c
+    """,
     "fused_documents": f"""
         WITH {_FUSED}, k AS (SELECT doc_id, min(lower(trim(source))) AS source, min(n_chars) AS n_chars FROM documents GROUP BY doc_id)
         SELECT query_id, rank, doc_id, coalesce(source, '') AS source, n_chars FROM fused LEFT JOIN k USING (doc_id)
