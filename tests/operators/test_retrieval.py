@@ -117,3 +117,35 @@ def test_contradiction_pairs_equal_brute_force(spark, monkeypatch):
 
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLE) <= set(registry.QUERIES)
+
+
+def test_numbers_follow_the_order_over_partitions(spark):
+    rows = spark.createDataFrame([(int(x), str(k)) for k, x in enumerate(np.random.default_rng(4).permutation(500))], "v long, s string").repartition(7)
+    got = evidence.numbered(rows, "v").collect()
+    assert all(r["number"] == r["v"] + 1 for r in got) and len(got) == 500
+    assert evidence.numbered(rows.limit(0), "v").count() == 0
+
+
+def test_gates(spark):
+    asked = spark.createDataFrame([(1, "wing flutter margin"), (2, None)], "query_id long, text string")
+    held = spark.createDataFrame([(1, "the flutter margin of the wing")], "query_id long, fact string")
+    offered = [(1, k, f) for k, f in enumerate(["flutter margin of the wing", "wing flutter", "flutter onset", "spar caps", *(["wing margin"] * 8)])]
+    got = evidence.gated(asked, held, spark.createDataFrame(offered, "query_id long, place long, fact string"), known=0.97)
+    assert sorted(r["place"] for r in got.collect()) == [0, 1, 4, 5, 6, 7]
+    strict = evidence.gated(asked, held, spark.createDataFrame(offered, "query_id long, place long, fact string"), known=0.7)
+    assert 0 not in {r["place"] for r in strict.collect()}
+
+
+def test_upserts_and_routes(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 5), (2, [0.0, 1.0], 6), (100, [0.9, 0.1], 5), (200, [-1.0, 0.2], 5), (300, [0.0, 0.0], 6)], "vec_id long, embedding array<double>, label int")
+    new = vectors.filter("vec_id >= 100")
+    assert {r["vec_id"]: r["node"] for r in graph.upserted(vectors, new).collect()} == {100: 1, 200: 200, 300: 300}
+    routed = graph.route(new, graph.centroids(vectors.filter("vec_id < 100")), least=0.5)
+    assert {r["vec_id"]: r["routed"] for r in routed.collect()} == {100: 5, 200: None, 300: None}
+
+
+def test_merge_and_first_sources(spark):
+    left, right = spark.createDataFrame([("a", 1), ("b", 2)], "k string, value long"), spark.createDataFrame([("b", 3), ("c", 4)], "k string, value long")
+    assert {tuple(r) for r in evidence.merge_right(left, right, "k").collect()} == {("a", 1), ("b", 3), ("c", 4)}
+    rows = spark.createDataFrame([(2, "x", 0, "f"), (1, "y", 3, "f"), (1, None, 1, "g")], "doc_id long, source string, pos int, fact string")
+    assert {tuple(r) for r in evidence.first_sources(rows).collect()} == {("f", "y"), ("g", None)}

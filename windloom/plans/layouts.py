@@ -157,6 +157,10 @@ ORACLE = {
         m AS (SELECT page_id, item, count(*) FILTER (n > 1) AS several FROM (SELECT page_id, item, y, count(*) AS n FROM full_cells GROUP BY ALL) GROUP BY ALL)
         SELECT page_id, item, count(*) FILTER (hits >= 0.3 * rows) AS n_structural, round(any_value(several) / any_value(rows), 6) AS several_share FROM s JOIN h USING (page_id, item) JOIN m USING (page_id, item) GROUP BY page_id, item
     """,
+    "visible_text": """
+        SELECT doc_id, md5(array_to_string(list_filter(['Notes on the aircraft at hand', trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))], lambda x: len(string_split(x, ' ')) >= 4), ' ')) AS digest
+        FROM documents WHERE text IS NOT NULL
+    """,
     "url_routes": """
         WITH d AS (SELECT doc_id, text, 'www.' || translate(lower(trim(source)), ' _', '--') || '.org' AS h FROM documents)
         SELECT regexp_replace(h, '^www\\.', '') AS host, CASE WHEN h IS NULL THEN 'skip' WHEN doc_id % 4 = 2 THEN 'skip' WHEN doc_id % 8 = 1 AND trim(text) <> '' THEN 'snippet' WHEN doc_id % 4 = 0 THEN 'pdf' ELSE 'html' END AS route, count(*) AS n FROM d GROUP BY 1, 2

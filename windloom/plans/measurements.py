@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windloom.operators import design, polars
@@ -67,8 +67,17 @@ def spec_presize(spark: SparkSession, sf: str) -> DataFrame:
 
 def stage_progress(spark: SparkSession, sf: str) -> DataFrame:
     """The largest value seen so far by each user, event after event."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf, "events").select("event_id", "user_id", F.max("value").over(w).alias("progress"))
+    return progress.largest_so_far(table(spark, sf, "events"))
+
+
+def stage_shown(spark: SparkSession, sf: str) -> DataFrame:
+    """The progress shown to each user: the share of the largest value there is, 0.97 at most until they purchase."""
+    events = table(spark, sf, "events")
+    most = events.agg(F.max("value").alias("_most"))  # one row
+    done = events.filter("event_type = 'purchase'").groupBy("user_id").agg(F.min("ts").alias("_done"))
+    rows = progress.largest_so_far(events).join(events.select("event_id", "ts"), "event_id").join(F.broadcast(most), F.lit(True)).join(done, "user_id", "left")
+    share = F.round(F.col("progress") / F.col("_most"), 6)
+    return rows.select("event_id", F.when(F.col("ts") >= F.col("_done"), 1.0).otherwise(F.least(share, F.lit(0.97))).alias("shown"))
 
 
 def console_ring_buffer(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +109,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p3_found, p3_flags_by_rig, p3_checks, polar_points_once, polar_summary, polar_summary_by_rig, polar_convergence, typical_polar, best_rig, spec_extract, spec_presize,
-        stage_progress, console_ring_buffer, event_windows, event_windows_stream, event_sessions, event_props,
+        stage_progress, stage_shown, console_ring_buffer, event_windows, event_windows_stream, event_sessions, event_props,
     )
 }
 
@@ -157,6 +166,11 @@ ORACLE = {
         SELECT doc_id, round(rho, 6) AS density, round(area, 5) AS area_m2, round(chord, 5) AS chord_m, round(speed_ms * chord / 1.46e-5, 0) AS reynolds, round(speed_ms / 340.0, 6) AS mach FROM c
     """,
     "stage_progress": "SELECT event_id, user_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS progress FROM events",
+    "stage_shown": """
+        WITH p AS (SELECT event_id, ts, user_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS p FROM events),
+        d AS (SELECT user_id, min(ts) AS done FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+        SELECT event_id, CASE WHEN ts >= done THEN 1.0 ELSE least(round(p / (SELECT max(value) FROM events), 6), 0.97) END AS shown FROM p LEFT JOIN d USING (user_id)
+    """,
     "console_ring_buffer": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 700",
     "event_windows": _WINDOWS,
     "event_windows_stream": _WINDOWS,

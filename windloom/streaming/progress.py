@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from windloom.session import shared_folder
+
 EVENTS = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
@@ -29,20 +29,39 @@ def windows(events: DataFrame, width: str, late: str | None = None) -> DataFrame
     return got.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def run_windows_stream(spark: SparkSession, path: str, width: str) -> DataFrame:
+def run_windows_stream(spark: SparkSession, path: str, width: str, late: str = "1 day") -> DataFrame:
     """Run :func:`windows` as a stream over the Parquet file until all of it is read.
 
-    The file is the stream's whole input, so the result has one row for each window and type.
+    Each batch writes the windows that changed to the shared folder, so nothing is gathered on the
+    driver and a batch that runs again overwrites its own part; the last batch of a window counts.
     """
     folder, name = path.rsplit("/", 1)
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    sink = f"windows_{uuid.uuid4().hex}"
-    writer = windows(stream, width, "3650 days").writeStream.outputMode("complete").format("memory").queryName(sink)
-    if shared := spark.conf.get("spark.checkpoint.dir", None):
-        writer = writer.option("checkpointLocation", f"{shared}/{sink}")
+    target = shared_folder(spark)
+
+    def write(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{target}/windows/batch={number}")
+
+    writer = windows(stream, width, late).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{target}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(sink)
+    last = spark.read.parquet(f"{target}/windows").groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("w"))
+    return last.select("start", "event_type", "w.n", "w.total")
+
+
+def largest_so_far(events: DataFrame, value: str = "value") -> DataFrame:
+    """``event_id, user_id, progress``: the largest value that each user had up to each event.
+
+    The largest of each hour is carried forward over a user's hours, and events are ranked within their
+    hour only, so no task gets all events of a user.
+    """
+    hourly = events.withColumn("hour", F.date_trunc("hour", "ts"))
+    tops = hourly.groupBy("user_id", "hour").agg(F.max(value).alias("top"))
+    before = F.max("top").over(Window.partitionBy("user_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.select(F.col("user_id").alias("_u"), F.col("hour").alias("_h"), before.alias("before"))
+    within = F.max(value).over(Window.partitionBy("user_id", "hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = hourly.withColumn("own", within).join(tops, F.col("user_id").eqNullSafe(F.col("_u")) & F.col("hour").eqNullSafe(F.col("_h")))
+    return rows.select("event_id", "user_id", F.greatest("own", "before").alias("progress"))
 
 
 def sessions(events: DataFrame, gap_seconds: int) -> DataFrame:
