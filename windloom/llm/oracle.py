@@ -28,11 +28,21 @@ ORACLE = {
     "p6_found": f"SELECT DISTINCT doc_id FROM documents WHERE {TOKENS} > 1024",
     "p7_found": f"WITH {HAVE} SELECT DISTINCT source FROM m WHERE reachable < needed",
     "p7_plan": f"""
-        WITH {HAVE} SELECT source, tokens, round(needed, 3) AS needed, round(least(reachable, needed), 3) AS planned, reachable >= needed AS feasible, true AS kept FROM m
+        WITH {HAVE} SELECT source, tokens, round(needed, 5) AS needed, round(least(reachable, needed), 5) AS planned, reachable >= needed AS feasible, true AS kept FROM m
     """,
     "p8_found": """
         WITH w AS (SELECT DISTINCT doc_id, substring(text, i, 300) AS x FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
         several AS (SELECT x FROM w GROUP BY x HAVING count(*) > 1)
         SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN several USING (x) JOIN w b USING (x) WHERE a.doc_id < b.doc_id
     """,
+    "p6_totals": f"SELECT count(*) AS n_records, sum(tokens)::BIGINT AS n_tokens, true AS within, true AS whole FROM (SELECT DISTINCT doc_id, {TOKENS} AS tokens FROM documents WHERE doc_id IS NOT NULL)",
+    "p8_shared_parts": """
+        WITH t AS (SELECT min(doc_id) AS id, count(DISTINCT doc_id) AS copies, text, length(text) AS n_chars FROM documents WHERE length(text) >= 300 GROUP BY text),
+        w AS (SELECT id, i, substring(text, i, 300) AS x FROM (SELECT id, text, unnest(range(1, n_chars - 298)) AS i FROM t)),
+        several AS (SELECT x FROM w GROUP BY x HAVING count(DISTINCT id) > 1),
+        s AS (SELECT id, i, coalesce(lag(i) OVER (PARTITION BY id ORDER BY i) + 300, 0) AS reach FROM w JOIN several USING (x)),
+        c AS (SELECT id, sum(i + 300 - greatest(i, reach))::BIGINT AS covered, count(*) FILTER (i > reach) AS n_spans FROM s GROUP BY id)
+        SELECT id, copies, n_chars, CASE WHEN copies > 1 THEN n_chars ELSE covered END AS shared_chars, CASE WHEN copies > 1 THEN 1 ELSE n_spans END AS n_spans
+        FROM t LEFT JOIN c USING (id) WHERE copies > 1 OR covered IS NOT NULL
+    """,
 }

@@ -90,6 +90,17 @@ def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     return placed.groupBy("container").agg(F.count("*").alias("n_items"), F.sum("tokens").alias("tokens"))
 
 
+def p6_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Records and tokens in all containers, whether none is over its capacity, and whether only larger records are divided."""
+    from windloom.llm.packing import pack_containers
+
+    placed = pack_containers(table(spark, sf, "documents"), "doc_id", "text", 1024).select("doc_id", "container", "tokens")
+    boxes = placed.groupBy("container").agg(F.sum("tokens").alias("tokens")).agg(F.sum("tokens").alias("n_tokens"), (F.max("tokens") <= 1024).alias("within"))  # one row
+    items = placed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
+    items = items.agg(F.count("*").alias("n_records"), F.bool_and((F.col("pieces") == 1) | (F.col("tokens") > 1024)).alias("whole"))  # one row
+    return items.join(F.broadcast(boxes), F.lit(True)).select("n_records", "n_tokens", "within", "whole")
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     from windloom.llm.mixing import found_short_sources
 
@@ -110,7 +121,7 @@ def p7_plan(spark: SparkSession, sf: str) -> DataFrame:
     longest = sample.agg(F.max("tokens").alias("_longest"))  # one row
     kept = F.abs(F.col("used_tokens") - F.col("planned")) <= F.coalesce("_longest", F.lit(0)) + 0.01 * F.col("planned")
     got = report.join(F.broadcast(longest), F.lit(True))
-    return got.select("source", "tokens", F.round("needed", 3).alias("needed"), F.round("planned", 3).alias("planned"), "feasible", kept.alias("kept"))
+    return got.select("source", "tokens", F.round("needed", 5).alias("needed"), F.round("planned", 5).alias("planned"), "feasible", kept.alias("kept"))
 
 
 def p7_sample(spark: SparkSession, sf: str) -> DataFrame:
