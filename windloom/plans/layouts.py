@@ -15,6 +15,7 @@ from windloom.operators import layout
 from windloom.plans.documents import table
 from windloom.session import checkpointed, shared_folder
 from windloom.sources import files
+from windloom.streaming.ingest import ingest_stream
 
 COLUMN, ROW = 90.0, 14.0
 
@@ -100,6 +101,43 @@ def polar_csv(spark: SparkSession, sf: str) -> DataFrame:
     return got.groupBy(F.col("rig")).agg(F.count("*").alias("n"), F.count("Cl").alias("n_lift"), *sums)
 
 
+def _written(rows: DataFrame, folder: str, head: list[str]) -> str:
+    """``name, seq, value`` as one text file for each name, behind the lines of ``head``; returns the folder."""
+    path = f"{shared_folder(rows.sparkSession)}/{folder}"
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda r: r["value"])
+    whole = rows.groupBy("name").agg(F.array_join(F.concat(F.array(*map(F.lit, head)), lines), "\n").alias("value"))  # a file is a run of a sweep
+    whole.write.mode("overwrite").partitionBy("name").text(path)
+    return path
+
+
+def solver_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Each run's polar in the solver's own format, written and read again."""
+    points = table(spark, sf, "naca6535_xfoil_polar").groupBy("point_id").agg(F.min(F.struct("rig", "run_id", "AoA", "Cl", "Cd", "CDp", "Cm", "Xtr_top", "Xtr_bot")).alias("p")).select("p.*")
+    line = F.format_string("%8.3f %9.4f %9.5f %9.5f %8.4f %8.4f %8.4f", "AoA", "Cl", "Cd", "CDp", "Cm", "Xtr_top", "Xtr_bot")
+    rows = points.dropna().filter("run_id % 50 = 0").select(F.concat_ws("-", "rig", "run_id").alias("name"), F.round(F.col("AoA") * 2).cast("int").alias("seq"), line.alias("value"))
+    path = _written(rows, "solver", ["  solver  version 6", "", " alpha CL CD CDp CM Top_Xtr Bot_Xtr", " ------ -------- -------- -------- ------ ------ ------"])
+    got = files.read_solver_polars(spark, path, partitioned=True)
+    return got.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("Cl"), 4).alias("cl_sum"), F.round(F.sum("Xtr_bot"), 4).alias("xtr_sum"))
+
+
+def pressure_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Each run's transition points in the format of pressure distributions, written and read again."""
+    points = table(spark, sf, "naca6535_xfoil_polar").groupBy("point_id").agg(F.min(F.struct("rig", "run_id", "AoA", "Xtr_top", "Cm")).alias("p")).select("p.*").dropna()
+    rows = points.filter("run_id % 50 = 0").select(
+        F.concat_ws("-", "rig", "run_id").alias("name"), F.round(F.col("AoA") * 2).cast("int").alias("seq"), F.format_string("%10.5f %10.5f %10.5f", "Xtr_top", F.lit(0.0), "Cm").alias("value")
+    )
+    got = files.read_pressures(spark, _written(rows, "pressures", ["#", "# x y Cp", "1.0 2.0 3.0"]), partitioned=True)
+    return got.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("x_c"), 4).alias("x_sum"), F.round(F.sum("Cp"), 4).alias("cp_sum"))
+
+
+def ingested_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages by content as the incremental ingest stores them, the stream run twice: nothing is stored again."""
+    base = shared_folder(spark)
+    for _ in range(2):
+        ingest_stream(spark, sf, f"{base}/pages", f"{base}/state", table(spark, sf, "pages_out").schema, "pages_out.parquet")
+    return spark.read.parquet(f"{base}/pages").select("page_id", "sha256")
+
+
 def coordinate_files(spark: SparkSession, sf: str) -> DataFrame:
     """Each rig's polar of the first run as a coordinate file, written and read again."""
     points = table(spark, sf, "naca6535_xfoil_polar").filter("Cl is not null and abs(Cl) <= 1.5 and AoA between -1 and 1 and AoA is not null")
@@ -123,7 +161,7 @@ def stored_versions(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        page_features, span_text, rebuilt_tables, table_columns, table_router, visible_text, url_routes, form_feed_pages, polar_csv, coordinate_files, stored_versions,
+        page_features, span_text, rebuilt_tables, table_columns, table_router, visible_text, url_routes, form_feed_pages, polar_csv, coordinate_files, stored_versions, solver_files, pressure_files, ingested_pages,
     )
 }
 
@@ -135,7 +173,19 @@ _GRID = """
     full_cells AS (SELECT * FROM c WHERE cell <> '')
 """
 
+_ONE_POINT = """
+    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY rig, run_id, AoA, Cl, Cd, CDp, Cm, Xtr_top, Xtr_bot) AS k FROM naca6535_xfoil_polar) WHERE k = 1 AND run_id % 50 = 0)
+"""
+
 ORACLE = {
+    "solver_files": f"""
+        WITH {_ONE_POINT} SELECT rig || '-' || run_id AS name, count(*) AS n, round(sum(round(Cl, 4)), 4) AS cl_sum, round(sum(round(Xtr_bot, 4)), 4) AS xtr_sum FROM p
+        WHERE Cl IS NOT NULL AND Cd IS NOT NULL AND CDp IS NOT NULL AND Cm IS NOT NULL AND Xtr_top IS NOT NULL AND Xtr_bot IS NOT NULL GROUP BY 1
+    """,
+    "pressure_files": f"""
+        WITH {_ONE_POINT} SELECT rig || '-' || run_id AS name, count(*) AS n, round(sum(round(Xtr_top, 5)), 4) AS x_sum, round(sum(round(Cm, 5)), 4) AS cp_sum FROM p WHERE Xtr_top IS NOT NULL AND Cm IS NOT NULL GROUP BY 1
+    """,
+    "ingested_pages": "SELECT page_id, h AS sha256 FROM (SELECT page_id, sha256(text) AS h, row_number() OVER (PARTITION BY sha256(text) ORDER BY loaded_at, page_id) AS k FROM pages_out WHERE text IS NOT NULL) WHERE k = 1",
     "page_features": f"""
         WITH {_GRID}, g AS (SELECT page_id, item, count(*) AS n_spans, sum(len(list_filter(string_split_regex(cell, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')))::BIGINT AS n_words, count(DISTINCT floor(x * 90 / 80)) AS n_columns,
             max(x * 90 + 60) AS width, max(y * 14 + (y * 7 + x * 3) % 5 / 2.0 + 10) AS height FROM full_cells GROUP BY page_id, item)

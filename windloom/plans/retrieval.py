@@ -122,6 +122,13 @@ def gated_facts(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("query_id", F.col("place.rank").cast("long").alias("rank"), F.col("place.pos").cast("long").alias("pos"), "fact", "relevance")
 
 
+def evidence_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """Each query's own facts and those that passed the gates, one after the other, with how many there are of each."""
+    own = evidence.facts(table(spark, sf, "documents")).filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "fact", F.lit("own").alias("origin"))
+    every = own.unionAll(gated_facts(spark, sf).select("query_id", "fact", F.lit("gated").alias("origin"))).filter("fact <> '' and not contains(fact, 'No relevant information')")
+    return every.groupBy("query_id", "origin").agg(F.count("*").alias("n_facts"))
+
+
 def candidate_union(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates of all rankers in their order, each text with the first ranker that found it."""
     both = checkpointed(retrieval.search(*_docs(spark, sf), 5, ("overlap", "bm25", "hybrid")))
@@ -153,7 +160,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_term_stats, bm25_topk, overlap_topk, rrf_fusion, hybrid_relevance, dense_topk, mmr_rerank, greedy_dedup, group_centroid, centroid_blend, route_to_group,
-        similarity_edges, graph_khop, graph_degrees, related_by_entity, mention_components, fused_documents, gated_facts, candidate_union, node_upsert, vector_groups,
+        similarity_edges, graph_khop, graph_degrees, related_by_entity, mention_components, fused_documents, gated_facts, evidence_pool, candidate_union, node_upsert, vector_groups,
     )
 }
 
@@ -267,6 +274,11 @@ ORACLE = {
         SELECT query_id, rank, doc_id, coalesce(source, '') AS source, n_chars FROM fused LEFT JOIN k USING (doc_id)
     """,
     "gated_facts": f"WITH {_POSTS}, {_HYBRID}, {SENTENCES}, {_GATED} SELECT query_id, rank, pos, fact, relevance FROM passed JOIN o USING (query_id, rank, pos) WHERE k <= 6",
+    "evidence_pool": f"""
+        WITH {_POSTS}, {_HYBRID}, {SENTENCES}, {_GATED},
+        every AS (SELECT doc_id AS query_id, fact, 'own' AS origin FROM facts WHERE doc_id % 100 = 0 UNION ALL SELECT query_id, fact, 'gated' FROM passed JOIN o USING (query_id, rank, pos) WHERE k <= 6)
+        SELECT query_id, origin, count(*) AS n_facts FROM every WHERE fact <> '' AND NOT contains(fact, 'No relevant information') GROUP BY query_id, origin
+    """,
     "candidate_union": f"""
         WITH {_POSTS}, {_BM25}, {_OVERLAP}, {_HYBRID},
         u AS (SELECT query_id, doc_id, rank, 0 AS o, 'overlap' AS kind FROM ov WHERE rank < 5 UNION ALL SELECT query_id, doc_id, rank, 1, 'bm25' FROM bm WHERE rank < 5 UNION ALL SELECT query_id, doc_id, rank, 2, 'hybrid' FROM hy WHERE rank < 5),

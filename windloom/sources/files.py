@@ -40,9 +40,9 @@ def read_coordinates(spark: SparkSession, paths: str | list[str], partitioned: b
     return points.filter("x is not null and y is not null and abs(x) <= 1.5 and abs(y) <= 1.5").select("name", F.col("line").alias("seq"), "x", "y")
 
 
-def read_solver_polars(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_solver_polars(spark: SparkSession, paths: str | list[str], partitioned: bool = False) -> DataFrame:
     """Polars written by a viscous solver: rows after the first rule of dashes with seven numbers."""
-    lines = _lines(spark, paths)
+    lines = _lines(spark, paths, partitioned)
     rule = lines.filter(F.trim("value").startswith("---")).groupBy("name").agg(F.min("line").alias("rule"))
     words = lines.join(rule, "name").filter("line > rule").withColumn("w", _numbers(F.col("value"))).filter(F.size("w") >= 7)
     names = ("AoA", "Cl", "Cd", "CDp", "Cm", "Xtr_top", "Xtr_bot")
@@ -50,9 +50,9 @@ def read_solver_polars(spark: SparkSession, paths: str | list[str]) -> DataFrame
     return got.withColumn("ClCd", F.try_divide("Cl", "Cd"))
 
 
-def read_pressures(spark: SparkSession, paths: str | list[str], header: int = 3) -> DataFrame:
+def read_pressures(spark: SparkSession, paths: str | list[str], header: int = 3, partitioned: bool = False) -> DataFrame:
     """``name, x_c, Cp``: pressure distributions after ``header`` lines."""
-    words = _lines(spark, paths).filter(F.col("line") >= header).withColumn("w", _numbers(F.col("value"))).filter(F.size("w") >= 2)
+    words = _lines(spark, paths, partitioned).filter(F.col("line") >= header).withColumn("w", _numbers(F.col("value"))).filter(F.size("w") >= 2)
     return words.select("name", F.get("w", F.lit(0)).try_cast("double").alias("x_c"), F.element_at("w", -1).try_cast("double").alias("Cp")).dropna()
 
 

@@ -15,7 +15,7 @@ def new_pages(batch: DataFrame, seen: DataFrame | None) -> DataFrame:
     return keep.select("sha256", *[F.col(f"p.{c}").alias(c) for c in batch.columns])
 
 
-def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str) -> None:
+def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, names: str = "*") -> None:
     """Read new files under ``source`` and append pages of new content to ``target``, then stop.
 
     A batch that is run again after a failure overwrites its own part, so content is appended once.
@@ -27,5 +27,5 @@ def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str
         seen = spark.read.parquet(target).filter(F.col("batch") != number) if there else None
         new_pages(batch, seen).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    stream = spark.readStream.schema(schema).parquet(source)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", names).parquet(source)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
