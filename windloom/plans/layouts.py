@@ -13,7 +13,7 @@ from windloom.functions import text as T
 from windloom.functions import web
 from windloom.operators import layout
 from windloom.plans.documents import table
-from windloom.session import checkpointed, shared_folder
+from windloom.session import checkpointed, shared_folder, stream_source
 from windloom.sources import files
 from windloom.streaming.ingest import ingest_stream
 
@@ -133,8 +133,9 @@ def pressure_files(spark: SparkSession, sf: str) -> DataFrame:
 def ingested_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages by content as the incremental ingest stores them, the stream run twice: nothing is stored again."""
     base = shared_folder(spark)
+    folder, names = stream_source(spark, f"{sf}/pages_out.parquet")
     for _ in range(2):
-        ingest_stream(spark, sf, f"{base}/pages", f"{base}/state", table(spark, sf, "pages_out").schema, "pages_out.parquet")
+        ingest_stream(spark, folder, f"{base}/pages", f"{base}/state", table(spark, sf, "pages_out").schema, names)
     return spark.read.parquet(f"{base}/pages").select("page_id", "sha256")
 
 

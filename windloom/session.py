@@ -30,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_source(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Folder and pattern of names for a stream over a table that is a file or a folder of files."""
+    of = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder, name = path.rsplit("/", 1)
+    return (path, "*") if of.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(of).isDirectory() else (folder, name)
+
+
 def _shared(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):

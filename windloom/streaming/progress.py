@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windloom.session import shared_folder
+from windloom.session import shared_folder, stream_source
 
 EVENTS = T.StructType(
     [
@@ -35,7 +35,7 @@ def run_windows_stream(spark: SparkSession, path: str, width: str, late: str = "
     Each batch writes the windows that changed to the shared folder, so nothing is gathered on the
     driver and a batch that runs again overwrites its own part; the last batch of a window counts.
     """
-    folder, name = path.rsplit("/", 1)
+    folder, name = stream_source(spark, path)
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     target = shared_folder(spark)
