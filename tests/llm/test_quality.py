@@ -1,9 +1,78 @@
+import math
 import random
+import re
 
+import numpy as np
 import pytest
 
+from windloom.llm import measures as M
 from windloom.llm import quality as Q
 
+_PLAIN = re.compile(r"[^\s.,;:!?()\[\]{}\"«»“”„’'|/=<>*•]+")
+_MARK = re.compile(r"\s*(?:[-*•o–]\s|\[(?:\d{0,3}|[ xX])\]|\(?\w{1,3}[.)]\s)")
+_SYMBOLS = re.compile(r"[^\W_]+")
+_LATIN = re.compile("[A-Za-zÀ-ɏ]+")
+_DIGITS = re.compile(r"\d+")
+_VOWELS = "aeouAEOUáàâäãéèêëóòôöõúùûü"
+_NUMERIC = re.compile(r"[-–−+±(]*\d[\d.,)%-]*")
+_ENDS = re.compile(r"[.!?][\"”»’)]?(?:\s|$)")
+_CELL = re.compile(r"[|;]")
+
+
+def _gap(line: str) -> bool:
+    return "  " in line or "\t" in line
+
+
+def statistics(text: str, common: frozenset[str], entry: bool, plain: list[str] | None = None) -> list[float]:
+    """The statistics of one text in the order of ``STATISTICS``; ``plain`` are its words in small letters, if known."""
+    words = text.split()
+    n = max(1, len(words))
+    solid = "".join(words)
+    size = max(1, len(solid))
+    symbols = len(_SYMBOLS.sub("", solid))
+    no_digits = _DIGITS.sub("", solid)
+    digits = len(solid) - len(no_digits)
+    rest = _LATIN.sub("", no_digits)
+    latin = len(no_digits) - len(rest)
+    vowels = sum(map(solid.count, _VOWELS)) if latin else 0
+    plain = _PLAIN.findall(text.lower()) if plain is None else plain
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
+    count = max(1, len(lines))
+    return [
+        float(entry), math.log1p(len(words)), size / n, symbols / size, digits / size, sum(map(common.__contains__, plain)) / max(1, len(plain)),
+        sum(x[-1] in ".!?:;,”\"" for x in lines) / count, len(words) / count, len(set(words)) / n, vowels / max(1, latin),
+        sum(map(str.isalpha, plain)) / max(1, len(plain)), sum(_MARK.match(x) is not None for x in lines) / count, sum(map(_gap, lines)) / count,
+        len(_CELL.findall(text)) / n, sum(w[0].isupper() for w in words) / n, len(_ENDS.findall(text)) / n,
+        sum(not w[0].isalpha() and _NUMERIC.fullmatch(w) is not None for w in words) / n, max(0, len(rest) - symbols) / size,
+    ]
+
+
+def stretches(text: str, common: frozenset[str]) -> list[tuple[str, list[str]]]:
+    """Runs of lines that read alike, with or without the words that bind sentences, and their words in small letters."""
+    lines = text.split("\n")
+    plain = text.lower().split("\n")
+    full = [k for k, x in enumerate(lines) if x and not x.isspace()]
+    if len(full) < 2:
+        return [(text, _PLAIN.findall(text.lower()))]
+    size, bound, found = [], [], []
+    for k in full:
+        words = _PLAIN.findall(plain[k])
+        found.append(words)
+        size.append(len(words))
+        bound.append(sum(map(common.__contains__, words)))
+    flags = []
+    last = len(full) - 1
+    for j, k in enumerate(full):
+        lo, hi = max(0, j - 1), min(last, j + 1)
+        n, c = sum(size[lo : hi + 1]), sum(bound[lo : hi + 1])
+        alone = bound[j] / max(1, size[j])
+        flags.append(alone >= 0.15 or (c >= 0.15 * n and bound[j] > 0) or (c >= 0.2 * n and size[j] <= 4 and not _MARK.match(lines[k]) and not _gap(lines[k].strip())))
+    starts = [0, *(j for j in range(1, len(full)) if flags[j] != flags[j - 1]), len(full)]
+    ends = [*(full[j] for j in starts[1:-1]), len(lines)]
+    return [("\n".join(lines[full[a] : end]), [w for x in found[a:b] for w in x]) for a, b, end in zip(starts, starts[1:], ends)]
+
+
+
 COMMON = ["the", "of", "and", "a", "in", "is", "to", "at", "by", "for", "with", "that", "it", "on"]
 NOUNS = ["wing", "spar", "rudder", "margin", "camber", "radiator", "value", "speed", "boom", "tail"]
 SCHEMA = "page_id long, text string, tables array<string>, item int, words string"
@@ -90,19 +159,34 @@ def test_statistics(spark, pages):
     assert {r[0] for r in Q.text_statistics(df, words).select("page_id").collect()} == set(range(300))
 
 
-def test_stretches_keep_every_word():
+def of_arrays(texts, whole):
+    lines = M.Lines(texts, M.common_hashes(frozenset(COMMON)))
+    return lines.statistics(lines.text if whole else lines.stretches(np.zeros(len(texts), bool)), np.full(len(texts), whole))
+
+
+def test_arrays_equal_one_text_at_a_time():
+    rng = random.Random(1)
+    odd = ["x", "  a\n\n\tb  c\n", "Ístanbul Ⅷ ½ a_b\u00a0c", "a.\u201d b? \u201cC.\u201d)\n(12) -3.5 +4 3rd 1,000 5%", "𝔘𝔫 😀 the 字字\n[x] of\n1. the\n(a) b", "-", ".", "a\r\nthe\x0bof\u2003the", "the " * 50]
+    texts = odd + [bullets(rng, 40) + "\n\n" + prose(rng, 80) + "\n" + numbers(rng, 50) for _ in range(20)] + [menu(rng, 60), grid(rng, lambda: "1.5")]
+    common = frozenset(COMMON)
+    for whole in (True, False):
+        want = [(k, len(p.split()), statistics(p, common, whole, w)) for k, t in enumerate(texts) for p, w in ([(t, None)] if whole else stretches(t, common))]
+        owner, words, values = of_arrays(texts, whole)
+        assert owner.tolist() == [x[0] for x in want] and words.tolist() == [x[1] for x in want]
+        assert np.allclose(values, np.array([x[2] for x in want]), atol=1e-12)
+    assert len(of_arrays(["  ", "\n"], True)[0]) == 0
+
+
+def test_stretches_tell_lists_from_prose():
     rng = random.Random(1)
     text = bullets(rng, 40) + "\n\n" + prose(rng, 80) + "\n" + numbers(rng, 50)
-    found = Q.stretches(text, frozenset(COMMON))
-    parts = [p for p, _ in found]
-    assert [Q.statistics(p, frozenset(COMMON), False, words) for p, words in found] == [Q.statistics(p, frozenset(COMMON), False) for p in parts]
-    assert [w for p in parts for w in p.split()] == text.split() and len(parts) == 3
+    assert of_arrays([text], False)[1].sum() == len(text.split()) and len(of_arrays([text], False)[1]) == 3
 
 
 def test_numeric_words():
-    at = Q.STATISTICS.index("numeric_word_share")
-    assert Q.statistics("-3.5 (12) +4 1,000 5%", frozenset(), False)[at] == 1.0
-    assert Q.statistics("3rd 2x wing x2 --", frozenset(), False)[at] == 0.0
+    at = M.STATISTICS.index("numeric_word_share")
+    assert of_arrays(["-3.5 (12) +4 1,000 5%"], True)[2][0, at] == 1.0
+    assert of_arrays(["3rd 2x wing x2 --"], True)[2][0, at] == 0.0
 
 
 def test_majority_of_the_judgements_and_none(spark, pages):

@@ -6,6 +6,26 @@ WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{
 #: Number of WordPunct tokens of ``text``.
 TOKENS = rf"len(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{WHITE}]+'))"
 
+_SEPARATOR = rf".,;:!?()\[\]{{}}\"«»“”„’''|/=<>*•{WHITE}"
+_SENTENCE_END = rf'[.!?]["”»’)]?(?:[{WHITE}]|$)'
+
+
+def _count(pattern: str, text: str = "t") -> str:
+    return f"len(regexp_extract_all({text}, '{pattern}'))"
+
+
+#: Texts and entries with their words, lines and plain words; the statistics of problem 1 are quotients of their counts.
+STATISTICS = rf"""
+    i AS (SELECT DISTINCT page_id, item, t FROM (
+        SELECT page_id, 0 AS item, text AS t FROM pages_out UNION ALL
+        SELECT page_id, k AS item, tables[k] AS t FROM (SELECT page_id, tables, unnest(range(1, len(tables) + 1)) AS k FROM pages_out WHERE tables IS NOT NULL))
+        WHERE regexp_matches(t, '[^{WHITE}]')),
+    w AS (SELECT *, regexp_extract_all(t, '[^{WHITE}]+') AS w, regexp_extract_all(lower(t), '[^{_SEPARATOR}]+') AS p,
+        list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[{WHITE}]+|[{WHITE}]+$', '', 'g')), lambda x: x <> '') AS l FROM i),
+    n AS (SELECT *, len(w) AS n, {_count(f'[^{WHITE}]')} AS solid, {_count(r'[\p{L}\p{N}]')} AS alnum, {_count(r'\p{Nd}')} AS digits, {_count(r'[A-Za-zÀ-ɏ]')} AS latin,
+        {_count('[aeouAEOUáàâäãéèêëóòôöõúùûü]')} AS vowels, common FROM w, (SELECT list(DISTINCT lower(word)) AS common FROM common_words))
+"""
+
 #: Tokens of every listed source.
 HAVE = f"""
     d AS (SELECT DISTINCT doc_id, lower(trim(source)) AS s, {TOKENS} AS tokens FROM documents),
@@ -17,6 +37,19 @@ HAVE = f"""
 """
 
 ORACLE = {
+    "p1_statistics": rf"""
+        WITH {STATISTICS}
+        SELECT page_id, item, n AS words, round(solid / n, 6) AS mean_word_length, round((solid - alnum) / solid, 6) AS symbol_ratio, round(digits / solid, 6) AS digit_ratio,
+            round(len(list_filter(p, lambda x: list_contains(common, x))) / greatest(len(p), 1), 6) AS common_word_share,
+            round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;,”"]$'))) / greatest(len(l), 1), 6) AS punctuated_line_share, round(n / greatest(len(l), 1), 6) AS words_per_line,
+            round(len(list_distinct(w)) / n, 6) AS distinct_word_share, round(vowels / greatest(latin, 1), 6) AS vowel_share,
+            round(len(list_filter(p, lambda x: regexp_matches(x, '^\p{{L}}+$'))) / greatest(len(p), 1), 6) AS alphabetic_word_share,
+            round(len(list_filter(l, lambda x: regexp_matches(x, '^(?:[-*•o–][{WHITE}]|\[(?:\p{{Nd}}{{0,3}}|[ xX])\]|\(?[\p{{L}}\p{{N}}_]{{1,3}}[.)][{WHITE}])'))) / greatest(len(l), 1), 6) AS marked_line_share,
+            round(len(list_filter(l, lambda x: contains(x, '  ') OR contains(x, chr(9)))) / greatest(len(l), 1), 6) AS gap_line_share, round({_count('[|;]')} / n, 6) AS cell_marks_per_word,
+            round(len(list_filter(w, lambda x: regexp_matches(x, '^\p{{Lu}}'))) / n, 6) AS capital_word_share, round({_count(_SENTENCE_END)} / n, 6) AS sentence_ends_per_word,
+            round(len(list_filter(w, lambda x: regexp_matches(x, '^[-–−+±(]*\p{{Nd}}[\p{{Nd}}.,)%-]*$'))) / n, 6) AS numeric_word_share,
+            round(greatest(solid - digits - latin - (solid - alnum), 0) / solid, 6) AS other_script_share FROM n
+    """,
     "p4_found": f"""
         SELECT DISTINCT page_id FROM pages_out
         WHERE len(regexp_extract_all(text, '[^{WHITE}]+')) > 420

@@ -15,7 +15,6 @@ weakly labelled stretches at most; everything else covers all rows.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +23,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from windloom.llm.measures import STATISTICS, Lines, common_hashes
+from windloom.llm.packing import slices
 from windloom.session import checkpointed, spread
 
 #: Bound on the weakly labelled stretches that the trees are trained on, chosen by a hash.
@@ -32,93 +33,25 @@ TREES, DEPTH = 12, 4
 #: Judgements that the trees' own probabilities count for in the calibration.
 PRIOR_JUDGED = 4.0
 
-STATISTICS = (
-    "is_entry", "log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "common_word_share", "punctuated_line_share", "words_per_line",
-    "distinct_word_share", "vowel_share", "alphabetic_word_share", "marked_line_share", "gap_line_share", "cell_marks_per_word", "capital_word_share",
-    "sentence_ends_per_word", "numeric_word_share", "other_script_share",
-)
-
-_PLAIN = re.compile(r"[^\s.,;:!?()\[\]{}\"«»“”„’'|/=<>*•]+")
-_MARK = re.compile(r"\s*(?:[-*•o–]\s|\[(?:\d{0,3}|[ xX])\]|\(?\w{1,3}[.)]\s)")
-_SYMBOLS = re.compile(r"[^\W_]+")
-_LATIN = re.compile("[A-Za-zÀ-ɏ]+")
-_DIGITS = re.compile(r"\d+")
-_VOWELS = "aeouAEOUáàâäãéèêëóòôöõúùûü"
-_NUMERIC = re.compile(r"[-–−+±(]*\d[\d.,)%-]*")
-_ENDS = re.compile(r"[.!?][\"”»’)]?(?:\s|$)")
-_CELL = re.compile(r"[|;]")
-
-
-def _gap(line: str) -> bool:
-    return "  " in line or "\t" in line
-
-
-def statistics(text: str, common: frozenset[str], entry: bool, plain: list[str] | None = None) -> list[float]:
-    """The statistics of one text in the order of ``STATISTICS``; ``plain`` are its words in small letters, if known."""
-    words = text.split()
-    n = max(1, len(words))
-    solid = "".join(words)
-    size = max(1, len(solid))
-    symbols = len(_SYMBOLS.sub("", solid))
-    no_digits = _DIGITS.sub("", solid)
-    digits = len(solid) - len(no_digits)
-    rest = _LATIN.sub("", no_digits)
-    latin = len(no_digits) - len(rest)
-    vowels = sum(map(solid.count, _VOWELS)) if latin else 0
-    plain = _PLAIN.findall(text.lower()) if plain is None else plain
-    lines = [x for x in map(str.strip, text.split("\n")) if x]
-    count = max(1, len(lines))
-    return [
-        float(entry), math.log1p(len(words)), size / n, symbols / size, digits / size, sum(map(common.__contains__, plain)) / max(1, len(plain)),
-        sum(x[-1] in ".!?:;,”\"" for x in lines) / count, len(words) / count, len(set(words)) / n, vowels / max(1, latin),
-        sum(map(str.isalpha, plain)) / max(1, len(plain)), sum(_MARK.match(x) is not None for x in lines) / count, sum(map(_gap, lines)) / count,
-        len(_CELL.findall(text)) / n, sum(w[0].isupper() for w in words) / n, len(_ENDS.findall(text)) / n,
-        sum(not w[0].isalpha() and _NUMERIC.fullmatch(w) is not None for w in words) / n, max(0, len(rest) - symbols) / size,
-    ]
-
-
-def stretches(text: str, common: frozenset[str]) -> list[tuple[str, list[str]]]:
-    """Runs of lines that read alike, with or without the words that bind sentences, and their words in small letters."""
-    lines = text.split("\n")
-    plain = text.lower().split("\n")
-    full = [k for k, x in enumerate(lines) if x and not x.isspace()]
-    if len(full) < 2:
-        return [(text, _PLAIN.findall(text.lower()))]
-    size, bound, found = [], [], []
-    for k in full:
-        words = _PLAIN.findall(plain[k])
-        found.append(words)
-        size.append(len(words))
-        bound.append(sum(map(common.__contains__, words)))
-    flags = []
-    last = len(full) - 1
-    for j, k in enumerate(full):
-        lo, hi = max(0, j - 1), min(last, j + 1)
-        n, c = sum(size[lo : hi + 1]), sum(bound[lo : hi + 1])
-        alone = bound[j] / max(1, size[j])
-        flags.append(alone >= 0.15 or (c >= 0.15 * n and bound[j] > 0) or (c >= 0.2 * n and size[j] <= 4 and not _MARK.match(lines[k]) and not _gap(lines[k].strip())))
-    starts = [0, *(j for j in range(1, len(full)) if flags[j] != flags[j - 1]), len(full)]
-    ends = [*(full[j] for j in starts[1:-1]), len(lines)]
-    return [("\n".join(lines[full[a] : end]), [w for x in found[a:b] for w in x]) for a, b, end in zip(starts, starts[1:], ends)]
-
-
 def _passes(rows: DataFrame, common: frozenset[str], whole: bool) -> DataFrame:
-    """``_id, item, words, statistics`` of each item, or of each stretch of it."""
+    """``_id, item, words, statistics`` of each item, or of each stretch of it; entries of tables are never cut."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = common_hashes(common)
         for pdf in batches:
-            out = []
-            for i, text, tables in zip(pdf["_id"], pdf["_text"], pdf["_tables"]):
-                if text is not None and not text.isspace() and text:
-                    for part, plain in [(text, None)] if whole else stretches(text, common):
-                        out.append((i, 0, len(part.split()), statistics(part, common, False, plain)))
-                for k, entry in enumerate(tables if tables is not None else (), 1):
-                    if entry is not None and entry and not entry.isspace():
-                        out.append((i, k, len(entry.split()), statistics(entry, common, True)))
-            yield pd.DataFrame(out, columns=["_id", "item", "words", "statistics"])
+            found = []
+            for k, (text, tables) in enumerate(zip(pdf["_text"], pdf["_tables"])):
+                items = [text, *(tables if tables is not None else ())]
+                found += [(k, item, x) for item, x in enumerate(items) if x and not x.isspace()]
+            row, item, texts = (pd.Series([f[c] for f in found], dtype=kind) for c, kind in enumerate((int, int, object)))
+            for part in slices(texts):
+                lines, own = Lines(texts[part].tolist(), known), item[part].to_numpy()
+                groups = lines.text if whole else lines.stretches(own > 0)
+                owner, words, values = lines.statistics(groups, own > 0)
+                yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[row[part].to_numpy()[owner]], "item": own[owner], "words": words, "statistics": list(values)})
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"_id {kind}, item int, words int, statistics array<float>")
+    return rows.mapInPandas(run, f"_id {kind}, item int, words int, statistics array<{'double' if whole else 'float'}>")
 
 
 def _common(words: DataFrame) -> frozenset[str]:
@@ -138,7 +71,7 @@ def text_statistics(df: DataFrame, common_words: DataFrame, id_col: str = "page_
     delivered twice gives two. Other columns are not looked at; an empty table gives no rows.
     """
     got = _passes(_narrow(df, id_col, text_col, tables_col), _common(common_words), True)
-    columns = [F.round(F.col("statistics")[k].cast("double"), 6).alias(name) for k, name in enumerate(STATISTICS) if k > 1]
+    columns = [F.round(F.col("statistics")[k], 6).alias(name) for k, name in enumerate(STATISTICS) if k > 1]
     return got.select(F.col("_id").alias(id_col), "item", "words", *columns)
 
 
