@@ -112,7 +112,9 @@ def judged_items(df: DataFrame, common_words: DataFrame, labels: DataFrame, id_c
     chosen = F.lit(False)
     for r in weak.groupBy(entry.alias("e"), "weak").count().collect():  # four rows at most
         chosen = chosen | ((entry == r["e"]) & (F.col("weak") == r["weak"]) & (draw < 0.95 * train_rows / 4 / r["count"]))
-    train = checkpointed(weak.filter(chosen).limit(train_rows).select(vector.alias("features"), F.col("weak").alias("label")))
+    # in an order that no run changes, for the trees look at their rows by partition
+    train = weak.filter(chosen).limit(train_rows).select(draw.alias("_k"), vector.alias("features"), F.col("weak").alias("label"))
+    train = checkpointed(train.repartition(2, "_k").sortWithinPartitions("_k").drop("_k"))
     classes = {r[0] for r in train.select("label").distinct().collect()}
     if classes == {0.0, 1.0}:
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=1, stepSize=0.3).fit(train)
