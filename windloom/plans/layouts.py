@@ -88,7 +88,7 @@ def url_routes(spark: SparkSession, sf: str) -> DataFrame:
 def form_feed_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of texts whose paragraphs are told apart by form feeds, where as many come out as went in."""
     docs = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "\n\n", "\f").alias("m"))
-    pages = web.form_feed_pages(F.col("m"), F.regexp_count("m", F.lit("\f")) + F.when(F.col("doc_id") % 10 == 0, 2).otherwise(1))
+    pages = web.form_feed_pages(F.col("m"), F.regexp_count("m", F.lit("\f")) + 1)
     return docs.select("doc_id", F.size(pages).cast("long").alias("n_pages")).filter("n_pages > 0")
 
 
@@ -105,27 +105,37 @@ def _written(rows: DataFrame, folder: str, head: list[str]) -> str:
     """``name, seq, value`` as one text file for each name, behind the lines of ``head``; returns the folder."""
     path = f"{shared_folder(rows.sparkSession)}/{folder}"
     lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda r: r["value"])
-    whole = rows.groupBy("name").agg(F.array_join(F.concat(F.array(*map(F.lit, head)), lines), "\n").alias("value"))  # a file is a run of a sweep
+    whole = rows.groupBy("name").agg(F.array_join(F.concat(F.array(*map(F.lit, head)), lines), "\n").alias("value"))  # a file has a bounded number of runs
     whole.write.mode("overwrite").partitionBy("name").text(path)
     return path
 
 
+#: Runs of a rig whose polars share a file.
+FILE_RUNS = 64
+
+
+def _file_name() -> Column:
+    return F.concat_ws("-", "rig", F.floor(F.col("run_id") / FILE_RUNS).cast("long")).alias("name")
+
+
+def _place() -> Column:
+    return (F.col("run_id") * 1000 + F.round(F.col("AoA") * 2)).alias("seq")
+
+
 def solver_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Each run's polar in the solver's own format, written and read again."""
+    """The polars in the solver's own format, some runs of a rig to a file, written and read again."""
     points = table(spark, sf, "naca6535_xfoil_polar").groupBy("point_id").agg(F.min(F.struct("rig", "run_id", "AoA", "Cl", "Cd", "CDp", "Cm", "Xtr_top", "Xtr_bot")).alias("p")).select("p.*")
     line = F.format_string("%8.3f %9.4f %9.5f %9.5f %8.4f %8.4f %8.4f", "AoA", "Cl", "Cd", "CDp", "Cm", "Xtr_top", "Xtr_bot")
-    rows = points.dropna().filter("run_id % 50 = 0").select(F.concat_ws("-", "rig", "run_id").alias("name"), F.round(F.col("AoA") * 2).cast("int").alias("seq"), line.alias("value"))
+    rows = points.dropna().select(_file_name(), _place(), line.alias("value"))
     path = _written(rows, "solver", ["  solver  version 6", "", " alpha CL CD CDp CM Top_Xtr Bot_Xtr", " ------ -------- -------- -------- ------ ------ ------"])
     got = files.read_solver_polars(spark, path, partitioned=True)
     return got.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("Cl"), 4).alias("cl_sum"), F.round(F.sum("Xtr_bot"), 4).alias("xtr_sum"))
 
 
 def pressure_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Each run's transition points in the format of pressure distributions, written and read again."""
+    """Transition points in the format of pressure distributions, some runs of a rig to a file, written and read again."""
     points = table(spark, sf, "naca6535_xfoil_polar").groupBy("point_id").agg(F.min(F.struct("rig", "run_id", "AoA", "Xtr_top", "Cm")).alias("p")).select("p.*").dropna()
-    rows = points.filter("run_id % 50 = 0").select(
-        F.concat_ws("-", "rig", "run_id").alias("name"), F.round(F.col("AoA") * 2).cast("int").alias("seq"), F.format_string("%10.5f %10.5f %10.5f", "Xtr_top", F.lit(0.0), "Cm").alias("value")
-    )
+    rows = points.select(_file_name(), _place(), F.format_string("%10.5f %10.5f %10.5f", "Xtr_top", F.lit(0.0), "Cm").alias("value"))
     got = files.read_pressures(spark, _written(rows, "pressures", ["#", "# x y Cp", "1.0 2.0 3.0"]), partitioned=True)
     return got.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("x_c"), 4).alias("x_sum"), F.round(F.sum("Cp"), 4).alias("cp_sum"))
 
@@ -140,10 +150,10 @@ def ingested_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coordinate_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Each rig's polar of the first run as a coordinate file, written and read again."""
-    points = table(spark, sf, "naca6535_xfoil_polar").filter("Cl is not null and abs(Cl) <= 1.5 and AoA between -1 and 1 and AoA is not null")
+    """The least lift of each rig at each angle as a coordinate file, written and read again."""
+    points = table(spark, sf, "naca6535_xfoil_polar").filter("abs(Cl) <= 1.5 and abs(AoA) <= 30")
     first = points.groupBy("rig", "AoA").agg(F.min("Cl").alias("y"))
-    lines = files.coordinate_lines(first.select(F.col("rig").alias("name"), F.round((F.col("AoA") + 5) * 2).cast("int").alias("seq"), (F.col("AoA") / 2).alias("x"), "y"))
+    lines = files.coordinate_lines(first.select(F.col("rig").alias("name"), F.round((F.col("AoA") + 30) * 100).cast("int").alias("seq"), (F.col("AoA") / 20).alias("x"), "y"))
     path = f"{shared_folder(spark)}/coordinates"
     lines.select(F.concat("content", F.lit("\n")).alias("value"), "name").write.mode("overwrite").partitionBy("name").text(path)
     back = files.read_coordinates(spark, path, partitioned=True)
@@ -175,16 +185,16 @@ _GRID = """
 """
 
 _ONE_POINT = """
-    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY rig, run_id, AoA, Cl, Cd, CDp, Cm, Xtr_top, Xtr_bot) AS k FROM naca6535_xfoil_polar) WHERE k = 1 AND run_id % 50 = 0)
+    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY rig, run_id, AoA, Cl, Cd, CDp, Cm, Xtr_top, Xtr_bot) AS k FROM naca6535_xfoil_polar) WHERE k = 1)
 """
 
 ORACLE = {
     "solver_files": f"""
-        WITH {_ONE_POINT} SELECT rig || '-' || run_id AS name, count(*) AS n, round(sum(round(Cl, 4)), 4) AS cl_sum, round(sum(round(Xtr_bot, 4)), 4) AS xtr_sum FROM p
+        WITH {_ONE_POINT} SELECT rig || '-' || floor(run_id / 64.0)::BIGINT AS name, count(*) AS n, round(sum(round(Cl, 4)), 4) AS cl_sum, round(sum(round(Xtr_bot, 4)), 4) AS xtr_sum FROM p
         WHERE Cl IS NOT NULL AND Cd IS NOT NULL AND CDp IS NOT NULL AND Cm IS NOT NULL AND Xtr_top IS NOT NULL AND Xtr_bot IS NOT NULL GROUP BY 1
     """,
     "pressure_files": f"""
-        WITH {_ONE_POINT} SELECT rig || '-' || run_id AS name, count(*) AS n, round(sum(round(Xtr_top, 5)), 4) AS x_sum, round(sum(round(Cm, 5)), 4) AS cp_sum FROM p WHERE Xtr_top IS NOT NULL AND Cm IS NOT NULL GROUP BY 1
+        WITH {_ONE_POINT} SELECT rig || '-' || floor(run_id / 64.0)::BIGINT AS name, count(*) AS n, round(sum(round(Xtr_top, 5)), 4) AS x_sum, round(sum(round(Cm, 5)), 4) AS cp_sum FROM p WHERE Xtr_top IS NOT NULL AND Cm IS NOT NULL GROUP BY 1
     """,
     "ingested_pages": "SELECT page_id, h AS sha256 FROM (SELECT page_id, sha256(text) AS h, row_number() OVER (PARTITION BY sha256(text) ORDER BY loaded_at, page_id) AS k FROM pages_out WHERE text IS NOT NULL) WHERE k = 1",
     "page_features": f"""
@@ -216,11 +226,11 @@ ORACLE = {
         WITH d AS (SELECT doc_id, text, 'www.' || translate(lower(trim(source)), ' _', '--') || '.org' AS h FROM documents)
         SELECT regexp_replace(h, '^www\\.', '') AS host, CASE WHEN h IS NULL THEN 'skip' WHEN doc_id % 4 = 2 THEN 'skip' WHEN doc_id % 8 = 1 AND trim(text) <> '' THEN 'snippet' WHEN doc_id % 4 = 0 THEN 'pdf' ELSE 'html' END AS route, count(*) AS n FROM d GROUP BY 1, 2
     """,
-    "form_feed_pages": "SELECT doc_id, len(string_split(text, chr(10) || chr(10))) AS n_pages FROM documents WHERE doc_id % 10 <> 0 AND text IS NOT NULL",
+    "form_feed_pages": "SELECT doc_id, len(string_split(text, chr(10) || chr(10))) AS n_pages FROM documents WHERE text IS NOT NULL",
     "polar_csv": "SELECT rig, count(*) AS n, count(Cl) AS n_lift, round(sum(round(Cl, 5)), 3) AS cl_sum, round(sum(round(Cd, 5)), 3) AS cd_sum FROM naca6535_xfoil_polar GROUP BY rig",
     "coordinate_files": """
-        WITH f AS (SELECT rig, AoA, min(Cl) AS y FROM naca6535_xfoil_polar WHERE abs(Cl) <= 1.5 AND AoA BETWEEN -1 AND 1 GROUP BY rig, AoA)
-        SELECT rig AS name, count(*) AS n, round(sum(round(AoA / 2, 6)), 6) AS x_sum, round(sum(round(y, 6)), 5) AS y_sum FROM f GROUP BY rig
+        WITH f AS (SELECT rig, AoA, min(Cl) AS y FROM naca6535_xfoil_polar WHERE abs(Cl) <= 1.5 AND abs(AoA) <= 30 GROUP BY rig, AoA)
+        SELECT rig AS name, count(*) AS n, round(sum(round(AoA / 20, 6)), 6) AS x_sum, round(sum(round(y, 6)), 5) AS y_sum FROM f GROUP BY rig
     """,
     "stored_versions": "SELECT filename, count(*) AS n FROM processed_files GROUP BY filename",
 }
