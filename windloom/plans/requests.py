@@ -131,7 +131,34 @@ def _gated(name: str) -> str:
 
 _FIELD = lambda name: _number(rf'{name}[":\s]+({X.NUMBER})')
 
+_P5 = "(substring(name, 6, 1)::DOUBLE / 20)"
+_PLACES = sorted(design.MEAN_LINES)
+_K1 = " ".join(
+    f"WHEN {_P5} BETWEEN {a} AND {b} THEN {design.MEAN_LINES[a]} + ({_P5} - {a}) / ({b} - {a}) * ({design.MEAN_LINES[b]} - {design.MEAN_LINES[a]})" for a, b in zip(_PLACES, _PLACES[1:])
+)
+
 ORACLE = {
+    "section_contours": f"""
+        WITH {_TEXTS}, b AS (SELECT replace(lower(text), ' ', '') AS bare FROM t),
+        s AS (SELECT DISTINCT coalesce('naca' || nullif(regexp_extract(bare, 'naca([0-9]{{4,5}})', 1), ''), nullif(regexp_extract(bare, '\\b([a-z]{{1,3}}[0-9]{{3,5}})\\b', 1), '')) AS name FROM b),
+        x AS (SELECT i, i / 49.0 AS x FROM range(0, 50) r(i)),
+        four AS (SELECT name, i, x, substring(name, 5, 1)::DOUBLE / 100 AS m, substring(name, 6, 1)::DOUBLE / 10 AS p, substring(name, 7, 2)::DOUBLE / 100 AS t FROM s, x WHERE regexp_matches(name, '^naca[0-9]{{4}}$')),
+        five AS (SELECT name, i, x, CASE {_K1} END AS k, {_P5} AS p, substring(name, 8, 2)::DOUBLE / 100 AS t FROM s, x WHERE regexp_matches(name, '^naca[0-9]{{2}}[02-9][0-9]{{2}}$')),
+        lines AS (
+            SELECT name, i, x, t, CASE WHEN m = 0 OR p = 0 THEN 0 WHEN x < p THEN m / (p * p) * (2 * p * x - x * x) ELSE m / ((1 - p) * (1 - p)) * (1 - 2 * p + 2 * p * x - x * x) END AS c,
+                CASE WHEN m = 0 OR p = 0 THEN 0 WHEN x < p THEN 2 * m / (p * p) * (p - x) ELSE 2 * m / ((1 - p) * (1 - p)) * (p - x) END AS d FROM four
+            UNION ALL
+            SELECT name, i, x, t, CASE WHEN x < p THEN k / 6 * (x ** 3 - 3 * p * x * x + p * p * (3 - p) * x) ELSE k * p ** 3 / 6 * (1 - x) END,
+                CASE WHEN x < p THEN k / 6 * (3 * x * x - 6 * p * x + p * p * (3 - p)) ELSE -k * p ** 3 / 6 END FROM five WHERE k IS NOT NULL
+        ),
+        h AS (SELECT *, 5 * t * (0.2969 * sqrt(x) - 0.126 * x - 0.3516 * x ** 2 + 0.2843 * x ** 3 - 0.1015 * x ** 4) AS h, atan(d) AS a FROM lines),
+        c AS (SELECT name, -i AS seq, x - h * sin(a) AS x, c + h * cos(a) AS y FROM h UNION ALL SELECT name, i, x + h * sin(a), c - h * cos(a) FROM h WHERE i > 0),
+        k AS (SELECT name, seq, x, y FROM (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step FROM c WINDOW w AS (PARTITION BY name ORDER BY seq)) WHERE step IS NULL OR step > 1e-10),
+        e AS (SELECT name, arg_min(x, seq) AS x0, arg_min(y, seq) AS y0, arg_max(x, seq) AS x1, arg_max(y, seq) AS y1, min(x) AS lo, max(x) AS hi FROM k GROUP BY name),
+        f AS (SELECT name, x, y FROM k UNION ALL SELECT name, x0, y0 FROM e WHERE sqrt((x0 - x1) ** 2 + (y0 - y1) ** 2) > 1e-6)
+        SELECT f.name, count(*) AS n_points, round(min((x - lo) / (hi - lo)), 6) AS x_min, round(max((x - lo) / (hi - lo)), 6) AS x_max, round(max(y / (hi - lo)), 5) AS y_max, round(min(y / (hi - lo)), 5) AS y_min
+        FROM f JOIN e ON f.name = e.name GROUP BY f.name
+    """,
     "request_question_type": f"WITH {_TEXTS} SELECT CASE {_KIND} ELSE 'general' END AS kind, count(*) AS n FROM t GROUP BY 1",
     "definition_requests": f"""
         WITH {_TEXTS}, c AS (SELECT o_orderkey, regexp_replace(lower(text), '^please ', '') AS q FROM t)
