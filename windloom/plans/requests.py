@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from windloom.functions import extract as X
 from windloom.functions import text as T
 from windloom.operators import design
-from windloom.session import table
+from windloom.session import checkpointed, table
 
 #: The request of an order, in SQL that Spark and DuckDB read alike; k is its key.
 _KINDS = (
@@ -80,9 +80,9 @@ def _sections(spark: SparkSession, sf: str) -> DataFrame:
 
 def section_contours(spark: SparkSession, sf: str) -> DataFrame:
     """Thickness, camber and closing gap of every named 4- or 5-digit section, as a prepared contour."""
-    names = _sections(spark, sf)
-    contour = design.contour(design.naca4(names, 50).unionByName(design.naca5(names, 50)))
-    prepared = design.prepared(contour)
+    names = checkpointed(_sections(spark, sf))
+    sections = checkpointed(design.naca4(names, 50).unionByName(design.naca5(names, 50)))
+    prepared = design.prepared(checkpointed(design.contour(sections)))
     got = prepared.groupBy("name").agg(
         F.count("*").alias("n_points"), F.round(F.min("x"), 6).alias("x_min"), F.round(F.max("x"), 6).alias("x_max"), F.round(F.max("y"), 5).alias("y_max"), F.round(F.min("y"), 5).alias("y_min")
     )
