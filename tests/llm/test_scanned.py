@@ -69,6 +69,17 @@ def test_noise_equals_planted(spark, corpus):
         assert len(a & b) >= 0.97 * len(b) and len(a - b) <= 0.02 * len(b), kind
 
 
+def test_copies_of_the_pages_change_nothing(spark, corpus):
+    rows = [r for r in corpus[0] if r[0] < 250]
+    for k, (a, b) in enumerate((("stif", "fener"), ("gus", "ty"), ("fla", "nge"), ("riv", "eted"))):  # joined nowhere else
+        rows.append((500 + k, "s1", f"The {a}-\n{b} carries the load of the wing.", "", ""))
+    once = {tuple(r) for r in S.found_noise(spark.createDataFrame(rows, COLUMNS)).collect()}
+    again = [(i + 1000 * k, *rest) for k in range(30) for i, *rest in rows]
+    got = {tuple(r) for r in S.found_noise(spark.createDataFrame(again, COLUMNS)).collect()}
+    assert {(500 + k, "hyphenation") for k in range(4)} <= once and sum(n == "furniture" for _, n in once) > 50
+    assert got == {(i + 1000 * k, n) for k in range(30) for i, n in once}
+
+
 def test_repaired_text(spark, corpus):
     rows, want = corpus
     got = {r["page_id"]: r["text"] for r in S.Scanned(spark.createDataFrame(rows, COLUMNS)).repaired().collect()}

@@ -31,9 +31,9 @@ from windloom.llm.encoding import READ_AS, SINGLE, byte_of
 from windloom.session import checkpointed, spread
 
 HEADER, BODY, BREAK = range(3)
-#: Pages of one source on which a masked edge line must recur to count as a header in training.
+#: Different pages of one source on which a masked edge line must recur to count as a header in training.
 RECURS = 3
-#: A misread word is so many times rarer than what it is taken for, which occurs so often at least.
+#: A misread word is so many times rarer than what it is taken for, which occurs so often at least; parts of a compound are so many times commoner than it is divided.
 RARER, COMMON = 20, 20
 #: Bound on the pages that transitions and emissions are counted on, chosen by a hash.
 TRAIN_PAGES = 2000
@@ -98,15 +98,17 @@ def shape_sql(line: Column) -> Column:
 
 
 def edge_rates(df: DataFrame, source_col: str, text_col: str) -> tuple[dict[str, float], int]:
-    """Log odds of each shape among recurring edge lines against other edge lines, over all pages, and about how many pages there are."""
+    """Log odds of each shape among recurring edge lines against other edge lines, over all pages; a text that a source has again and again counts once."""
     text = F.col(text_col)
     first = F.regexp_extract(text, r"\A\s*([^\n]*?)[ \t\r]*(?:\n|\z)", 1)
     last = F.substring_index(F.rtrim(text, F.lit(" \t\r\n\f")), "\n", -1)
     lines = df.filter(text.isNotNull()).select(
-        F.col(source_col).alias("source"), F.explode(F.array(F.trim(first), F.trim(last))).alias("line")
-    ).filter("length(line) > 0")
+        F.col(source_col).alias("source"), F.xxhash64(text).alias("page"), F.explode(F.array(F.struct(F.lit(0).alias("edge"), F.trim(first).alias("line")), F.struct(F.lit(1).alias("edge"), F.trim(last).alias("line")))).alias("x")
+    ).select("source", "page", "x.edge", "x.line").filter("length(line) > 0")
     masked = F.regexp_replace(F.regexp_replace("line", r"\d+", "9"), r"\b[ivxlc]+\b", "i")
-    groups = lines.groupBy("source", shape_sql(F.col("line")).alias("shape"), F.xxhash64(masked).alias("masked")).agg(F.count("*").alias("n"))
+    # copies of a page make every line of it recur: the more copies, the less a recurring line would tell
+    once = lines.groupBy(F.xxhash64("source", F.col("source").isNull()).alias("source"), shape_sql(F.col("line")).alias("shape"), F.xxhash64(masked).alias("masked"), "page", "edge").agg(F.lit(1).alias("one"))
+    groups = once.groupBy("source", "shape", "masked").agg(F.count("*").alias("n"))
     rows = groups.groupBy("shape").agg(F.sum(F.when(F.col("n") >= RECURS, F.col("n")).otherwise(0)).alias("again"), F.sum("n").alias("n")).collect()
     again, all_ = sum(r["again"] for r in rows) + 1, sum(r["n"] for r in rows) + 1
     out = {}
@@ -322,20 +324,26 @@ def misread_words(counts: DataFrame) -> DataFrame:
 
 
 def divided_words(broken: DataFrame, counts: DataFrame) -> DataFrame:
-    """``a, b, joined``: of distinct divided words those that are one word without a hyphen.
+    """``a, b, joined``: of divided words (``a, b, n``) those that are one word without a hyphen.
 
     The joined word or the one with a hyphen decides, whichever the corpus writes more often;
-    where it knows neither, two parts that both are words are a compound.
+    where it knows neither, two parts that both are words are a compound. Parts are words by what they
+    occur beyond divided words, measured against how often this one is divided, so that a corpus of any
+    size, or one with copies of its pages, decides alike.
     """
-    pairs = broken.select("a", "b").distinct().withColumn("whole", F.concat("a", "b")).withColumn("hyphenated", F.concat_ws("-", "a", "b"))
+    pairs = checkpointed(broken.select("a", "b", "n").withColumn("whole", F.concat("a", "b")).withColumn("hyphenated", F.concat_ws("-", "a", "b")))
+    # the parts of divided words were counted as words too
+    halves = pairs.select(F.explode(F.array("a", "b")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("in_halves"))
     for column, name in (("whole", "n_whole"), ("hyphenated", "n_hyphenated"), ("a", "n_a"), ("b", "n_b")):
         known = counts.select(F.col("word").alias(f"_{name}"), F.col("n").alias(name))
         pairs = pairs.join(known, F.col(column) == F.col(f"_{name}"), "left").drop(f"_{name}").withColumn(name, F.coalesce(name, F.lit(0)))
+    for c in ("a", "b"):
+        pairs = pairs.join(halves.select(F.col("word").alias(f"_{c}"), F.col("in_halves").alias(f"in_{c}")), F.col(c) == F.col(f"_{c}")).drop(f"_{c}")
     # a compound may be misread too
     like = counts.filter(F.col("word").contains("-")).select(shape_key(F.col("word")).alias("_key")).distinct()
     pairs = pairs.join(like, shape_key(F.col("hyphenated")) == F.col("_key"), "left")
     one = F.when((F.col("n_whole") > 0) | (F.col("n_hyphenated") > 0), F.col("n_whole") > F.col("n_hyphenated")).otherwise(
-        (F.least("n_a", "n_b") < COMMON) & F.col("_key").isNull()
+        (F.least(F.col("n_a") - F.col("in_a"), F.col("n_b") - F.col("in_b")) < COMMON * F.col("n")) & F.col("_key").isNull()
     )
     return pairs.filter(one).select("a", "b", F.col("whole").alias("joined"))
 
@@ -352,10 +360,10 @@ def _may_divide(text: Column) -> Column:
 
 
 def divided_pairs(df: DataFrame, text_col: str) -> DataFrame:
-    """Distinct ``a, b`` in small letters of what stands on either side of a mark of division at a line end."""
+    """``a, b, n`` in small letters: what stands on either side of a mark of division at a line end, and how often."""
     parts = [F.regexp_extract_all(F.lower(text_col), F.lit(DIVIDED), F.lit(k)) for k in (1, 2)]
     pairs = df.filter(_may_divide(F.col(text_col))).select(F.explode(F.arrays_zip(parts[0].alias("a"), parts[1].alias("b"))).alias("x"))
-    return pairs.select("x.a", "x.b").distinct()
+    return pairs.groupBy("x.a", "x.b").agg(F.count("*").alias("n"))
 
 
 class Scanned:
