@@ -98,6 +98,14 @@ def test_tables_beyond_the_dictionary_are_joined(spark, corpus):
     assert sorted(map(tuple, small.repaired().collect())) == sorted(map(tuple, large.repaired().collect()))
 
 
+def test_every_page_is_counted(spark, corpus):
+    pages = [r for r in corpus[0] if r[0] < 400]
+    many = [(i + 1000 * k, *rest) for k in range(10) for i, *rest in pages]
+    once, ten = (S.Scanned(spark.createDataFrame(rows, COLUMNS)).met for rows in (pages, many))
+    lines = sum(r[2].count("\n") + 1 for r in pages)
+    assert sum(once.values()) == lines and ten == {k: 10 * n for k, n in once.items()}
+
+
 def test_prose_of_few_words_is_no_junk():
     words = "the wing carries the load and the tail carries the rest".split()
     assert not S.is_junk(" ".join(words[k % 11] for k in range(44)) + ".")

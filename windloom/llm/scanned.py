@@ -4,7 +4,7 @@ Lines are labelled header, body or break by a hidden Markov model over their lay
 the line and where it stands on its page. What running headers and page numbers look like is
 learned: an edge line that recurs on pages of its source once its digits are masked is a header,
 and the rates of the shapes among recurring and other edge lines are the first emissions. The
-model then labels a bounded sample of pages, and the counts of what it met there give emissions
+model then labels all pages, and the counts of what it met there give emissions
 and transitions (Viterbi training from the first model as the prior). Labelled pages are put
 together again as paragraphs.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,8 +36,6 @@ HEADER, BODY, BREAK = range(3)
 RECURS = 3
 #: A misread word is so many times rarer than what it is taken for, which occurs so often at least; parts of a compound are so many times commoner than it is divided.
 RARER, COMMON = 20, 20
-#: Bound on the pages that transitions and emissions are counted on, chosen by a hash.
-TRAIN_PAGES = 2000
 #: Observations that the first model's odds and moves count for.
 PRIOR = 50.0
 #: Bound on the bytes of words in a dictionary that is sent to the tasks.
@@ -97,7 +96,7 @@ def shape_sql(line: Column) -> Column:
     return out.otherwise("other")
 
 
-def edge_rates(df: DataFrame, source_col: str, text_col: str) -> tuple[dict[str, float], int]:
+def edge_rates(df: DataFrame, source_col: str, text_col: str) -> dict[str, float]:
     """Log odds of each shape among recurring edge lines against other edge lines, over all pages; a text that a source has again and again counts once."""
     text = F.col(text_col)
     first = F.regexp_extract(text, r"\A\s*([^\n]*?)[ \t\r]*(?:\n|\z)", 1)
@@ -114,13 +113,13 @@ def edge_rates(df: DataFrame, source_col: str, text_col: str) -> tuple[dict[str,
     out = {}
     for r in rows:  # at most one row per shape
         out[r["shape"]] = math.log(((r["again"] + 0.5) / again) / ((r["n"] - r["again"] + 0.5) / (all_ - again + 1)))
-    return out, all_ // 2
+    return out
 
 
 class Lines:
     """The hidden Markov model over the lines of a page.
 
-    ``rates`` are log odds of the shapes among edge lines; ``met`` are counts of a labelled sample,
+    ``rates`` are log odds of the shapes among edge lines; ``met`` are counts of labelled pages,
     ``(before, state, shape, place)`` to the number of lines.
     """
 
@@ -189,18 +188,34 @@ class Lines:
 
     def labelled(self, text: str) -> list[tuple[int, int, int, str, str]]:
         lines = self.places(text)
-        score, back = [0.0, 0.0, -1.0], []
-        for _, _, shape, place in lines:
-            emit = (NEVER, NEVER, 0.0) if shape == "blank" else (self.odds[shape, place], 0.0, NEVER)
-            step = [max(range(3), key=lambda i: score[i] + self.move[i][j]) for j in range(3)]
-            score = [score[step[j]] + self.move[step[j]][j] + emit[j] for j in range(3)]
-            back.append(step)
-        state = max(range(3), key=score.__getitem__)
-        states = []
+        return [(s, e, st, shape, place) for (s, e, shape, place), st in zip(lines, self.states([(x[2], x[3]) for x in lines]))]
+
+    def states(self, kinds: list[tuple[str, str]]) -> list[int]:
+        """The likeliest labels of lines of ``(shape, place)``; of equals the first."""
+        (hh, hb, hk), (bh, bb, bk), (kh, kb, kk) = self.move
+        h, b, k = 0.0, 0.0, -1.0
+        back = []
+        for kind in kinds:
+            x, y, z = h + hh, b + bh, k + kh
+            to_h = (0 if x >= z else 2) if x >= y else (1 if y >= z else 2)
+            best_h = (x, y, z)[to_h]
+            x, y, z = h + hb, b + bb, k + kb
+            to_b = (0 if x >= z else 2) if x >= y else (1 if y >= z else 2)
+            best_b = (x, y, z)[to_b]
+            x, y, z = h + hk, b + bk, k + kk
+            to_k = (0 if x >= z else 2) if x >= y else (1 if y >= z else 2)
+            best_k = (x, y, z)[to_k]
+            if kind[0] == "blank":
+                h, b, k = best_h + NEVER, best_b + NEVER, best_k
+            else:
+                h, b, k = best_h + self.odds[kind], best_b, best_k + NEVER
+            back.append((to_h, to_b, to_k))
+        state = (0 if h >= k else 2) if h >= b else (1 if b >= k else 2)
+        out = []
         for step in reversed(back):
-            states.append(state)
+            out.append(state)
             state = step[state]
-        return [(s, e, st, shape, place) for (s, e, shape, place), st in zip(lines, reversed(states))]
+        return out[::-1]
 
     @property
     def may_be_header(self) -> re.Pattern:
@@ -233,7 +248,9 @@ DIVIDED = rf"(?<!\p{{L}})(\p{{L}}{{2,}}+)(?={HYPHENS}[ \t]*\n[ \t]*(\p{{L}}{{2,}
 _OWN_LINE = re.compile(r"[ \t]*(?:[-*•o–]|\(?\w{1,3}[.)]|\[.?\]|\|)[ \t]|.*[ \t]{2,}\S|.*\|")
 
 
-_LATIN, _DIGITS = re.compile("[A-Za-zÀ-ɏ]+"), re.compile(r"\d+")
+_LATIN, _DIGITS, _BELOW = re.compile("[A-Za-zÀ-ɏ]+"), re.compile(r"\d+"), re.compile("[\x00-\xff]+")
+_NUMERIC_BYTES = bytes(b for b in range(256) if chr(b).isalnum() and not chr(b).isalpha())
+_LATIN_BYTES = bytes(b for b in range(256) if _LATIN.match(chr(b)))
 
 
 def is_junk(text: str) -> bool:
@@ -241,21 +258,27 @@ def is_junk(text: str) -> bool:
     words = text.split()
     if len(words) < 4:
         return False
-    kinds = set(words)
-    if len(words) >= 20 and len(kinds) <= 20 and sum(w[0].islower() for w in words) < 0.2 * len(words):
+    if len(words) >= 20 and len(set(words[:60])) <= 20 and len(set(words)) <= 20 and sum(w[0].islower() for w in words) < 0.2 * len(words):
         return True  # a menu; few words again and again may be prose too
     solid = "".join(words)
-    rest = _LATIN.sub("", solid)
-    latin, digits = len(solid) - len(rest), len(rest) - len(_DIGITS.sub("", rest))
+    plain = solid.encode("latin-1", "ignore")
+    beyond = "" if len(plain) == len(solid) else _BELOW.sub("", solid)  # signs beyond Latin-1 one by one
+    more = len(beyond) - len(_LATIN.sub("", beyond))
+    latin = len(plain) - len(plain.translate(None, _LATIN_BYTES)) + more
+    most_mixed = len(plain) - len(plain.translate(None, _NUMERIC_BYTES)) + len(beyond) - more  # a mixed word has one of these
+    digits = len(plain) - len(plain.translate(None, b"0123456789")) + len(beyond) - len(_DIGITS.sub("", beyond))
+    rest = len(solid) - latin
     if latin < 0.35 * len(solid) and digits < 0.3 * len(solid):
         return True
     if sum(map(solid.count, "{}=<>")) > 0.15 * len(words) + 4:
         return True
-    if len(rest) - digits > 0.2 * len(solid):  # many signs: a table has numbers between them
+    if rest - digits > 0.2 * len(solid):  # many signs: a table has numbers between them
         plain = sum(len(w) > 2 and w.strip(".,;:()").isalpha() for w in words)
         numeric = sum(w[0].isdigit() and not any(map(str.isalpha, w)) for w in words)
         if plain < 0.25 * len(words) and numeric < 0.3 * len(words):
             return True
+    if most_mixed <= 0.3 * len(words) and max(map(len, words)) < 40:
+        return False
     mixed = sum(len(w) >= 7 and w.isalnum() and not w.isalpha() and not w.isdigit() for w in words)
     long = sum(len(w) >= 40 for w in words)
     return mixed + 10 * long > 0.3 * len(words)
@@ -378,8 +401,8 @@ class Scanned:
         self.id_col = id_col
         rows = spread(df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text")))
         self.pages = rows.select("_id", "_text").filter(F.col("_text").rlike(r"\S"))
-        self.rates, n_pages = edge_rates(rows, "_source", "_text")
-        self.met = self._train(n_pages)
+        self.rates = edge_rates(rows, "_source", "_text")
+        self.met = self._train()
         counts = checkpointed(word_counts(rows, "_text"))
         misread = checkpointed(misread_words(counts))
         joined = checkpointed(divided_words(divided_pairs(rows, "_text"), counts))
@@ -392,23 +415,21 @@ class Scanned:
             self.dictionary = df.sparkSession.sparkContext.broadcast(tables)
         self.kind = rows.schema["_id"].dataType.simpleString()
 
-    def _train(self, n_pages: int) -> dict:
-        """Counts of the lines of a sample of pages by the label before, label, shape and place."""
-        sample = self.pages.filter(F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 30)) < (1 << 30) * min(1.0, TRAIN_PAGES / max(1, n_pages)))
+    def _train(self) -> dict:
+        """Counts of the lines of all pages by the label before, label, shape and place."""
         rates = self.rates
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            model, met = Lines(rates), {}
+            model, met = Lines(rates), Counter()
             for pdf in batches:
                 for text in pdf["_text"]:
                     if not is_junk(text):
-                        before = -1
-                        for _, _, state, shape, place in model.labelled(text):
-                            met[before, state, shape, place] = met.get((before, state, shape, place), 0) + 1
-                            before = state
-            yield pd.DataFrame([(*k, n) for k, n in met.items()], columns=["before", "state", "shape", "place", "n"])
+                        kinds = [(shape, place) for _, _, shape, place in model.places(text)]
+                        states = model.states(kinds)
+                        met.update(zip([-1, *states], states, kinds))
+            yield pd.DataFrame([(before, state, *kind, n) for (before, state, kind), n in met.items()], columns=["before", "state", "shape", "place", "n"])
 
-        rows = sample.select("_text").mapInPandas(run, "before int, state int, shape string, place string, n long")
+        rows = self.pages.select("_text").mapInPandas(run, "before int, state int, shape string, place string, n long")
         met = rows.groupBy("before", "state", "shape", "place").agg(F.sum("n").alias("n")).collect()  # at most labels x labels x shapes x places
         return {(r["before"], r["state"], r["shape"], r["place"]): r["n"] for r in met}
 
