@@ -115,6 +115,16 @@ def test_contradiction_pairs_equal_brute_force(spark, monkeypatch):
     assert evidence.contradiction_pairs(spark.createDataFrame([], "fact string")).count() == 0
 
 
+def test_contradiction_pairs_shuffle_no_candidates(spark, monkeypatch):
+    texts = [f"the load of rig {k} rose" if k % 2 else f"the load of rig {k} is the load" for k in range(600)]  # many meet, few are alike
+    rows = spark.createDataFrame([(t,) for t in texts], "fact string")
+    few = evidence.contradiction_pairs(rows)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(evidence, "BLOCK_BYTES", 4000)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(few) == key(evidence.contradiction_pairs(rows))
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLE) <= set(registry.QUERIES)
 
