@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -80,6 +81,18 @@ def test_shared_parts_equal_brute_force(spark):
     assert got == {1: (1, 100, 1), 2: (1, 230, 2), 3: (1, 130, 1), 5: (2, 160, 1)}
 
 
+def test_passages_and_links_of_every_record(spark):
+    rng = random.Random(16)
+    p, q = words(rng, 100), words(rng, 130)
+    rows = [(1, "aa" + p + "zz"), (2, "b" + p + "yyyy" + q), (3, q + "c"), (4, words(rng, 200)), (5, "copy" * 40), (6, "copy" * 40), (7, q + "tail"), (8, q + "tail")]
+    spans = SharedSpans(spark.createDataFrame(rows + rows[:3], "doc_id long, text string"), "doc_id", "text", 80)
+    text = dict(rows)
+    got = sorted(map(tuple, spans.passages().collect()))
+    want = [(1, 2, 100), (2, 1, 100), (2, 105, 130), (3, 0, 130), (5, 0, 160), (6, 0, 160), (7, 0, 134), (8, 0, 134)]
+    assert got == [(i, s, n, hashlib.md5(text[i][s : s + n].encode()).hexdigest()) for i, s, n in want]
+    assert {tuple(r) for r in spans.links().collect()} == {(1, 1), (2, 4), (3, 3), (5, 1), (6, 1), (7, 3), (8, 3)}
+
+
 def test_near_copy_shares_both_sides_of_a_change(spark):
     rng = random.Random(7)
     p, q, r = words(rng, 240), words(rng, 160), words(rng, 50)

@@ -79,3 +79,4 @@ ORACLE = {
         FROM t LEFT JOIN c USING (id) WHERE copies > 1 OR covered IS NOT NULL
     """,
 }
+ORACLE["p8_links"] = f"SELECT id, count(*) AS n_links FROM (SELECT unnest([doc_a, doc_b]) AS id FROM ({ORACLE['p8_found']})) GROUP BY id"

@@ -143,4 +143,18 @@ def p8_shared_parts(spark: SparkSession, sf: str) -> DataFrame:
     return SharedSpans(table(spark, sf, "documents"), "doc_id", "text").shared_parts()
 
 
+def p8_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every shared stretch of every record, copies of a text included, by its place and digest."""
+    from windloom.llm.spans import SharedSpans
+
+    return SharedSpans(table(spark, sf, "documents"), "doc_id", "text").passages()
+
+
+def p8_links(spark: SparkSession, sf: str) -> DataFrame:
+    """With how many other records each record shares a span."""
+    from windloom.llm.spans import SharedSpans
+
+    return SharedSpans(table(spark, sf, "documents"), "doc_id", "text").links()
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "p" and name[1:2].isdigit()}

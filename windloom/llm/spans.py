@@ -331,6 +331,27 @@ class SharedSpans:
             .distinct()
         )
 
+    def passages(self) -> DataFrame:
+        """``id, start, n_chars, digest``: every stretch of every record that other records have too, from character ``start`` on.
+
+        Unlike :meth:`shared_parts` it has the passages themselves, by place and digest, and a row for each
+        of the copies of a text, which share it as a whole. Windows that touch or overlap are one stretch.
+        """
+        order = Window.partitionBy("id").orderBy("s")
+        new = self.shared_windows().join(broadcast_if_small(self.copies.select("id")), "id", "left_anti")  # copies are shared as a whole
+        new = new.withColumn("k", F.sum(F.coalesce((F.col("s") > F.lag("s").over(order) + self.span).cast("int"), F.lit(1))).over(order))
+        parts = new.groupBy("id", "k").agg(F.min("s").alias("start"), (F.max("s") + self.span).alias("end"))
+        some = checkpointed(parts.select("id", "start", (F.col("end") - F.col("start")).alias("n_chars")))
+        cut = self.docs.join(broadcast_if_small(some), "id").select("id", "start", "n_chars", F.md5(F.substring("text", F.col("start") + 1, F.col("n_chars"))).alias("digest"))
+        whole = self.docs.join(broadcast_if_small(self.copies.select("id")), "id", "left_semi")
+        whole = whole.select("id", F.lit(0).alias("start"), F.length("text").alias("n_chars"), F.md5("text").alias("digest")).distinct()
+        return cut.distinct().unionByName(whole)
+
+    def links(self) -> DataFrame:
+        """``id, n_links``: of every record that shares a span, how many other records it shares one with, copies included."""
+        pairs = self.record_pairs()
+        return pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+
 
 def found_pairs(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return SharedSpans(docs, "doc_id", "text", span).record_pairs()
