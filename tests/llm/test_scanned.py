@@ -122,6 +122,18 @@ def test_training_keeps_the_first_model_without_lines_and_learns_from_them():
     assert sum(map(lambda x: 2.718281828 ** x, learned.move[S.BODY])) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("first", [7, 9_960, 123_456])
+def test_page_numbers_of_any_length_are_furniture(spark, first):
+    rng = random.Random(5)
+    rows = []
+    for i in range(first, first + 80):
+        head = (f"CHAPTER {i // 40}    {i}", f"{i}    LIGHT AIRCRAFT NOTES", f"Wing Notes - {i}", f"Wing Notes | Page {i}", f"- {i} -", f"{i}")[i % 6]
+        rows.append((i, "s", "\n".join([head, "", *wrapped(rng)] if i % 6 < 4 else [*wrapped(rng), "", head]), "", ""))
+        rows.append((i + 10**7, "s", "\n".join([*wrapped(rng), "", "The counter shows", str(rng.randrange(10**5, 10**7)), "cycles of load and the wing holds."]), "", ""))
+    got = {tuple(r) for r in S.found_noise(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert {i for i, n in got if n == "furniture"} == set(range(first, first + 80))
+
+
 def test_labels():
     model = S.Lines({"caps_number": 3.3, "roman": 3.1, "title_number": 2.7, "number": 3.1, "caps": -4.0})
     page = "CHAPTER 3    40\n\nText of the page that runs on\nand ends here.\n\nDRAG\nmore text\n\n- 7 -"

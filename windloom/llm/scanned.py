@@ -63,20 +63,22 @@ def _misread_sign(sign: str) -> set[str]:
 SIGNS = {"-", "\u00ad", "‐", "¬"} | _misread_sign("\u00ad") | _misread_sign("‐")
 HYPHENS = "(?:" + "|".join(sorted(map(re.escape, SIGNS), key=lambda x: (-len(x), x))) + "|Â(?=\n))"
 
-_NUMBER = r"(?:[-–—~]\s*)?(?:(?:Page|page|PAGE|p\.|S\.|Seite|pág\.)\s*)?\d{1,4}(?:\s*[-–—~])?"
+_NUMBER = r"(?:[-–—~]\s*)?(?:(?:Page|page|PAGE|p\.|S\.|Seite|pág\.)\s*)?\d{%s}(?:\s*[-–—~])?"
 _CAPS = r"(?=[^\na-z]*?[^\W\d_a-z]{2})[^\na-z]{3,}?"
-#: Shapes of lines in order of trial; the same patterns serve Python and Java.
+#: Shapes of lines in order of trial; the same patterns serve Python and Java. Page numbers have as many digits as the file needs;
+#: where a long one stands alone it is a shape of its own, for it is a measured value in most corpora.
 SHAPES = {
     "blank": r"[ \t\r\f]*",
-    "number": rf"[ \t]*{_NUMBER}[ \t]*",
+    "number": rf"[ \t]*{_NUMBER % '1,4'}[ \t]*",
+    "long_number": rf"[ \t]*{_NUMBER % '5,'}[ \t]*",
     "roman": r"[ \t]*[ivxlc]{1,7}[ \t]*",
-    "caps_number": rf"[ \t]*(?:{_CAPS}(?: {{3,}}|\t+)\d{{1,4}}|\d{{1,4}}(?: {{3,}}|\t+){_CAPS})[ \t]*",
-    "title_number": r"[ \t]*[^\W\d_a-z][^\n.;:|]{2,}(?: [–—-] \d{1,4}| \| [^\n.|]{2,} \d{1,4})[ \t]*",
+    "caps_number": rf"[ \t]*(?:{_CAPS}(?: {{3,}}|\t+)\d+|\d+(?: {{3,}}|\t+){_CAPS})[ \t]*",
+    "title_number": r"[ \t]*[^\W\d_a-z][^\n.;:|]{2,}(?: [–—-] \d+| \| [^\n.|]{2,} \d+)[ \t]*",
     "caps": rf"[ \t]*{_CAPS}[ \t]*",
     "sentence": r"[^\n]*[.!?:;,”\"’)][ \t]*",
     "other": r"[^\n]*",
 }
-FURNITURE = ("number", "roman", "caps_number", "title_number", "caps")
+FURNITURE = ("number", "long_number", "roman", "caps_number", "title_number", "caps")
 PLACES = ("edge", "inside", "column", "decorated")
 _LINE = re.compile("(?m)^(?:" + "|".join(f"(?P<{k}>{p})" for k, p in SHAPES.items()) + r")(?:\n|\Z)")
 _NUMERIC = re.compile(r"[\d.,;|\s/+-]*")
@@ -170,7 +172,7 @@ class Lines:
         for j, k in enumerate(full):
             s, e, shape = lines[k]
             place = "edge" if k in edge else "inside"
-            if shape == "roman" or shape == "number":
+            if shape in ("roman", "number", "long_number"):
                 if shape == "roman" or text[s:e].strip().isdigit():  # a column of numbers is a table; inside a page a number stands apart
                     near = [full[i] for i in (j - 1, j + 1) if 0 <= i < len(full)]
                     apart = (k and lines[k - 1][2] == "blank") or (k + 1 < len(lines) and lines[k + 1][2] == "blank")
