@@ -125,6 +125,27 @@ def test_contradiction_pairs_shuffle_no_candidates(spark, monkeypatch):
     assert key(few) == key(evidence.contradiction_pairs(rows))
 
 
+@pytest.mark.parametrize("common", [1, 3, 48])
+def test_few_opposed_statements_are_compared_word_by_word(monkeypatch, common):
+    rng = np.random.default_rng(8)
+    frames = [[1000 * f + k for k in rng.integers(0, 12, 14)] for f in range(8)]  # templates and what they are filled with
+    said = [np.array(frames[k % 8] + [9000 + x for x in rng.integers(0, 40, 6)], np.int64) for k in range(800)]
+    opposed, plain, compared = said[:400], [*said[400:], np.array([77_777]), said[0]], []
+    monkeypatch.setattr(evidence, "SKELETON_WORDS", common, raising=False)
+    index = evidence._Opposed(opposed, 0.82)
+    products = index.products
+    monkeypatch.setattr(index, "products", lambda met, has: compared.append(len(met)) or products(met, has))
+    got = {(p, int(q)): c for p, met, cosines in index.similar(np.concatenate(plain), np.array([len(w) for w in plain])) for q, c in zip(met, cosines)}
+    want = {}
+    for p, a in enumerate(map(Counter, (w.tolist() for w in plain))):
+        for q, b in enumerate(map(Counter, (w.tolist() for w in opposed))):
+            cosine = sum(a[w] * b[w] for w in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+            if cosine >= 0.82:
+                want[p, q] = pytest.approx(cosine)
+    assert got == want and len(want) > 1000
+    assert common < 48 or sum(compared) < 1.2 * len(want)
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLE) <= set(registry.QUERIES)
 
